@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,8 @@ def int_matrix(rows) -> Column:
     return F.expr(
         "array(" + ",".join("array(" + ",".join(str(int(v)) for v in r) + ")" for r in rows) + ")"
     )
+
+
+def literal_rows(spark: SparkSession, name: str, values: list) -> DataFrame:
+    """A one-column table of constants, built in the JVM."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))

@@ -50,11 +50,11 @@ def order_points(corners: Column) -> Column:
 
 def polygon_area(corners: Column) -> Column:
     """Shoelace area of a polygon with any number of vertices."""
-    shifted = let(
-        corners, lambda c: F.concat(F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, 1, 1))
-    )
-    cross = F.zip_with(corners, shifted, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.abs(total(cross)) / 2.0
+    def cross(c: Column) -> Column:
+        following = F.concat(F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, 1, 1))
+        return F.zip_with(c, following, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+
+    return F.abs(total(let(corners, cross))) / 2.0
 
 
 def _turns(c: Column) -> list[Column]:
@@ -69,10 +69,11 @@ def _turns(c: Column) -> list[Column]:
 
 def is_convex(corners: Column) -> Column:
     """All four turns strictly in the same direction."""
-    turns = F.array(*_turns(corners))
-    return (F.size(corners) == 4) & (
-        F.forall(turns, lambda t: t > 0) | F.forall(turns, lambda t: t < 0)
+    same_way = let(
+        let(corners, lambda c: F.array(*_turns(c))),
+        lambda turns: (F.array_min(turns) > 0) | (F.array_max(turns) < 0),
     )
+    return F.when(F.size(corners) == 4, same_way).otherwise(F.lit(False))
 
 
 def in_area_band(area: Column, image_area: Column) -> Column:
@@ -83,8 +84,10 @@ def in_area_band(area: Column, image_area: Column) -> Column:
 def squareness(corners: Column) -> Column:
     """Short over long side of the pixel-inclusive bounding box."""
     def side(axis: str) -> Column:
-        values = F.transform(corners, lambda p: p[axis].cast("int"))
-        return F.array_max(values) - F.array_min(values) + 1
+        return let(
+            F.transform(corners, lambda p: p[axis].cast("int")),
+            lambda values: F.array_max(values) - F.array_min(values) + 1,
+        )
 
     return let(
         F.struct(side("x").alias("w"), side("y").alias("h")),
@@ -93,9 +96,12 @@ def squareness(corners: Column) -> Column:
 
 
 def centroid(corners: Column) -> Column:
-    return point(
-        total(F.transform(corners, lambda p: p["x"])) / F.size(corners),
-        total(F.transform(corners, lambda p: p["y"])) / F.size(corners),
+    return let(
+        corners,
+        lambda c: point(
+            total(F.transform(c, lambda p: p["x"])) / F.size(c),
+            total(F.transform(c, lambda p: p["y"])) / F.size(c),
+        ),
     )
 
 

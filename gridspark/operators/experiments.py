@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.binding import literal_rows
 from gridspark.operators.ordered import global_rank
 from gridspark.operators.quantiles import exact_percentiles
 
@@ -61,8 +62,7 @@ def axis_sweep(runs: DataFrame, axis: str, values: list, fixed: dict, metric: st
     for column, value in fixed.items():
         held = held.filter(F.col(column) == value)
     first = held.groupBy(axis).agg(F.min_by(F.struct(F.col(name), F.col(metric)), F.col(name)).alias("_r"))
-    kind = runs.schema[axis].dataType.simpleString()
-    wanted = runs.sparkSession.createDataFrame([(v,) for v in values], f"{axis} {kind}")
+    wanted = literal_rows(runs.sparkSession, axis, values)
     return wanted.join(first, axis, "left").select(
         axis, F.when(F.col("_r").isNull(), "pending").otherwise("done").alias("state"),
         F.coalesce(F.col(f"_r.{name}").cast("string"), F.lit("")).alias(name),

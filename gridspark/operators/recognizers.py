@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from gridspark.functions import cells
 from gridspark.functions import vectors as V
@@ -27,10 +27,16 @@ def register_recognizer(name: str, load: Callable[[], Predictor], default: bool
         _DEFAULT[:] = [name]
 
 
-def recognize(df: DataFrame, vec: str, name: str | None = None, empty_threshold: float | None = cells.EMPTY_THRESHOLD) -> DataFrame:
-    """Add digit and conf. Empty cells get (0, 1.0) and never reach the model."""
+def recognize(
+    df: DataFrame, vec: str, name: str | None = None,
+    empty_threshold: float | None = cells.EMPTY_THRESHOLD, empty: Column | None = None,
+) -> DataFrame:
+    """Add digit and conf. Empty cells get (0, 1.0) and never reach the model.
+
+    Empty means a mean intensity below the threshold, or a test of the caller's own.
+    """
     load = _LOADERS[name or _DEFAULT[0]]
-    fields = StructType(list(df.schema.fields)).add("digit", "int").add("conf", "double")
+    fields = StructType(list(df.schema.fields)).add("digit", IntegerType()).add("conf", DoubleType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = load()
@@ -39,9 +45,10 @@ def recognize(df: DataFrame, vec: str, name: str | None = None, empty_threshold:
                 digits, confs = predict(np.stack(batch[vec].to_list()).astype(float))
                 yield batch.assign(digit=digits.astype("int32"), conf=confs.astype(float))
 
-    if empty_threshold is None:
-        return df.mapInPandas(run, fields)
-    empty = cells.is_empty_vector(V.as_doubles(F.col(vec)), empty_threshold)
+    if empty is None:
+        if empty_threshold is None:
+            return df.mapInPandas(run, fields)
+        empty = cells.is_empty_vector(V.as_doubles(F.col(vec)), empty_threshold)
     blank = df.filter(empty).withColumns({"digit": F.lit(0), "conf": F.lit(1.0)})
     return df.filter(~empty).mapInPandas(run, fields).unionByName(blank)
 

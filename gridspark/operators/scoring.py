@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import cells
-from gridspark.functions.binding import safe_divide
+from gridspark.functions.binding import literal_rows, safe_divide
 from gridspark.operators.quantiles import bounded_percentile
 
 # Fixed values.
@@ -22,8 +22,7 @@ SWEEP_THRESHOLDS = [0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 RESCUE_THRESHOLDS = [0.3 + 0.05 * i for i in range(14)]
 
 
-def count_if(condition: Column) -> Column:
-    return F.count_if(condition)
+count_if = F.count_if
 
 
 def score_cells(df: DataFrame, cell: str = "cell", predicted: str = "predicted") -> DataFrame:
@@ -166,7 +165,7 @@ def calibration(scored: DataFrame, bins=CALIBRATION_BINS) -> DataFrame:
         interval_join(scored, "conf", bins).filter("bin IS NOT NULL").groupBy("bin")
         .agg(F.count("*").alias("cells"), count_if(F.col("correct")).alias("right"))
     )
-    labels = scored.sparkSession.createDataFrame([(b[2],) for b in bins], "bin string")
+    labels = literal_rows(scored.sparkSession, "bin", [b[2] for b in bins])
     return labels.join(counted, "bin", "left").select(
         "bin",
         F.coalesce("cells", F.lit(0)).alias("cells"),

@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from gridspark.plans import evaluation  # noqa: F401
+from gridspark.plans import evaluation, puzzle_queries, quad_queries, vector_queries  # noqa: F401
 from gridspark.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401

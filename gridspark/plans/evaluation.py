@@ -379,7 +379,7 @@ def axis_sweep(spark, sf):
 
 @query("baseline_anchor", "J13 P17 P18", RUNS + """
 SELECT r.name, CASE 16 * (1 << CAST(r.dropout AS INT)) WHEN 16 THEN 'small' WHEN 32 THEN 'medium' WHEN 64 THEN 'large' ELSE '?' END AS size,
-  r.real_acc - b.real_acc AS diff, round(0.5*r.real_acc + 0.5*r.synth, 6) AS blended
+  r.real_acc - b.real_acc AS diff, round(0.5*r.real_acc + 0.5*r.synth, 6)::DOUBLE AS blended
 FROM fx_runs r LEFT JOIN (SELECT * FROM fx_runs WHERE name = 7) b ON true""")
 def baseline_anchor(spark, sf):
     runs = X.baseline_anchor(I.runs(spark, sf), "name", 7, ["real_acc"])

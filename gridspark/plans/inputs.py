@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import geometry as G
+from gridspark.functions.vectors import minmax
 from gridspark.operators.scoring import score_cells
 from gridspark.sources.readers import read_table
 
@@ -63,25 +64,24 @@ SCORED = f"""fx_scored AS (
 SCORED_CTE = cte(IDX81, CELLS, SCORED)
 
 
-def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Long cells: image_id, idx, r, c, sol, clue. Generated where the order row is read."""
-    orders = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"))
-    base = spread(orders, "image_id").select(
-        "image_id",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(80).cast("bigint"))).alias("idx"),
-    ).selectExpr("image_id", "idx", "idx div 9 AS r", "idx % 9 AS c")
+def unfold_cells(images: DataFrame) -> DataFrame:
+    """81 cells per image row (needs image_id, keeps the rest). Works on streams too."""
     sol = _SOL.format(r="r", band="r div 3", c="c", id="image_id")
     blank = _BLANK.format(r="r", c="c", id="image_id", m=5)
-    return base.selectExpr("*", f"{sol} AS sol").selectExpr(
-        "*", f"CASE WHEN {blank} THEN 0 ELSE sol END AS clue"
+    return (
+        images.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(80).cast("bigint"))).alias("idx"))
+        .selectExpr("*", "idx div 9 AS r", "idx % 9 AS c")
+        .selectExpr("*", f"{sol} AS sol")
+        .selectExpr("*", f"CASE WHEN {blank} THEN 0 ELSE sol END AS clue")
     )
 
 
-def readings(spark: SparkSession, sf: str) -> DataFrame:
-    return cells(spark, sf).selectExpr(
+def read_cells(cell_rows: DataFrame, *keep: str) -> DataFrame:
+    """Simulated readings of long cells, with every class of error."""
+    return cell_rows.selectExpr(
         "*", "(image_id*7919 + idx*104729) % 1000 AS h", "(image_id*611953 + idx*7907) % 1000 AS h2"
     ).selectExpr(
-        "image_id", "idx", "r", "c", "clue", "image_id % 10 <> 3 AS detected",
+        *keep, "image_id", "idx", "r", "c", "clue", "image_id % 10 <> 3 AS detected",
         f"{_READING} AS predicted", f"{_BEST} AS best_digit",
         "clue <> 0 AND h < 50 AS is_filtered",
         "CASE WHEN clue <> 0 AND h < 50 THEN 1.0D ELSE h2 / 1000.0D END AS conf",
@@ -89,25 +89,35 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Long cells: image_id, idx, r, c, sol, clue. Generated where the order row is read."""
+    orders = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"))
+    return unfold_cells(spread(orders, "image_id"))
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return read_cells(cells(spark, sf))
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     return score_cells(readings(spark, sf))
 
 
-def _grid_expr(modulus: int, bad: bool) -> tuple[str, str]:
-    sol = _SOL.format(r="i div 9", band="i div 27", c="i % 9", id="o_orderkey")
-    blank = _BLANK.format(r="i div 9", c="i % 9", id="o_orderkey", m=modulus)
+def grid_columns(modulus: int = 5, bad: bool = False, key: str = "puzzle_id") -> list[str]:
+    """Expressions for clues and solution as 81-element arrays."""
+    sol = _SOL.format(r="i div 9", band="i div 27", c="i % 9", id=key)
+    blank = _BLANK.format(r="i div 9", c="i % 9", id=key, m=modulus)
     clue = f"CASE WHEN {blank} THEN 0 ELSE {sol} END"
     if bad:
-        clue = f"CASE WHEN o_orderkey % 7 = 0 AND i < 2 THEN o_orderkey % 45 % 9 + 1 ELSE {clue} END"
+        clue = f"CASE WHEN {key} % 7 = 0 AND i < 2 THEN {key} % 45 % 9 + 1 ELSE {clue} END"
     every = lambda e: f"transform(sequence(0, 80), i -> CAST({e} AS INT))"
-    return every(clue), every(sol)
+    return [f"{every(clue)} AS clues", f"{every(sol)} AS sol"]
 
 
 def grids(spark: SparkSession, sf: str, modulus: int = 5, bad: bool = False) -> DataFrame:
     """One row per puzzle: puzzle_id, clues and solution as 81-element arrays."""
-    clues, sol = _grid_expr(modulus, bad)
-    orders = read_table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey AS puzzle_id")
-    return spread(orders, "puzzle_id").selectExpr("puzzle_id", f"{clues} AS clues", f"{sol} AS sol")
+    orders = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("puzzle_id"))
+    return spread(orders, "puzzle_id").selectExpr("puzzle_id", *grid_columns(modulus, bad))
 
 
 # --- candidate quads: every line item is a quad in the image of its order ---
@@ -223,8 +233,6 @@ PIXELS = """fx_pixels AS (
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    from gridspark.functions.vectors import minmax
-
     return vectors(spark, sf).select(
         "vec_id", "label", F.transform(minmax(F.col("vec")), lambda v: F.floor(v + 0.5)).alias("px")
     )

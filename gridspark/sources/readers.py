@@ -33,10 +33,14 @@ def _cell_values(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"[\[\]\s]", ""), ",").cast("array<int>")
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(path, points, outer, cells): one row per image, every cell a set of digits."""
+def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(path, points, outer, cells): one row per image, every cell a set of digits.
+
+    A document that spans lines is read by one task; large collections should hold one
+    document per line (``multi_line=False``), which splits.
+    """
     image = (
-        spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", True).json(path)
+        spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", multi_line).json(path)
         .select(F.explode("images").alias("i")).select("i.*")
     )
     points = F.transform(

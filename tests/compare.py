@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import logging
 import math
 import os
 import sys
@@ -53,8 +54,10 @@ def table(columns, rows):
 
 def compare(spark, con, query, sql, sf_dir):
     """Empty string when equal, else a description of the difference."""
+    start = time.time()
     df = query(spark, sf_dir)
     spark_cols, spark_rows = table(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time() - start
     cur = con.execute(sql)
     duck_cols, duck_rows = table([d[0] for d in cur.description], cur.fetchall())
     if spark_cols != duck_cols:
@@ -67,12 +70,21 @@ def compare(spark, con, query, sql, sf_dir):
     return "" if spark_rows else "both empty"
 
 
+TIMES = {}
+
+
+def module_of(fn):
+    return fn.__module__.rsplit(".", 1)[-1]
+
+
 def main() -> None:
     from gridspark.plans import ORACLES, QUERIES
     from gridspark.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(QUERIES)
+    names = [n for n in QUERIES if not sys.argv[2:] or any(n == a or module_of(QUERIES[n]) == a for a in sys.argv[2:])]
+    logging.getLogger("DataFrameQueryContextLogger").disabled = True
+    logging.disable(logging.CRITICAL)
     spark, con = local_session(8), connect(sf_dir)
     failed = []
     for name in names:
@@ -86,7 +98,7 @@ def main() -> None:
         except Exception as error:
             result = f"{type(error).__name__}: {str(error)[:600]}"
         mark = "ok  " if not result else "FAIL"
-        print(f"{mark} {time.time() - start:6.2f}s {name} {result}", flush=True)
+        print(f"{mark} {TIMES.pop('spark', 0):6.2f}s of {time.time() - start:6.2f}s {name} {result}", flush=True)
         if result:
             failed.append(name)
     print(f"{len(names) - len(failed)}/{len(names)} ok", failed)
