@@ -156,13 +156,13 @@ def interval_join(df: DataFrame, value: str, bins: list[tuple[float, float, str]
         bins[1:],
         F.when((v >= bins[0][0]) & (v < bins[0][1]), F.lit(bins[0][2])),
     )
-    return df.withColumn("bin", label)
+    return df.withColumn("bin", label.otherwise(F.lit("outside")))
 
 
 def calibration(scored: DataFrame, bins=CALIBRATION_BINS) -> DataFrame:
     """Cells and accuracy per confidence bin; an empty bin is reported with zero cells."""
     counted = (
-        interval_join(scored, "conf", bins).filter("bin IS NOT NULL").groupBy("bin")
+        interval_join(scored, "conf", bins).groupBy("bin")
         .agg(F.count("*").alias("cells"), count_if(F.col("correct")).alias("right"))
     )
     labels = literal_rows(scored.sparkSession, "bin", [b[2] for b in bins])

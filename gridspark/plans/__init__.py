@@ -1,4 +1,11 @@
 """Registered queries; importing this package fills the registry."""
 
-from gridspark.plans import evaluation, puzzle_queries, quad_queries, vector_queries  # noqa: F401
+from gridspark.plans import (  # noqa: F401
+    evaluation,
+    puzzle_queries,
+    quad_queries,
+    stream_queries,
+    table_queries,
+    vector_queries,
+)
 from gridspark.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -31,6 +31,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def computed(df: DataFrame, *keep: str, **values) -> DataFrame:
+    """Kept columns plus computed ones that behave like columns of a table.
+
+    As plain projections the expressions would be pasted into every later filter and
+    reference, past the size the JVM still compiles; a generator of one row stops that.
+    """
+    row = F.struct(*[(F.expr(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 # --- puzzles: every order is a puzzle with a known solution -----------------
 
 _SOL = "(({r})*3 + ({band}) + ({c}) + {id} % 45) % 9 + 1"
@@ -78,14 +88,16 @@ def unfold_cells(images: DataFrame) -> DataFrame:
 
 def read_cells(cell_rows: DataFrame, *keep: str) -> DataFrame:
     """Simulated readings of long cells, with every class of error."""
-    return cell_rows.selectExpr(
+    numbered = cell_rows.selectExpr(
         "*", "(image_id*7919 + idx*104729) % 1000 AS h", "(image_id*611953 + idx*7907) % 1000 AS h2"
-    ).selectExpr(
-        *keep, "image_id", "idx", "r", "c", "clue", "image_id % 10 <> 3 AS detected",
-        f"{_READING} AS predicted", f"{_BEST} AS best_digit",
-        "clue <> 0 AND h < 50 AS is_filtered",
-        "CASE WHEN clue <> 0 AND h < 50 THEN 1.0D ELSE h2 / 1000.0D END AS conf",
-        "CASE WHEN (image_id*31 + idx) % 50 = 0 THEN array(clue, clue % 9 + 1) ELSE array(clue) END AS cell",
+    )
+    return computed(
+        numbered.withColumn("detected", F.expr("image_id % 10 <> 3")),
+        *keep, "image_id", "idx", "r", "c", "detected",
+        clue="clue", predicted=_READING, best_digit=_BEST,
+        is_filtered="clue <> 0 AND h < 50",
+        conf="CASE WHEN clue <> 0 AND h < 50 THEN 1.0D ELSE h2 / 1000.0D END",
+        cell="CASE WHEN (image_id*31 + idx) % 50 = 0 THEN array(clue, clue % 9 + 1) ELSE array(clue) END",
     )
 
 
@@ -103,7 +115,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return score_cells(readings(spark, sf))
 
 
-def grid_columns(modulus: int = 5, bad: bool = False, key: str = "puzzle_id") -> list[str]:
+def grid_columns(modulus: int = 5, bad: bool = False, key: str = "puzzle_id") -> dict[str, str]:
     """Expressions for clues and solution as 81-element arrays."""
     sol = _SOL.format(r="i div 9", band="i div 27", c="i % 9", id=key)
     blank = _BLANK.format(r="i div 9", c="i % 9", id=key, m=modulus)
@@ -111,13 +123,13 @@ def grid_columns(modulus: int = 5, bad: bool = False, key: str = "puzzle_id") ->
     if bad:
         clue = f"CASE WHEN {key} % 7 = 0 AND i < 2 THEN {key} % 45 % 9 + 1 ELSE {clue} END"
     every = lambda e: f"transform(sequence(0, 80), i -> CAST({e} AS INT))"
-    return [f"{every(clue)} AS clues", f"{every(sol)} AS sol"]
+    return {"clues": every(clue), "sol": every(sol)}
 
 
 def grids(spark: SparkSession, sf: str, modulus: int = 5, bad: bool = False) -> DataFrame:
     """One row per puzzle: puzzle_id, clues and solution as 81-element arrays."""
     orders = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("puzzle_id"))
-    return spread(orders, "puzzle_id").selectExpr("puzzle_id", *grid_columns(modulus, bad))
+    return computed(spread(orders, "puzzle_id"), "puzzle_id", **grid_columns(modulus, bad))
 
 
 # --- candidate quads: every line item is a quad in the image of its order ---
@@ -146,10 +158,10 @@ def quads(spark: SparkSession, sf: str) -> DataFrame:
     )
     base = spread(base, "image_id")
     x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
-    return base.withColumns({
-        "corners": G.quad((x0, y0), (x1, y0), (x1, y1), (x0, y1)),
-        "area": F.col("w") * F.col("h"),
-    })
+    return computed(
+        base, *base.columns,
+        corners=G.quad((x0, y0), (x1, y0), (x1, y1), (x0, y1)), area=F.col("w") * F.col("h"),
+    )
 
 
 # --- detections: every order is an image with a true and a found quad -------
@@ -170,13 +182,13 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
     )
     c = F.col
     box = lambda x, y, w, h: G.quad((x, y), (x + w, y), (x + w, y + h), (x, y + h))
-    return base.select(
-        "image_id", "detected",
-        box(c("x0"), c("y0"), c("w"), c("h")).alias("truth"),
-        F.when(
+    return computed(
+        spread(base, "image_id"), "image_id", "detected",
+        truth=box(c("x0"), c("y0"), c("w"), c("h")),
+        found=F.when(
             c("detected"),
             box(c("x0") + c("dx"), c("y0") + c("dy"), c("w") + c("dx"), c("h") - c("dy")),
-        ).alias("found"),
+        ),
     )
 
 
@@ -233,6 +245,5 @@ PIXELS = """fx_pixels AS (
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors(spark, sf).select(
-        "vec_id", "label", F.transform(minmax(F.col("vec")), lambda v: F.floor(v + 0.5)).alias("px")
-    )
+    levels = F.transform(minmax(F.col("vec")), lambda v: F.floor(v + 0.5))
+    return computed(vectors(spark, sf), "vec_id", "label", px=levels)
