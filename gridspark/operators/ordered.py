@@ -8,6 +8,8 @@ spread over its buckets and the result is the same as the plain window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -108,6 +110,39 @@ def trailing_debounce(df: DataFrame, key: str, ts: str, tie: str, delay_seconds:
     return led.filter(quiet).drop("_next", "_bucket")
 
 
+def _segments(keys: list[str], per_group):
+    """mapInPandas body over rows sorted by ``keys``: calls ``per_group`` with whole groups.
+
+    One Arrow batch holds many groups, so the cost per group is a slice, not a Python call
+    across the JVM border. A group cut by a batch edge is held until its end arrives.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            ends = (batch[keys] != batch[keys].shift(-1)).any(axis=1).to_numpy()
+            ends[-1] = False  # whether the last group ends here shows in the next batch
+            if held and (held[-1][keys].iloc[-1] != batch[keys].iloc[0]).any():
+                yield per_group(pd.concat(held, ignore_index=True))
+                held = []
+            cut = np.flatnonzero(ends)
+            if len(cut):
+                yield per_group(pd.concat(held + [batch.iloc[: cut[-1] + 1]], ignore_index=True))
+                held = [batch.iloc[cut[-1] + 1 :]]
+            else:
+                held.append(batch)
+        if held:
+            yield per_group(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _bounds(pdf: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+    return list(zip(starts, np.append(starts[1:], len(pdf))))
+
+
 def _chain(times: np.ndarray, gap: int) -> np.ndarray:
     """Index of the row accepted next after each row of a sorted array (its length if none)."""
     return np.searchsorted(times, times + gap, side="left")
@@ -121,51 +156,55 @@ def _exits(gap: int, key: str):
     are kept once, by the latest of them.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_t"].to_numpy())
-        after = _chain(times, gap)
-        last = np.arange(len(times))
-        for i in range(len(times) - 1, -1, -1):
-            if after[i] < len(times):
-                last[i] = last[after[i]]
-        reach = min(int(np.searchsorted(times, times[0] + gap, side="left")) + 1, len(times))
-        entry, leave = times[:reach], times[last[:reach]]
-        final = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame({
-            key: [pdf[key].iloc[0]], "_bucket": [pdf["_bucket"].iloc[0]],
-            "_entries": [entry[final]], "_leaves": [leave[final]],
-        })
+        heads, entries, leaves = [], [], []
+        all_times = pdf["_t"].to_numpy()
+        for start, end in _bounds(pdf, [key, "_bucket"]):
+            times = all_times[start:end]
+            after = _chain(times, gap)
+            last = np.where(after < len(times), after, np.arange(len(times)))
+            while not np.array_equal(last, last[last]):  # pointer doubling
+                last = last[last]
+            reach = min(int(np.searchsorted(times, times[0] + gap, side="left")) + 1, len(times))
+            entry, leave = times[:reach], times[last[:reach]]
+            final = np.append(leave[1:] != leave[:-1], True)
+            heads.append(start)
+            entries.append(entry[final])
+            leaves.append(leave[final])
+        out = pdf.iloc[heads][[key, "_bucket"]]
+        return out.assign(_entries=entries, _leaves=leaves)
 
     return run
 
 
 def _carry(gap: int, key: str):
-    """Walk the bucket summaries of one key in order; the state is one timestamp."""
+    """Walk the bucket summaries of each key in order; the state is one timestamp."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_bucket")
-        last, before = None, []
-        for entries, leaves in zip(pdf["_entries"], pdf["_leaves"]):
-            before.append(last)
-            at = 0 if last is None else int(np.searchsorted(entries, last + gap, side="left"))
-            if at < len(entries):
-                last = int(leaves[at])
-        return pd.DataFrame({
-            key: pdf[key], "_bucket": pdf["_bucket"], "_last": pd.array(before, dtype="Int64"),
-        })
+        before = []
+        entries, leaves = pdf["_entries"].to_numpy(), pdf["_leaves"].to_numpy()
+        for start, end in _bounds(pdf, [key]):
+            last = None
+            for i in range(start, end):
+                before.append(last)
+                at = 0 if last is None else int(np.searchsorted(entries[i], last + gap, side="left"))
+                if at < len(entries[i]):
+                    last = int(leaves[i][at])
+        return pdf[[key, "_bucket"]].assign(_last=pd.array(before, dtype="Int64"))
 
     return run
 
 
 def _accepted(gap: int, key: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        times = pdf["_t"].to_numpy()
-        after = _chain(times, gap)
-        last = pdf["_last"].iloc[0]
-        at = 0 if pd.isna(last) else int(np.searchsorted(times, int(last) + gap, side="left"))
         keep = []
-        while at < len(times):
-            keep.append(at)
-            at = after[at]
+        all_times, before = pdf["_t"].to_numpy(), pdf["_last"].to_numpy()
+        for start, end in _bounds(pdf, [key, "_bucket"]):
+            times = all_times[start:end]
+            after = _chain(times, gap)
+            last = before[start]
+            at = 0 if pd.isna(last) else int(np.searchsorted(times, int(last) + gap, side="left"))
+            while at < len(times):
+                keep.append(start + at)
+                at = after[at]
         return pdf.iloc[keep][[key, "_t", "_tie"]]
 
     return run
@@ -188,15 +227,23 @@ def greedy_min_gap(
         .groupBy(key, "_t").agg(F.min("_tie").alias("_tie"))
         .withColumn("_bucket", F.floor(F.col("_t") / (bucket_seconds * 1_000_000)))
     )
-    summaries = rows.select(key, "_bucket", "_t").groupBy(key, "_bucket").applyInPandas(
-        _exits(gap, key),
-        f"{key} {kind}, _bucket bigint, _entries array<bigint>, _leaves array<bigint>",
+    both = [key, "_bucket"]
+    summaries = (
+        rows.select(*both, "_t").repartition(*both).sortWithinPartitions(*both, "_t")
+        .mapInPandas(
+            _segments(both, _exits(gap, key)),
+            f"{key} {kind}, _bucket bigint, _entries array<bigint>, _leaves array<bigint>",
+        )
     )
-    starts = summaries.groupBy(key).applyInPandas(
-        _carry(gap, key), f"{key} {kind}, _bucket bigint, _last bigint"
+    starts = (
+        summaries.repartition(key).sortWithinPartitions(*both)
+        .mapInPandas(_segments([key], _carry(gap, key)), f"{key} {kind}, _bucket bigint, _last bigint")
     )
-    kept = rows.join(starts, [key, "_bucket"]).groupBy(key, "_bucket").applyInPandas(
-        _accepted(gap, key), f"{key} {kind}, _t bigint, _tie {tie_kind}"
+    kept = (
+        rows.join(starts, both).repartition(*both).sortWithinPartitions(*both, "_t")
+        .mapInPandas(
+            _segments(both, _accepted(gap, key)), f"{key} {kind}, _t bigint, _tie {tie_kind}"
+        )
     )
     return kept.select(key, F.timestamp_micros("_t").alias(ts), F.col("_tie").alias(tie))
 
@@ -215,10 +262,11 @@ def early_stopping(
     blocks = df.select(run, epoch, metric).withColumn("_block", F.floor((F.col(epoch) - 1) / block))
     marked = earlier_max(blocks, [run], "_block", [epoch], metric, "_best")
     records = marked.filter(F.col(metric) > F.coalesce("_best", F.lit(0.0))).drop("_best")
-    spaced = next_value(records, [run], "_block", [epoch], epoch, "_next")
+    # Few rows in practice, and read three times below.
+    spaced = materialise(next_value(records, [run], "_block", [epoch], epoch, "_next"))
     lengths = df.groupBy(run).agg(F.max(epoch).alias("epochs"))
     # Every run starts from a best of zero at epoch 0.
-    heads = records.groupBy(run).agg(F.min(epoch).alias("_next"))
+    heads = spaced.groupBy(run).agg(F.min(epoch).alias("_next"))
     start = lengths.join(heads, run, "left").select(
         run, F.lit(0).cast("bigint").alias(epoch), F.lit(0.0).alias(metric), "_next"
     )

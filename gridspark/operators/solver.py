@@ -189,9 +189,36 @@ def _rounds(start: DataFrame, first_only: bool, steps: int, max_rounds: int | No
 
 
 def distinct_grids(puzzles_df: DataFrame, grid: str) -> DataFrame:
-    """Each grid once; copies collapse before the shuffle."""
-    text = puzzles.grid_text(F.col(grid))
-    return puzzles_df.select(text.alias("grid")).distinct().withColumn("state", F.col("grid"))
+    """Each grid once, as text; copies collapse before the shuffle."""
+    return puzzles_df.select(puzzles.grid_text(F.col(grid)).alias("grid")).distinct()
+
+
+def solve_grids(
+    grids: DataFrame, steps: int = 64, max_rounds: int | None = None, max_states: int | None = None
+) -> DataFrame:
+    """(grid, solution, timed_out) for a table of distinct grid texts.
+
+    ``solution`` is NULL where none was found.
+    """
+    found, left = _rounds(
+        grids.select("grid", F.col("grid").alias("state")), True, steps, max_rounds, max_states
+    )
+    answers = found.groupBy("grid").agg(F.min("state").alias("solution"))
+    open_grids = left.select("grid", F.lit(True).alias("_open"))
+    return (
+        grids.select("grid").join(answers, "grid", "left").join(open_grids, "grid", "left")
+        .select(
+            "grid", "solution",
+            (F.col("solution").isNull() & F.coalesce("_open", F.lit(False))).alias("timed_out"),
+        )
+    )
+
+
+def _back_to_puzzles(puzzles_df: DataFrame, key: str, grid: str, verdict: DataFrame) -> DataFrame:
+    return (
+        puzzles_df.select(key, puzzles.grid_text(F.col(grid)).alias("grid"))
+        .join(verdict, "grid").drop("grid")
+    )
 
 
 def solve_batch(
@@ -208,22 +235,12 @@ def solve_batch(
     found in its first successful round, the same on every run. With a budget, grids still
     open at its end are marked ``timed_out``; without one the search is complete.
     """
-    found, left = _rounds(distinct_grids(puzzles_df, grid), True, steps, max_rounds, max_states)
-    answers = found.groupBy("grid").agg(F.min("state").alias("solution"))
-    open_grids = left.join(answers, "grid", "left_anti").select(
-        "grid", F.lit(True).alias("timed_out")
-    )
-    verdict = answers.join(open_grids, "grid", "full_outer")
-    return (
-        puzzles_df.select(key, puzzles.grid_text(F.col(grid)).alias("grid"))
-        .join(verdict, "grid", "left")
-        .select(
-            key,
-            F.col("solution").isNotNull().alias("solved"),
-            F.coalesce("timed_out", F.lit(False)).alias("timed_out"),
-            F.coalesce("solution", F.lit("")).alias("solution"),
-        )
+    grids = materialise(distinct_grids(puzzles_df, grid))
+    verdict = solve_grids(grids, steps, max_rounds, max_states).select(
+        "grid", F.col("solution").isNotNull().alias("solved"), "timed_out",
+        F.coalesce("solution", F.lit("")).alias("solution"),
     )
+    return _back_to_puzzles(puzzles_df, key, grid, verdict)
 
 
 def solution_count(
@@ -235,22 +252,22 @@ def solution_count(
     max_states: int | None = None,
 ) -> DataFrame:
     """(key, solutions, is_unique, complete): all solutions counted unless a budget ran out."""
-    found, left = _rounds(distinct_grids(puzzles_df, grid), False, steps, max_rounds, max_states)
-    counts = found.groupBy("grid").agg(F.countDistinct("state").alias("solutions"))
-    verdict = counts.join(left.withColumn("incomplete", F.lit(True)), "grid", "full_outer")
-    solutions = F.coalesce("solutions", F.lit(0)).cast("bigint")
-    complete = F.col("incomplete").isNull()
-    return (
-        puzzles_df.select(key, puzzles.grid_text(F.col(grid)).alias("grid"))
-        .join(verdict, "grid", "left")
+    grids = materialise(distinct_grids(puzzles_df, grid))
+    found, left = _rounds(
+        grids.select("grid", F.col("grid").alias("state")), False, steps, max_rounds, max_states
+    )
+    counts = found.groupBy("grid").agg(F.countDistinct("state").alias("_n"))
+    unfinished = left.select("grid", F.lit(True).alias("_open"))
+    solutions = F.coalesce("_n", F.lit(0)).cast("bigint")
+    complete = F.col("_open").isNull()
+    verdict = (
+        grids.join(counts, "grid", "left").join(unfinished, "grid", "left")
         .select(
-            key,
-            solutions.alias("solutions"),
-            # Two solutions settle the question even when the count is not complete.
-            ((solutions == 1) & complete).alias("is_unique"),
-            complete.alias("complete"),
+            "grid", solutions.alias("solutions"),
+            ((solutions == 1) & complete).alias("is_unique"), complete.alias("complete"),
         )
     )
+    return _back_to_puzzles(puzzles_df, key, grid, verdict)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -300,36 +317,40 @@ def fill_naked_singles(puzzles_df: DataFrame, key: str = "puzzle_id", grid: str
     )
 
 
-def solve_gate(puzzles_df: DataFrame, key: str = "puzzle_id", grid: str = "clues", **budget) -> DataFrame:
-    """Validate, require the minimum of clues, solve, verify; the rest bypasses the solver.
+def solve_gate(
+    puzzles_df: DataFrame, key: str = "puzzle_id", grid: str = "clues",
+    steps: int = 64, max_rounds: int | None = None, max_states: int | None = None,
+) -> DataFrame:
+    """(key, success, message, solution): validate, require the minimum of clues, solve, verify.
 
     ``message`` follows the solve response: the joined errors of an invalid puzzle, or the
-    outcome of the search.
+    outcome of the search. Invalid and sparse puzzles bypass the solver. All of it depends
+    on the grid alone, so it is worked out once per distinct grid.
     """
-    errors = puzzles.violations(F.col(grid))
-    checked = puzzles_df.select(
-        key, grid,
-        puzzles.is_valid_grid(F.col(grid)).alias("valid"),
-        cells.has_min_clues(F.col(grid)).alias("enough"),
+    clues = puzzles.grid_cells(F.col("grid"))
+    checked = materialise(
+        distinct_grids(puzzles_df, grid).select("grid", clues.alias("clues")).select(
+            "grid", "clues", puzzles.is_valid_grid(F.col("clues")).alias("valid"),
+            cells.has_min_clues(F.col("clues")).alias("enough"),
+        )
     )
-    ready = checked.filter("valid AND enough")
-    solved = solve_batch(ready, key, grid, **budget)
+    solved = solve_grids(checked.filter("valid AND enough"), steps, max_rounds, max_states)
+    success = F.col("solution").isNotNull() & puzzles.is_solution(puzzles.grid_cells(F.col("solution")))
     accepted = solved.select(
-        key,
-        (F.col("solved") & puzzles.is_solution(puzzles.grid_cells(F.col("solution")))).alias("success"),
-        "solution",
+        "grid", F.coalesce(success, F.lit(False)).alias("success"), "solution"
     ).select(
-        key, "success",
+        "grid", "success",
         F.when(F.col("success"), "solved").otherwise("Could not find valid solution.").alias("message"),
         F.when(F.col("success"), F.col("solution")).otherwise("").alias("solution"),
     )
-    invalid = checked.filter("NOT valid").select(
-        key, F.lit(False).alias("success"), cells.invalid_message(errors).alias("message"),
-        F.lit("").alias("solution"),
+    refused = lambda df, message: df.select(
+        "grid", F.lit(False).alias("success"), message.alias("message"), F.lit("").alias("solution")
+    )
+    invalid = refused(
+        checked.filter("NOT valid"), cells.invalid_message(puzzles.violations(F.col("clues")))
     )
-    sparse = checked.filter("valid AND NOT enough").select(
-        key, F.lit(False).alias("success"),
-        F.lit(f"At least {cells.MIN_CLUES} clues are needed").alias("message"),
-        F.lit("").alias("solution"),
+    sparse = refused(
+        checked.filter("valid AND NOT enough"), F.lit(f"At least {cells.MIN_CLUES} clues are needed")
     )
-    return accepted.unionByName(invalid).unionByName(sparse)
+    verdict = accepted.unionByName(invalid).unionByName(sparse)
+    return _back_to_puzzles(puzzles_df, key, grid, verdict)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import geometry as G
+from gridspark.functions.binding import int_matrix
 from gridspark.functions.vectors import minmax
 from gridspark.operators.scoring import score_cells
 from gridspark.sources.readers import read_table
@@ -115,15 +116,29 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return score_cells(readings(spark, sf))
 
 
-def grid_columns(modulus: int = 5, bad: bool = False, key: str = "puzzle_id") -> dict[str, str]:
-    """Expressions for clues and solution as 81-element arrays."""
-    sol = _SOL.format(r="i div 9", band="i div 27", c="i % 9", id=key)
-    blank = _BLANK.format(r="i div 9", c="i % 9", id=key, m=modulus)
-    clue = f"CASE WHEN {blank} THEN 0 ELSE {sol} END"
+def _patterns(modulus: int, bad: bool) -> tuple[list[list[int]], list[list[int]]]:
+    """Clues and solution per residue of the key modulo 45, by the rule of CELLS."""
+    sols, clues = [], []
+    for k in range(45):
+        sol = [(i // 9 * 3 + i // 27 + i % 9 + k) % 9 + 1 for i in range(81)]
+        clue = [
+            0 if (i // 9 * 31 + i % 9 * 17 + k * 7 + (i // 9) * (i % 9) * 5) % modulus < 2 else v
+            for i, v in enumerate(sol)
+        ]
+        sols.append(sol)
+        clues.append([k % 9 + 1] * 2 + clue[2:] if bad else clue)
+    return clues, sols
+
+
+def grid_columns(modulus: int = 5, bad: bool = False, key: str = "puzzle_id") -> dict:
+    """Expressions for clues and solution as 81-element arrays: a lookup by residue."""
+    slot = (F.col(key) % 45).cast("int")
+    clues, sols = _patterns(modulus, False)
+    grid = int_matrix(clues)[slot]
     if bad:
-        clue = f"CASE WHEN {key} % 7 = 0 AND i < 2 THEN {key} % 45 % 9 + 1 ELSE {clue} END"
-    every = lambda e: f"transform(sequence(0, 80), i -> CAST({e} AS INT))"
-    return {"clues": every(clue), "sol": every(sol)}
+        spoiled = int_matrix(_patterns(modulus, True)[0])[slot]
+        grid = F.when(F.col(key) % 7 == 0, spoiled).otherwise(grid)
+    return {"clues": grid, "sol": int_matrix(sols)[slot]}
 
 
 def grids(spark: SparkSession, sf: str, modulus: int = 5, bad: bool = False) -> DataFrame:

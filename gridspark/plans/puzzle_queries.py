@@ -151,6 +151,20 @@ def solve_batch(spark, sf):
     return S.solve_batch(I.grids(spark, sf))
 
 
+@query("solve_distinct", "U5 A3", """
+SELECT o_orderkey AS puzzle_id, true AS solved, true AS verified, true AS agrees FROM orders""")
+def solve_distinct(spark, sf):
+    """A different puzzle per order, half of it blank; any valid completion is accepted."""
+    clues = F.expr("transform(sol, (v, i) -> IF((puzzle_id*7919 + i*i*(puzzle_id % 997 + 3)) % 1000 < 500, 0, v))")
+    thinned = I.computed(I.grids(spark, sf), "puzzle_id", clues=clues)
+    answer = P.grid_cells(F.col("solution"))
+    solved = S.solve_batch(thinned).join(thinned, "puzzle_id")
+    return solved.select(
+        "puzzle_id", "solved", P.is_solution(answer).alias("verified"),
+        P.agrees_with_clues(F.col("clues"), answer).alias("agrees"),
+    )
+
+
 @query("solve_gate", "U7 P19", VIOLATIONS[:-1] + """, fx_valid AS (SELECT image_id AS puzzle_id, string_agg(sol::VARCHAR, '' ORDER BY idx) AS solution FROM fx_cells GROUP BY 1)
 SELECT v.puzzle_id, m.report IS NULL AS success,
   CASE WHEN m.report IS NULL THEN 'solved' ELSE 'Invalid puzzle: ' || m.report END AS message,
