@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from gridspark.functions.binding import let
 from gridspark.operators import ordered as O
 from gridspark.operators import tables as T
+from gridspark.operators.scoring import per_image_breakdown
 from gridspark.plans import inputs as I
 from gridspark.plans.registry import longs, query, rounded
 from gridspark.session import scratch
 from gridspark.sources import readers as S
 from gridspark.sources.readers import read_table
+from gridspark.sources.writers import write_results as write_tables
 
 # --- keys -------------------------------------------------------------------
 
@@ -127,7 +129,7 @@ def _epochs(spark, sf):
     return numbered.select(F.col("user_id").alias("run"), "epoch", F.col("value").alias("val_acc"))
 
 
-@query("epoch_numbers", "S10", I.cte(I.EPOCHS) + "SELECT run, epoch, val_acc FROM fx_epochs")
+@query("epoch_numbers", "D16", I.cte(I.EPOCHS) + "SELECT run, epoch, val_acc FROM fx_epochs")
 def epoch_numbers(spark, sf):
     return _epochs(spark, sf)
 
@@ -217,3 +219,35 @@ def read_annotations(spark, sf):
         F.size(F.filter("cells", lambda c: F.size(c) > 1)).alias("ambiguous"),
         F.col("outer")[1]["x"].alias("right_edge"),
     ), "ambiguous", "right_edge")
+
+
+@query("read_experiments", "S9", """
+SELECT 'run' || p_partkey AS name, 2 + p_partkey % 3 AS depth, CAST(p_size AS BIGINT) * 1000 AS parameters, p_partkey % 1000 / 1000.0::DOUBLE AS real_filled_acc FROM part""")
+def read_experiments(spark, sf):
+    """Result documents, one per line, each with a results array."""
+    path = scratch(spark, "experiments")
+    result = F.struct(
+        F.concat(F.lit("run"), "p_partkey").alias("name"), (2 + F.col("p_partkey") % 3).alias("depth"),
+        F.array(F.lit(32), F.lit(64)).alias("channels"), (F.col("p_size") * 1000).alias("parameters"),
+        (F.col("p_partkey") % 1000 / 1000.0).alias("real_filled_acc"),
+    )
+    protocol = F.create_map(F.lit("epochs"), F.lit("20"))
+    read_table(spark, sf, "part").select(protocol.alias("protocol"), F.array(result).alias("results")).write.json(path)
+    runs = S.read_experiments(spark, path, multi_line=False)
+    return longs(runs.select("name", "depth", "parameters", "real_filled_acc"), "depth")
+
+
+@query("write_results", "S8", I.SCORED_CTE + """
+SELECT 'summary' AS part, count(*) AS rows, 'accuracy' AS command, count(*) FILTER (correct) AS correct FROM fx_scored GROUP BY ()
+UNION ALL SELECT 'detail', count(*), 'accuracy', sum(k)::BIGINT FROM (SELECT count(*) FILTER (filled AND correct) AS k FROM fx_scored GROUP BY image_id)""")
+def write_results(spark, sf):
+    """Summary and per-image rows with their provenance, written and read back."""
+    path = scratch(spark, "results")
+    scored = I.scored(spark, sf)
+    summary = scored.agg(F.count("*").alias("rows"), F.count_if("correct").alias("correct"))
+    write_tables(summary, per_image_breakdown(scored), path, "accuracy")
+    stamped = F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$")
+    read = lambda name: spark.read.parquet(f"{path}/{name}").filter(stamped)
+    head = read("summary").select(F.lit("summary").alias("part"), "rows", "command", "correct")
+    body = read("detail").groupBy("command").agg(F.count("*").alias("rows"), F.sum("correct").alias("correct"))
+    return head.unionByName(body.select(F.lit("detail").alias("part"), "rows", "command", "correct"))

@@ -137,10 +137,10 @@ def scan_labelled_dirs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    """One row per configuration of a results file."""
+def read_experiments(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per configuration of results files."""
     return (
-        spark.read.schema(EXPERIMENT_SCHEMA).option("multiLine", True).json(path)
+        spark.read.schema(EXPERIMENT_SCHEMA).option("multiLine", multi_line).json(path)
         .selectExpr("inline(results)")
     )
 
