@@ -100,7 +100,7 @@ def global_rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
 
 # --- debounce ---------------------------------------------------------------
 
-def trailing_debounce(df: DataFrame, key: str, ts: str, tie: str, delay_seconds: int, bucket_seconds: int = 3600) -> DataFrame:
+def trailing_debounce(df: DataFrame, key: str, ts: str, tie: str, delay_seconds: int, bucket_seconds: int = 600) -> DataFrame:
     """Keep an event only if the key has none within ``delay_seconds`` after it."""
     stamped = df.withColumn("_bucket", time_bucket(F.col(ts), bucket_seconds))
     led = next_value(stamped, [key], "_bucket", [ts, tie], ts, "_next")
@@ -211,21 +211,23 @@ def _accepted(gap: int, key: str):
 
 
 def greedy_min_gap(
-    df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, bucket_seconds: int = 86400
+    df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, bucket_seconds: float | None = None
 ) -> DataFrame:
     """(key, ts, tie): accept in order every row at least the gap after the last accepted one.
 
     The accepted row depends on all rows before it, so each bucket is first reduced to its
     entry -> exit map; a walk over the maps fixes where every bucket starts, and the buckets
-    are then filtered independently. Of rows with equal time only the first can be accepted.
+    are then filtered independently. Of rows with equal time only the first can be accepted,
+    so a bucket of 64 gaps (the default) holds at most that many microseconds of rows.
     """
     gap = int(gap_seconds * 1_000_000)
+    width = int((bucket_seconds or 64 * gap_seconds) * 1_000_000)
     kind = df.schema[key].dataType.simpleString()
     tie_kind = df.schema[tie].dataType.simpleString()
     rows = (
         df.select(key, F.unix_micros(ts).alias("_t"), F.col(tie).alias("_tie"))
         .groupBy(key, "_t").agg(F.min("_tie").alias("_tie"))
-        .withColumn("_bucket", F.floor(F.col("_t") / (bucket_seconds * 1_000_000)))
+        .withColumn("_bucket", F.floor(F.col("_t") / width))
     )
     both = [key, "_bucket"]
     summaries = (

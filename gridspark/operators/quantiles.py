@@ -18,30 +18,45 @@ def bounded_percentile(df: DataFrame, groups: list[str], value: Column, ps: dict
     )
 
 
+def order_bin(value: Column, per_octave: int = 256) -> Column:
+    """A bin number that never decreases with the value and needs no knowledge of the data.
+
+    Logarithmic: a bin spans 1/per_octave of a doubling, so a group has as many bins as its
+    values have doublings, times ``per_octave``, whatever its number of rows.
+    """
+    level = lambda v: F.floor(F.log2(v) * per_octave) + 1100 * per_octave  # above 2^-1100
+    return (
+        F.when(value > 0, level(value)).when(value < 0, -level(-value)).otherwise(F.lit(0))
+        .cast("bigint")
+    )
+
+
 def exact_percentiles(
-    df: DataFrame, groups: list[str], value: Column, ps: dict[str, float], bins: int = 4096
+    df: DataFrame, groups: list[str], value: Column, ps: dict[str, float],
+    per_octave: int = 256, stats: bool = False,
 ) -> DataFrame:
-    """For values of any domain and groups of any size.
+    """For values of any domain and groups of any size; ``stats`` adds n, min, mean and max.
 
     Rows collapse to (group, value, count), which spreads a hot group over its values. A
-    histogram of at most ``bins`` rows per group tells which bin holds each wanted rank;
-    only those bins are ordered.
+    histogram of a few thousand rows per group tells which bin holds each wanted rank; only
+    those bins are ordered. No step moves a group to one task.
     """
     keys = groups or ["_all"]
     source = df.select(*groups, value.cast("double").alias("_v")).filter("_v IS NOT NULL")
     if not groups:
         source = source.withColumn("_all", F.lit(1))
     counted = source.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    spans = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    binned = counted.join(spans, keys).withColumn(
-        "_bin", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
+    binned = counted.withColumn("_bin", order_bin(F.col("_v"), per_octave))
+    hist = binned.groupBy(*keys, "_bin").agg(
+        F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.sum(F.col("_v") * F.col("_n")).alias("_sum"),
     )
-    hist = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"), F.max("_total").alias("_total"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_end", F.sum("_m").over(upto))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumns({
+        "_end": F.sum("_m").over(upto), "_total": F.sum("_m").over(whole),
+        "_lo": F.min("_lo").over(whole), "_hi": F.max("_hi").over(whole), "_sum": F.sum("_sum").over(whole),
+    })
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"), F.lit(part).alias("part"),
@@ -53,11 +68,13 @@ def exact_percentiles(
     hits = (
         hist.withColumn("_w", F.explode(wanted))
         .filter("_w.rank < _end AND _w.rank >= _end - _m")
-        .select(*keys, "_bin", "_w", (F.col("_end") - F.col("_m")).alias("_before"))
+        .withColumn("_before", F.col("_end") - F.col("_m"))
     )
-    # One row per needed bin: the ranks wanted there.
+    # One row per needed bin: the ranks wanted there, two per percentile at most.
+    whole_group = ["_total", "_lo", "_hi", "_sum"]
     bins_needed = hits.groupBy(*keys, "_bin").agg(
-        F.first("_before").alias("_before"), F.collect_list("_w").alias("_ws")
+        F.first("_before").alias("_before"), F.collect_list("_w").alias("_ws"),
+        *[F.first(c).alias(c) for c in whole_group],
     )
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     located = (
@@ -71,11 +88,16 @@ def exact_percentiles(
         for part in ("a", "b"):
             chosen = (F.col("_w.name") == name) & (F.col("_w.part") == part)
             picks.append(F.max(F.when(chosen, F.col("_v"))).alias(f"_{name}_{part}"))
-    wide = located.groupBy(*keys).agg(*picks, F.max("_total").alias("_total"))
+    wide = located.groupBy(*keys).agg(*picks, *[F.first(c).alias(c) for c in whole_group])
     out = []
     for name, p in ps.items():
         at = (F.col("_total") - 1) * F.lit(float(p))
         frac = at - F.floor(at)
         low, high = F.col(f"_{name}_a"), F.col(f"_{name}_b")
         out.append((low + (high - low) * frac).alias(name))
+    if stats:
+        out += [
+            F.col("_total").alias("n"), F.col("_lo").alias("min"),
+            (F.col("_sum") / F.col("_total")).alias("mean"), F.col("_hi").alias("max"),
+        ]
     return wide.select(*groups, *out)

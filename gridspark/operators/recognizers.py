@@ -8,14 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from gridspark.functions import cells
 from gridspark.functions import vectors as V
+from gridspark.functions.binding import computed
 from gridspark.operators.scoring import safe_divide
 
 # A recogniser maps an (n, d) float array to (digits, confidences).
 Predictor = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+PREDICTION = StructType([StructField("digit", IntegerType()), StructField("conf", DoubleType())])
 _LOADERS: dict[str, Callable[[], Predictor]] = {}
 _DEFAULT: list[str] = []
 
@@ -36,21 +38,29 @@ def recognize(
     Empty means a mean intensity below the threshold, or a test of the caller's own.
     """
     load = _LOADERS[name or _DEFAULT[0]]
-    fields = StructType(list(df.schema.fields)).add("digit", IntegerType()).add("conf", DoubleType())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(PREDICTION)
+    def predict_cells(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = load()
-        for batch in batches:
-            if len(batch):
-                digits, confs = predict(np.stack(batch[vec].to_list()).astype(float))
-                yield batch.assign(digit=digits.astype("int32"), conf=confs.astype(float))
-
-    if empty is None:
-        if empty_threshold is None:
-            return df.mapInPandas(run, fields)
-        empty = cells.is_empty_vector(V.as_doubles(F.col(vec)), empty_threshold)
-    blank = df.filter(empty).withColumns({"digit": F.lit(0), "conf": F.lit(1.0)})
-    return df.filter(~empty).mapInPandas(run, fields).unionByName(blank)
+        for cells_in in batches:
+            out = pd.DataFrame({
+                "digit": np.zeros(len(cells_in), dtype=np.int32), "conf": np.ones(len(cells_in))
+            })
+            seen = cells_in.notna().to_numpy()
+            if seen.any():
+                digits, confs = predict(np.stack(cells_in[seen].to_list()).astype(float))
+                out.loc[seen, "digit"] = digits.astype(np.int32)
+                out.loc[seen, "conf"] = confs
+            yield out
+
+    vector = F.col(vec)
+    if empty is None and empty_threshold is not None:
+        empty = cells.is_empty_vector(V.as_doubles(vector), empty_threshold)
+    if empty is not None:
+        # Vectors of empty cells stay in the JVM; one scan serves both kinds.
+        vector = F.when(~empty, vector)
+    prepared = computed(df, *df.columns, _x=vector)
+    return prepared.withColumn("_p", predict_cells("_x")).select(*df.columns, "_p.digit", "_p.conf")
 
 
 def gate(probs: np.ndarray, threshold: float = cells.CONFIDENCE_THRESHOLD) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import cells
 from gridspark.functions.binding import literal_rows, safe_divide
-from gridspark.operators.quantiles import bounded_percentile
 
 # Fixed values.
 CALIBRATION_BINS = [(0.0, 0.5, "low"), (0.5, 0.8, "medium"), (0.8, 1.01, "high")]
@@ -271,10 +270,11 @@ def accuracy_distribution(scored: DataFrame) -> DataFrame:
 
     A share of at most 81 cells takes a few thousand values, so the median state is bounded.
     """
-    images = per_image_accuracy(scored)
-    middle = bounded_percentile(images, [], F.col("accuracy"), {"median_acc": 0.5}).scalar()
-    return images.agg(F.count("*").alias("images"), F.avg("accuracy").alias("mean_acc")).withColumn(
-        "median_acc", middle
+    counted = per_image_accuracy(scored).groupBy("accuracy").agg(F.count("*").alias("_n"))
+    n = F.col("_n")
+    return counted.agg(
+        F.sum(n).alias("images"), (F.sum(F.col("accuracy") * n) / F.sum(n)).alias("mean_acc"),
+        F.percentile("accuracy", F.lit(0.5), n).alias("median_acc"),
     )
 
 
@@ -389,20 +389,29 @@ def quality_gates(metrics: DataFrame, minima: dict[str, float]) -> DataFrame:
 def detection_summary(images: DataFrame) -> DataFrame:
     """Detection rate, corner errors and overlap. Input: detected, mean_error, iou per image.
 
-    Errors are rounded to 3 and overlaps to 4 decimals, so both medians have bounded state.
+    Errors are rounded to 3 and overlaps to 4 decimals: both metrics are first counted by
+    value in one pass, and what the medians see is bounded by those domains.
     """
-    seen = F.col("detected")
-    found = images.filter("detected")
-    totals = images.agg(
-        F.count("*").alias("images"), count_if(seen).alias("detected"),
-        F.bround(safe_divide(count_if(seen), F.count("*")), 4).alias("detection_rate"),
-        F.avg(F.when(seen, F.col("mean_error"))).alias("mean_error"),
-        F.max(F.when(seen, F.col("mean_error"))).alias("max_error"),
-        F.avg(F.when(seen, F.col("iou"))).alias("mean_iou"),
+    metrics = F.explode(F.array(
+        F.struct(F.lit("error").alias("name"), F.col("mean_error").alias("v")),
+        F.struct(F.lit("iou").alias("name"), F.col("iou").alias("v")),
+    ))
+    counted = (
+        images.select("detected", metrics.alias("m")).groupBy("detected", "m.name", "m.v")
+        .agg(F.count("*").alias("n"))
     )
-    middle = lambda column: bounded_percentile(found, [], F.col(column), {"m": 0.5}).scalar()
-    return totals.withColumns(
-        {"median_error": middle("mean_error"), "median_iou": middle("iou")}
+    n, seen, v = F.col("n"), F.col("detected"), F.col("v")
+    of = lambda name: F.when(seen & (F.col("name") == name), v)
+    once = F.col("name") == "iou"  # every image has one row per metric
+    total, found = F.sum(F.when(once, n)), F.coalesce(F.sum(F.when(once & seen, n)), F.lit(0))
+    mean = lambda name: F.sum(of(name) * n) / F.nullif(F.sum(F.when(of(name).isNotNull(), n)), F.lit(0))
+    return counted.agg(
+        total.alias("images"), found.alias("detected"),
+        F.bround(safe_divide(found, total), 4).alias("detection_rate"),
+        mean("error").alias("mean_error"), F.max(of("error")).alias("max_error"),
+        mean("iou").alias("mean_iou"),
+        F.percentile(of("error"), F.lit(0.5), n).alias("median_error"),
+        F.percentile(of("iou"), F.lit(0.5), n).alias("median_iou"),
     )
 
 

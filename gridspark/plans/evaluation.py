@@ -372,9 +372,9 @@ FROM (VALUES (2::BIGINT), (3), (4), (5)) d(depth)
 LEFT JOIN (SELECT depth, min(name) AS name, arg_min(real_acc, name) AS real_acc FROM fx_runs
   WHERE family = 'Brand#2' AND dropout = 1 GROUP BY depth) r USING (depth)""")
 def axis_sweep(spark, sf):
-    return X.axis_sweep(
+    return longs(X.axis_sweep(
         I.runs(spark, sf), "depth", [2, 3, 4, 5], {"family": "Brand#2", "dropout": 1}, "real_acc", "name"
-    )
+    ), "depth")
 
 
 @query("baseline_anchor", "J13 P17 P18", RUNS + """

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import geometry as G
-from gridspark.functions.binding import int_matrix
+from gridspark.functions.binding import computed, int_matrix
 from gridspark.functions.vectors import minmax
 from gridspark.operators.scoring import score_cells
 from gridspark.sources.readers import read_table
@@ -32,16 +32,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def computed(df: DataFrame, *keep: str, **values) -> DataFrame:
-    """Kept columns plus computed ones that behave like columns of a table.
-
-    As plain projections the expressions would be pasted into every later filter and
-    reference, past the size the JVM still compiles; a generator of one row stops that.
-    """
-    row = F.struct(*[(F.expr(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()])
-    return df.select(*keep, F.inline(F.array(row)))
-
-
 # --- puzzles: every order is a puzzle with a known solution -----------------
 
 _SOL = "(({r})*3 + ({band}) + ({c}) + {id} % 45) % 9 + 1"

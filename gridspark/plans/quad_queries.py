@@ -191,7 +191,7 @@ def rank_disagreement(spark, sf):
 # --- fallback chain ---------------------------------------------------------
 
 STEPS = QUADS[:-1] + """, fx_attempts AS (SELECT image_id, step, min(area) AS result FROM (
-  SELECT image_id, 1 AS step, CASE WHEN area > 100000 THEN area END AS area FROM fx_quads
+  SELECT image_id, 1::BIGINT AS step, CASE WHEN area > 100000 THEN area END AS area FROM fx_quads
   UNION ALL SELECT image_id, 2, CASE WHEN area > 60000 AND h > 200 THEN area END FROM fx_quads
   UNION ALL SELECT image_id, 3, CASE WHEN area > 20000 THEN area END FROM fx_quads) GROUP BY 1, 2),
 fx_chain AS (SELECT image_id, coalesce(min(step) FILTER (result IS NOT NULL), 0) AS step,

@@ -123,7 +123,7 @@ STOPS = I.cte(I.EPOCHS, """fx_best AS (SELECT *, coalesce(max(val_acc) OVER (PAR
 
 def _epochs(spark, sf):
     numbered = O.number_rows(
-        I.events(spark, sf).withColumn("_slot", O.time_bucket(F.col("ts"), 86400)),
+        I.events(spark, sf).withColumn("_slot", O.time_bucket(F.col("ts"), 3600)),
         ["user_id"], "_slot", ["ts", "event_id"], "epoch",
     )
     return numbered.select(F.col("user_id").alias("run"), "epoch", F.col("value").alias("val_acc"))

@@ -70,7 +70,7 @@ def read_label_files(spark: SparkSession, path: str, pattern: str = "*.dat") ->
     good = F.filter(rows, lambda r: (F.size(r) == 9) & ~F.exists(r, lambda v: v.isNull()))
     blank = F.array_repeat(F.array_repeat(F.lit(0), 9), 9)
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
         .select(stem(F.col("_metadata.file_path")).alias("stem"), lines.alias("lines"))
         .select(
             "stem",

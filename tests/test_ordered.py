@@ -107,18 +107,22 @@ def test_peaks(spark):
     assert run(plateau, 3).n is None and run([1.0, 0.0], 3).s == 0.0
 
 
-@pytest.mark.parametrize("bins", [1, 7, 4096])
-def test_percentiles(spark, bins):
+@pytest.mark.parametrize("per_octave", [1, 7, 256])
+def test_percentiles(spark, per_octave):
     rng = np.random.default_rng(4)
     rows = [(0, float(v)) for v in rng.lognormal(size=700)] + [(0, 1.5)] * 500 + [(1, 3.0)] + [(2, float(v)) for v in rng.normal(size=11)]
     df = spark.createDataFrame(rows, "g int, v double")
     ps = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
-    got = {r["g"]: r for r in exact_percentiles(df, ["g"], F.col("v"), ps, bins).collect()}
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], F.col("v"), ps, per_octave).collect()}
+    stats = exact_percentiles(df, ["g"], F.col("v"), ps, per_octave, stats=True).filter("g = 2").first()
+    third = [v for k, v in rows if k == 2]
+    assert (stats["n"], stats["min"], stats["max"]) == (11, min(third), max(third))
+    assert np.isclose(stats["mean"], np.mean(third))
     for g in range(3):
         values = [v for k, v in rows if k == g]
         for name, p in ps.items():
             assert np.isclose(got[g][name], np.percentile(values, 100 * p))
-    whole = exact_percentiles(df, [], F.col("v"), ps, bins).first()
+    whole = exact_percentiles(df, [], F.col("v"), ps, per_octave).first()
     assert np.isclose(whole["p50"], np.median([v for _, v in rows]))
     rough = bounded_percentile(df, ["g"], F.round("v", 1), {"m": 0.5}).collect()
     for r in rough:
