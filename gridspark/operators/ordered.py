@@ -261,33 +261,35 @@ def early_stopping(
     ``patience`` misses in a row. Only epochs that set a record matter, so the second pass
     looks at those alone.
     """
-    blocks = df.select(run, epoch, metric).withColumn("_block", F.floor((F.col(epoch) - 1) / block))
-    marked = earlier_max(blocks, [run], "_block", [epoch], metric, "_best")
-    records = marked.filter(F.col(metric) > F.coalesce("_best", F.lit(0.0))).drop("_best")
-    # Few rows in practice, and read three times below.
-    spaced = materialise(next_value(records, [run], "_block", [epoch], epoch, "_next"))
-    lengths = df.groupBy(run).agg(F.max(epoch).alias("epochs"))
-    # Every run starts from a best of zero at epoch 0.
-    heads = spaced.groupBy(run).agg(F.min(epoch).alias("_next"))
-    start = lengths.join(heads, run, "left").select(
-        run, F.lit(0).cast("bigint").alias(epoch), F.lit(0.0).alias(metric), "_next"
+    e, m = F.col("_e"), F.col("_m")
+    curve = df.select(run, F.col(epoch).cast("bigint").alias("_e"), F.col(metric).alias("_m"))
+    blocks = curve.withColumn("_block", F.floor((e - 1) / block))
+    marked = earlier_max(blocks, [run], "_block", ["_e"], "_m", "_best")
+    # Records are few in practice; they are read several times below.
+    records = materialise(marked.filter(m > F.coalesce("_best", F.lit(0.0))).drop("_best"))
+    spaced = next_value(records, [run], "_block", ["_e"], "_e", "_next")
+    stalls = spaced.groupBy(run).agg(
+        F.min("_e").alias("_first"), F.max("_e").alias("_last"),
+        F.min(F.when(F.col("_next") - 1 - e >= patience, e + patience)).alias("_between"),
     )
-    steps = spaced.select(run, F.col(epoch).cast("bigint").alias(epoch), metric, "_next").unionByName(start)
-    gaps = steps.join(lengths, run).filter(
-        F.coalesce(F.col("_next") - 1, F.col("epochs")) - F.col(epoch) >= patience
+    lengths = curve.groupBy(run).agg(F.max("_e").alias("epochs"))
+    # A stall may precede the first record (best 0 at epoch 0), lie between two, or follow the last.
+    before = F.when(F.coalesce(F.col("_first") - 1, F.col("epochs")) >= patience, F.lit(patience))
+    after = F.when(F.col("epochs") - F.col("_last") >= patience, F.col("_last") + patience)
+    stop = F.least(before, "_between", after)  # least() skips NULLs
+    bounded = lengths.join(stalls, run, "left").select(
+        run, "epochs", F.coalesce(stop, "epochs").cast("bigint").alias("stop_epoch"),
+        stop.isNotNull().alias("stopped_early"),
     )
-    stops = gaps.groupBy(run).agg(F.min(F.col(epoch) + patience).alias("_stop"))
-    bounded = lengths.join(stops, run, "left").select(
-        run, "epochs", F.coalesce("_stop", "epochs").alias("stop_epoch"),
-        F.col("_stop").isNotNull().alias("stopped_early"),
-    )
-    best = (
-        steps.join(bounded, run).filter(F.col(epoch) <= F.col("stop_epoch"))
-        .groupBy(run).agg(F.max(F.struct(F.col(epoch).alias("e"), F.col(metric).alias("v"))).alias("_b"))
-    )
-    return bounded.join(best, run).select(
-        run, "epochs", "stop_epoch", "stopped_early",
-        F.col("_b.e").alias("best_epoch"), F.col("_b.v").alias("best_value"),
+    kept = F.when(e <= F.col("stop_epoch"), F.struct(e.alias("e"), m.alias("v")))
+    fixed = ["epochs", "stop_epoch", "stopped_early"]
+    return (
+        bounded.join(records.drop("_block"), run, "left")
+        .groupBy(run).agg(*[F.first(c).alias(c) for c in fixed], F.max(kept).alias("_b"))
+        .select(
+            run, *fixed, F.coalesce("_b.e", F.lit(0).cast("bigint")).alias("best_epoch"),
+            F.coalesce("_b.v", F.lit(0.0)).alias("best_value"),
+        )
     )
 
 

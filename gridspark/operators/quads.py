@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import geometry as G
-from gridspark.operators.quantiles import bounded_percentile
 from gridspark.session import materialise
 
 # Fixed values.
@@ -84,24 +83,27 @@ def rank_disagreement(scored: DataFrame, key: str, tie: str, min_distance: float
 
 
 def component_consistency(components: DataFrame, key: str, area: str) -> DataFrame:
-    """(key, components, median_area, cell_score) from pixel counts of connected components."""
+    """(key, components, median_area, cell_score) from pixel counts of connected components.
+
+    Areas are whole pixels inside a fixed band, so counting by (key, area) first leaves at
+    most a few thousand rows per image for mean, deviation and median alike.
+    """
     low, high = (CELL_AREA * b for b in CELL_BAND)
-    kept = components.filter((F.col(area) > low) & (F.col(area) < high))
-    n = F.count("*")
-    closeness = F.greatest(F.lit(0.0), 1 - F.abs(n - EXPECTED_CELLS) / F.lit(EXPECTED_CELLS))
-    even = F.greatest(F.lit(0.0), 1 - F.stddev_pop(area) / F.avg(area))
-    score = closeness * F.when(n >= MIN_COMPONENTS, even).otherwise(F.lit(0.0))
-    stats = kept.groupBy(key).agg(n.alias("components"), score.alias("cell_score"))
-    # Pixel counts inside the band: at most a few thousand different values.
-    middle = bounded_percentile(kept, [key], F.col(area), {"median_area": 0.5})
-    return (
-        components.select(key).distinct().join(stats, key, "left").join(middle, key, "left")
-        .select(
-            key,
-            F.coalesce("components", F.lit(0)).alias("components"),
-            F.coalesce("median_area", F.lit(0.0)).alias("median_area"),
-            F.coalesce("cell_score", F.lit(0.0)).alias("cell_score"),
-        )
+    inside = F.when((F.col(area) > low) & (F.col(area) < high), F.col(area))
+    counted = components.select(key, inside.alias("_a")).groupBy(key, "_a").agg(F.count("*").alias("_n"))
+    a, n = F.col("_a"), F.when(F.col("_a").isNotNull(), F.col("_n"))
+    stats = counted.groupBy(key).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("components"),
+        (F.sum(a * n) / F.sum(n)).alias("_mean"), (F.sum(a * a * n) / F.sum(n)).alias("_square"),
+        F.percentile("_a", F.lit(0.5), F.col("_n")).alias("_median"),
+    )
+    count, mean = F.col("components"), F.col("_mean")
+    closeness = F.greatest(F.lit(0.0), 1 - F.abs(count - EXPECTED_CELLS) / F.lit(EXPECTED_CELLS))
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("_square") - mean * mean))
+    even = F.greatest(F.lit(0.0), 1 - deviation / mean)
+    return stats.select(
+        key, "components", F.coalesce("_median", F.lit(0.0)).alias("median_area"),
+        F.when(count >= MIN_COMPONENTS, closeness * even).otherwise(F.lit(0.0)).alias("cell_score"),
     )
 
 

@@ -6,18 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bounded_percentile(df: DataFrame, groups: list[str], value: Column, ps: dict[str, float]) -> DataFrame:
-    """For values from a domain of fixed size (rounded shares, pixel counts).
-
-    Equal values collapse before the shuffle; the aggregation state then holds at most
-    the domain, however many rows share a group.
-    """
-    counted = df.select(*groups, value.alias("_v")).groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
-    return counted.groupBy(*groups).agg(
-        *[F.percentile("_v", F.lit(p), F.col("_n")).alias(name) for name, p in ps.items()]
-    )
-
-
 def order_bin(value: Column, per_octave: int = 256) -> Column:
     """A bin number that never decreases with the value and needs no knowledge of the data.
 

@@ -22,14 +22,17 @@ def cte(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Use all cores when the scan has fewer splits than there are cores.
 
     The inputs multiply or heavily compute on few bytes per row; a large table has enough
-    splits and is left alone. Hashing by the key also serves the grouping that follows.
+    splits and is left alone. A unique key also serves the grouping that follows; without
+    one the rows go round robin, so that no key can gather in a task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
 
 
 # --- puzzles: every order is a puzzle with a known solution -----------------
@@ -161,7 +164,7 @@ def quads(spark: SparkSession, sf: str) -> DataFrame:
         "l_partkey % 400 AS x0", "(l_suppkey*13) % 300 AS y0",
         "20 + CAST(l_quantity AS BIGINT)*8 AS w", "20 + (l_partkey*7) % 360 AS h",
     )
-    base = spread(base, "image_id")
+    base = spread(base)
     x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
     return computed(
         base, *base.columns,

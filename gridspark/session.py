@@ -43,7 +43,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints; a private one only in local mode with none set."""
     context = spark.sparkContext
-    current = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
