@@ -48,7 +48,7 @@ def test_violations_text(spark, puzzle_rows):
     first, second = [r["v"] for r in df.collect()]
     assert second == []
     assert first == [
-        "Row 1: duplicate 5 at columns 1 and 2",
+        "Row 1: duplicate 5 at columns 1 and 2", "Row 2: duplicate 5 at columns 1 and 6",
         "Col 1: duplicate 5 at rows 1 and 2",
         "Box (1,1): duplicate 5", "Box (1,1): duplicate 5",
     ]

@@ -1,4 +1,4 @@
-"""File readers on tiny files: S1-S6, S8-S10, J2."""
+"""File readers on tiny files: S1 S2 S3 S4 S5 S6 S8 S9 S10 J2 P1."""
 
 import json
 
