@@ -81,28 +81,24 @@ def in_area_band(area: Column, image_area: Column) -> Column:
     return (area >= image_area * ratio_low) & (area <= image_area * ratio_high)
 
 
+def _axis(corners: Column, axis: str) -> list[Column]:
+    """One coordinate of the four corners; plain field access stays in generated code."""
+    return [F.get(corners, F.lit(i))[axis] for i in range(4)]
+
+
 def squareness(corners: Column) -> Column:
-    """Short over long side of the pixel-inclusive bounding box."""
+    """Short over long side of the pixel-inclusive bounding box of a quad."""
     def side(axis: str) -> Column:
-        return let(
-            F.transform(corners, lambda p: p[axis].cast("int")),
-            lambda values: F.array_max(values) - F.array_min(values) + 1,
-        )
+        values = [v.cast("int") for v in _axis(corners, axis)]
+        return F.greatest(*values) - F.least(*values) + 1
 
-    return let(
-        F.struct(side("x").alias("w"), side("y").alias("h")),
-        lambda s: F.least(s["w"], s["h"]) / F.greatest(s["w"], s["h"]),
-    )
+    return F.least(side("x"), side("y")) / F.greatest(side("x"), side("y"))
 
 
 def centroid(corners: Column) -> Column:
-    return let(
-        corners,
-        lambda c: point(
-            total(F.transform(c, lambda p: p["x"])) / F.size(c),
-            total(F.transform(c, lambda p: p["y"])) / F.size(c),
-        ),
-    )
+    """Mean of the four corners of a quad."""
+    centre = lambda axis: sum(_axis(corners, axis), F.lit(0.0)) / 4
+    return point(centre("x"), centre("y"))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -112,12 +108,10 @@ def distance(p: Column, q: Column) -> Column:
 
 def centredness(corners: Column, width: Column, height: Column) -> Column:
     """1 - distance of the centroid from the image centre over the half diagonal."""
-    half = F.struct((width / 2.0).alias("x"), (height / 2.0).alias("y"))
-    return let(
-        F.struct(centroid(corners).alias("p"), half.alias("h")),
-        lambda s: F.lit(1.0)
-        - distance(s["p"], s["h"]) / F.sqrt(s["h"]["x"] * s["h"]["x"] + s["h"]["y"] * s["h"]["y"]),
-    )
+    middle = centroid(corners)
+    half_w, half_h = width / 2.0, height / 2.0
+    dx, dy = middle["x"] - half_w, middle["y"] - half_h
+    return F.lit(1.0) - F.sqrt(dx * dx + dy * dy) / F.sqrt(half_w * half_w + half_h * half_h)
 
 
 def score3(area_norm: Column, square: Column, centre: Column) -> Column:

@@ -111,9 +111,9 @@ def grid_text(grid: Column) -> Column:
 
 
 def grid_cells(text: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(81)), lambda i: F.substring(text, i, F.lit(1)).cast("int")
-    )
+    """81 digits back to an array; NULL for any other length."""
+    digits = F.slice(F.split(text, ""), 1, 81).cast("array<int>")
+    return F.when(F.length(text) == 81, digits)
 
 
 def agrees_with_clues(clues: Column, solution: Column) -> Column:

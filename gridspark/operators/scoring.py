@@ -18,6 +18,7 @@ from gridspark.functions.binding import literal_rows, safe_divide
 # Fixed values.
 CALIBRATION_BINS = [(0.0, 0.5, "low"), (0.5, 0.8, "medium"), (0.8, 1.01, "high")]
 SWEEP_THRESHOLDS = [0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+QUALITY_MINIMA = {"images": 37, "detected": 33, "filled_acc": 0.55, "solved": 4}
 RESCUE_THRESHOLDS = [0.3 + 0.05 * i for i in range(14)]
 
 
@@ -373,7 +374,7 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame
     )
 
 
-def quality_gates(metrics: DataFrame, minima: dict[str, float]) -> DataFrame:
+def quality_gates(metrics: DataFrame, minima: dict[str, float] = QUALITY_MINIMA) -> DataFrame:
     """One row per gate: value, minimum, passed. ``metrics`` is one wide row."""
     rows = F.explode(F.array(*[
         F.struct(F.lit(n).alias("gate"), F.col(n).cast("double").alias("value"), F.lit(float(m)).alias("minimum"))

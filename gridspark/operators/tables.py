@@ -6,8 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.binding import int_matrix
+from gridspark.functions.cells import basename
 from gridspark.functions.puzzles import PEERS
 
+# Font families whose digits are known to render.
+FONT_PREFIXES = [
+    "helvetica", "arial", "times", "georgia", "verdana", "courier", "menlo", "sfns", "sfcompact", "sfpro",
+    "palatino", "optima", "futura", "avenir", "lucida", "geneva", "trebuchet", "tahoma", "baskerville",
+    "didot", "cochin", "americantypewriter", "andalemono", "monaco", "consolas", "garamond", "gillsans",
+    "impact", "rockwell", "bodoni 72", "calibri", "cambria", "dejavu", "liberation", "ubuntu",
+]
+FONT_SUFFIX = r"\.(ttc|ttf|otf)$"
+
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is not processed yet."""
@@ -60,15 +70,15 @@ def concat_sources(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def prefix_allowlist(df: DataFrame, name: Column, prefixes: list[str]) -> DataFrame:
-    """Keep rows whose lower-cased name starts with an allowed prefix.
+def prefix_allowlist(df: DataFrame, path: Column, prefixes: list[str] = FONT_PREFIXES) -> DataFrame:
+    """Keep rows whose lower-cased file name, without a font suffix, starts with a prefix.
 
     The list is a constant of the query, so the semi-join is a scan predicate.
     """
-    lowered = F.lower(name)
+    name = F.regexp_replace(F.lower(basename(path)), FONT_SUFFIX, "")
     test = F.lit(False)
     for prefix in prefixes:
-        test = test | lowered.startswith(prefix.lower())
+        test = test | name.startswith(prefix.lower())
     return df.filter(test)
 
 

@@ -157,11 +157,11 @@ def solve_distinct(spark, sf):
     """A different puzzle per order, half of it blank; any valid completion is accepted."""
     clues = F.expr("transform(sol, (v, i) -> IF((puzzle_id*7919 + i*i*(puzzle_id % 997 + 3)) % 1000 < 500, 0, v))")
     thinned = I.computed(I.grids(spark, sf), "puzzle_id", clues=clues)
-    answer = P.grid_cells(F.col("solution"))
     solved = S.solve_batch(thinned).join(thinned, "puzzle_id")
-    return solved.select(
-        "puzzle_id", "solved", P.is_solution(answer).alias("verified"),
-        P.agrees_with_clues(F.col("clues"), answer).alias("agrees"),
+    checked = I.computed(solved, "puzzle_id", "solved", "clues", answer=P.grid_cells(F.col("solution")))
+    return checked.select(
+        "puzzle_id", "solved", P.is_solution(F.col("answer")).alias("verified"),
+        P.agrees_with_clues(F.col("clues"), F.col("answer")).alias("agrees"),
     )
 
 

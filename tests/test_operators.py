@@ -136,6 +136,16 @@ def test_key_operators(spark):
     assert {r["k"]: r["f"] for r in T.toggle_flag(flags, new, "k", "f").collect()} == {1: True, 2: False}
 
 
+def test_prefixes_and_gates(spark):
+    names = ["/f/Arial Bold.ttf", "/f/Symbol.ttf", "/f/Bodoni 72.ttc", "/f/Bodoni Ornaments.ttf", "/f/DejaVuSans.otf"]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    kept = [r["p"] for r in T.prefix_allowlist(df, F.col("p")).collect()]
+    assert kept == [names[0], names[2], names[4]]
+    metrics = spark.createDataFrame([(38, 33, 0.54, 4)], "images int, detected int, filled_acc double, solved int")
+    assert {r["gate"]: r["passed"] for r in S.quality_gates(metrics).collect()} == {
+        "images": True, "detected": True, "filled_acc": False, "solved": True}
+
+
 def test_outlines_and_axis(spark):
     images = spark.createDataFrame([("a",), ("b",)], "name string")
     outlines = spark.createDataFrame([("a", 1)], "name string, outline int")
