@@ -218,10 +218,10 @@ def greedy_min_gap(
     The accepted row depends on all rows before it, so each bucket is first reduced to its
     entry -> exit map; a walk over the maps fixes where every bucket starts, and the buckets
     are then filtered independently. Of rows with equal time only the first can be accepted,
-    so a bucket of 64 gaps (the default) holds at most that many microseconds of rows.
+    so a bucket of 512 gaps (the default) holds at most that many microseconds of rows.
     """
     gap = int(gap_seconds * 1_000_000)
-    width = int((bucket_seconds or 64 * gap_seconds) * 1_000_000)
+    width = int((bucket_seconds or 512 * gap_seconds) * 1_000_000)
     kind = df.schema[key].dataType.simpleString()
     tie_kind = df.schema[tie].dataType.simpleString()
     rows = (
@@ -230,19 +230,21 @@ def greedy_min_gap(
         .withColumn("_bucket", F.floor(F.col("_t") / width))
     )
     both = [key, "_bucket"]
+    # A given number is kept as it is; by columns alone AQE would merge these CPU-bound tasks by size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     summaries = (
-        rows.select(*both, "_t").repartition(*both).sortWithinPartitions(*both, "_t")
+        rows.select(*both, "_t").repartition(tasks, *both).sortWithinPartitions(*both, "_t")
         .mapInPandas(
             _segments(both, _exits(gap, key)),
             f"{key} {kind}, _bucket bigint, _entries array<bigint>, _leaves array<bigint>",
         )
     )
     starts = (
-        summaries.repartition(key).sortWithinPartitions(*both)
+        summaries.repartition(tasks, key).sortWithinPartitions(*both)
         .mapInPandas(_segments([key], _carry(gap, key)), f"{key} {kind}, _bucket bigint, _last bigint")
     )
     kept = (
-        rows.join(starts, both).repartition(*both).sortWithinPartitions(*both, "_t")
+        rows.join(starts, both).repartition(tasks, *both).sortWithinPartitions(*both, "_t")
         .mapInPandas(
             _segments(both, _accepted(gap, key)), f"{key} {kind}, _t bigint, _tie {tie_kind}"
         )
