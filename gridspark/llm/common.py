@@ -7,6 +7,8 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.session import scratch
+
 # A batch handed to Python holds at most so many rows and bytes, so that very long texts do
 # not gather in one batch.
 BATCH = {
@@ -42,3 +44,10 @@ def free_shuffles(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+    place = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
