@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, media, packing, token_cache
+from . import bpe, exact_dedup, langid, media, packing, token_cache
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op7_media_columns": media.op7_media_columns,
+    "op8_langid": langid.op8_langid,
     "op9_packing": packing.op9_packing,
     "op10_token_counts": token_cache.op10_token_counts,
 }
