@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, media, packing, token_cache
+from . import bpe, exact_dedup, langid, media, packing, token_cache, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_media_columns": media.op7_media_columns,
     "op8_langid": langid.op8_langid,
     "op9_packing": packing.op9_packing,
