@@ -193,11 +193,11 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 
 def fit(docs: DataFrame, labels: DataFrame, trigrams: dict[int, int], rows: int = TRAIN_ROWS) -> dict:
-    """Log-odds of the words and beginnings that tell toxic texts from others beyond chance.
+    """Weights of the words and beginnings that tell toxic texts from others beyond chance.
 
-    A feature counts once for a text. It is held if more than MIN_SUPPORT - 1 texts have it and its likelihood
-    ratio statistic exceeds what the best of so many features would reach by chance. Without
-    labels of both kinds no feature is held.
+    A feature counts once for a text. It is held if at least MIN_SUPPORT texts have it and its likelihood
+    ratio statistic exceeds what the best of so many features would reach by chance; a logistic
+    regression then weighs the held ones together. Without labels of both kinds none is held.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trigrams)
 
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: dict[int, int], rows: int
     whole = counted.where("feature = ''").first()
     n_toxic, n_clean = (whole["t"], whole["c"]) if whole else (0, 0)
     if not n_toxic or not n_clean:
-        return {"weights": {}, "prior": -3.0}
+        return {"weights": {}, "bias": -3.0}
     tested = counted.count()
     t, c = F.col("t"), F.col("c")
     total = float(n_toxic + n_clean)
@@ -237,13 +237,43 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: dict[int, int], rows: int
         part(t, n_toxic, have) + part(c, n_clean, have)
         + part(F.lit(n_toxic) - t, n_toxic, lack) + part(F.lit(n_clean) - c, n_clean, lack)
     )
-    weight = F.log((t + 0.5) / (n_toxic + 1.0)) - F.log((c + 0.5) / (n_clean + 1.0))
     held = (
-        counted.where("feature <> ''").select("feature", statistic.alias("g"), weight.alias("w"))
-        .where((F.col("w") > 1) & (F.col("g") > 2 * math.log(max(tested, 2)) + 2))
-        .orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).toPandas()
+        counted.where("feature <> ''").select("feature", statistic.alias("g"))
+        .where((F.col("g") > 2 * math.log(max(tested, 2)) + 2) & (t * n_clean > c * n_toxic))
+        .orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).toPandas()["feature"].tolist()
     )
-    return {"weights": dict(zip(held["feature"], held["w"].tolist())), "prior": math.log(n_toxic / n_clean) - 1.0}
+    number = {feature: i for i, feature in enumerate(held)}
+    shared_held = docs.sparkSession.sparkContext.broadcast((trigrams, number))
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, numbers = shared_held.value
+        reader = Reader(CharModel(counts))
+        for batch in batches:
+            own = [
+                sorted({numbers[f] for w in reader.distinct(text or "") for f in features(w) if f in numbers})
+                for text in batch["text"]
+            ]
+            yield pd.DataFrame({"toxic": batch["toxic"], "own": own})
+
+    # At most TRAIN_ROWS short rows.
+    rows_ = labelled(docs, labels, rows).mapInPandas(vectors, "toxic int, own array<int>").toPandas()
+    weights, bias = regress(rows_["own"].tolist(), rows_["toxic"].to_numpy(np.float64), len(held))
+    return {"weights": dict(zip(held, weights.tolist())), "bias": bias}
+
+
+def regress(own: list, truth: np.ndarray, size: int, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse 0/1 rows with a unit Gaussian prior on the weights."""
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    column = np.concatenate([np.asarray(x, np.int64) for x in own]) if len(row) else np.zeros(0, np.int64)
+    w = np.zeros(size + 1)
+    w[-1] = math.log((truth.sum() + 1) / (len(truth) - truth.sum() + 1))
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    for k in range(1, rounds + 1):
+        error = 1 / (1 + np.exp(-np.bincount(row, w[column], len(own)) - w[-1])) - truth
+        slope = np.append(np.bincount(column, error[row], size) + w[:-1], error.sum())
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope ** 2
+        w = w - rate * (mean / (1 - 0.9 ** k)) / (np.sqrt(square / (1 - 0.99 ** k)) + 1e-9)
+    return w[:-1], float(w[-1])
 
 
 def score_texts(docs: DataFrame, trigrams: dict[int, int], model: dict) -> DataFrame:
@@ -253,34 +283,30 @@ def score_texts(docs: DataFrame, trigrams: dict[int, int], model: dict) -> DataF
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, fitted = shared.value
-        reader, weights, prior = Reader(CharModel(counts)), fitted["weights"], fitted["prior"]
-        known: dict[str, dict[str, float]] = {}
+        reader, weights, bias = Reader(CharModel(counts)), fitted["weights"], fitted["bias"]
+        known: dict[str, tuple[str, ...]] = {}
+
+        def held(words) -> tuple[str, ...]:
+            return tuple({f for w in words for f in features(w) if f in weights})
 
-        def evidence(token: str) -> dict[str, float]:
+        def evidence(token: str) -> tuple[str, ...]:
             found = known.get(token)
             if found is None:
-                found = {}
-                for word in reader.words(token):
-                    w = max(weights.get(f, 0.0) for f in features(word))
-                    if w:
-                        found[word] = w
                 if len(known) >= CACHE_TOKENS:
                     known.clear()
-                known[token] = found
+                found = known[token] = held(reader.words(token))
             return found
 
         def score(text: str) -> float:
             text = text.lower()
-            found: dict[str, float] = {}
+            found: set[str] = set()
             for own in map(evidence, set(text.split())):
                 if own:
                     found.update(own)
             for match in SPACED.finditer(text):
-                for word in restore(match.group(), reader.model).split(" "):
-                    w = max(weights.get(f, 0.0) for f in features(word))
-                    if w:
-                        found[word] = w
-            return 1 / (1 + math.exp(-min(50.0, prior + sum(found.values()))))
+                found.update(held(restore(match.group(), reader.model).split(" ")))
+            total = bias + sum(map(weights.__getitem__, sorted(found)))
+            return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
 
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [score(t or "") for t in batch["text"]]})
