@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -21,29 +22,39 @@ GROUP_TOKENS = 1 << 19  # tokens that are balanced together: 128 full windows
 def balance(sizes: np.ndarray, windows: int) -> list[list[int]]:
     """Multiway differencing of sizes into ``windows`` lists of item numbers.
 
-    A partial partition is a load and a list for each window, largest load first. Each item starts
+    A partial partition is a load and a list for each window, smallest load first. Each item starts
     as one. The two of the largest spread are merged with opposing order: the fullest window
-    of one meets the emptiest of the other. Only differences matter, so the smallest load is taken off.
+    of one meets the emptiest of the other.
     """
-    empty = [[] for _ in range(windows - 1)]
-    heap = []
-    for number in np.argsort(-sizes, kind="stable").tolist():
-        loads = np.zeros(windows, np.int64)
-        loads[0] = sizes[number]
-        spread = int(loads[0]) if windows > 1 else 0
-        heap.append((-spread, number, loads, [[number], *empty]))
+    heap = [(-int(sizes[i]), number, None, int(i)) for number, i in enumerate(np.argsort(-sizes, kind="stable"))]
+    if windows == 1 or not heap:
+        return [[i for _, _, _, i in heap], *([] for _ in range(windows - 1))]
     heapq.heapify(heap)
+    if len(heap) == 1:
+        return [[heap[0][3]], *([] for _ in range(windows - 1))]
     count = len(heap)
     while len(heap) > 1:
-        _, _, loads, lists = heapq.heappop(heap)
-        _, _, other, others = heapq.heappop(heap)
-        merged = loads + other[::-1]
-        merged -= merged.min()
-        order = np.argsort(-merged, kind="stable")
-        both = [a + b if a and b else a or b for a, b in zip(lists, reversed(others))]
-        heapq.heappush(heap, (-int(merged.max()), count, merged[order], [both[i] for i in order.tolist()]))
+        first, other = heapq.heappop(heap), heapq.heappop(heap)
+        if first[2] is None:
+            first, other = other, first
+        loads, lists = (first[2], first[3])
+        if loads is None:
+            loads, lists = [0] * (windows - 1) + [-first[0]], [[] for _ in range(windows - 1)] + [[first[3]]]
+        if other[2] is None:
+            # A single item meets the emptiest window, which then moves up to its place.
+            load, own = loads.pop(0) - other[0], lists.pop(0)
+            own.append(other[3])
+            at = bisect.bisect_right(loads, load)
+            loads.insert(at, load)
+            lists.insert(at, own)
+        else:
+            merged = np.array(loads) + np.array(other[2][::-1])
+            order = np.argsort(merged, kind="stable")
+            both = [a + b for a, b in zip(lists, reversed(other[3]))]
+            loads, lists = merged[order].tolist(), [both[i] for i in order.tolist()]
+        heapq.heappush(heap, (loads[0] - loads[-1], count, loads, lists))
         count += 1
-    return heap[0][3] if heap else [[] for _ in range(windows)]
+    return heap[0][3]
 
 
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
