@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, media, packing, token_cache, toxicity
+from . import bpe, exact_dedup, jaccard, langid, media, packing, suffix_dedup, token_cache, toxicity
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_media_columns": media.op7_media_columns,
     "op8_langid": langid.op8_langid,
