@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -19,6 +17,8 @@ STATE = {
     # The memory of all stores of an executor together.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Each store would otherwise reserve megabytes of disk for files that stay small.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 MICRO_BATCHES = 3  # over a table that lies still; a living source has its own triggers
 
@@ -27,6 +27,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
+def content_digest(text_col: str) -> Column:
+    return F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
+
+
 def content_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64,
                  locator: Column | None = None) -> DataFrame:
     """doc_id, content, text_sha256, digest, n_points, locator of each row, batch or stream.
@@ -80,19 +84,28 @@ def stream_groups(keys: DataFrame, place: str, available_now: bool = True) -> Da
     )
 
 
-def verified(keys: DataFrame, groups: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, keys: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             digest_hex: int = 64) -> DataFrame:
     """One row for each row of ``keys``: doc_id, keep_id, group_size, kept, text_sha256.
 
     A hit is a row whose digest other rows have too. The full content of every hit is compared with the
     content of the row that its group keeps. A digest that joins different contents is taken apart
-    by content. Rows that repeat an id are members of their own; if such a row is the one that
-    stays, only its first copy is kept.
+    by content. Rows that repeat an id and a text are members of their own, and all marked as kept if
+    theirs is the one that stays.
     """
+    spark = keys.sparkSession
     groups = stored(groups, "digest-groups")
-    free_shuffles(keys.sparkSession)
+    free_shuffles(spark)
     shared = groups.where("group_size > 1").select("digest", F.col("keep.doc_id").alias("keep_id"))
-    hits = stored(keys.select("doc_id", "n_points", "content", "digest").join(shared, "digest"), "digest-hits")
-    free_shuffles(keys.sparkSession)
+    wanted = keys.join(shared, "digest").select(F.col("doc_id").alias("hit_id"), "digest", "keep_id").distinct()
+    # Only the texts of hits are made out after the join; the digest tells apart rows that share an id.
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
+        wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    content = normalised(F.col("text"))
+    same = F.substring(F.sha2(F.encode(content, "UTF-8"), 256), 1, digest_hex) == F.col("digest")
+    hits = stored(found.where(same).select(
+        "doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"), content.alias("content"), "digest", "keep_id"), "digest-hits")
+    free_shuffles(spark)
     keepers = (
         hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("content").alias("kept_content"))
     )
@@ -104,34 +117,33 @@ def verified(keys: DataFrame, groups: DataFrame) -> DataFrame:
             best("n_points").alias("keep"), F.count(F.lit(1)).alias("group_size"), F.first("digest").alias("digest"))
         .select(F.sha2(F.encode("content", "UTF-8"), 256).alias("text_sha256"), "digest", "keep", "group_size")
     )
-    plain = keys.select("doc_id", "n_points", "digest", "text_sha256")
-    sound = groups.join(wrong, "digest", "left_anti").select("digest", "keep.doc_id", "group_size")
-    of_sound = plain.join(sound.withColumnRenamed("doc_id", "keep_id"), "digest")
+    plain = keys.select("doc_id", "digest", "text_sha256")
+    sound = groups.join(wrong, "digest", "left_anti").select("digest", F.col("keep.doc_id").alias("keep_id"), "group_size")
+    of_sound = plain.join(sound, "digest")
     of_apart = plain.join(apart.select("digest", "text_sha256", F.col("keep.doc_id").alias("keep_id"), "group_size"), ["digest", "text_sha256"])
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     return of_sound.select(*columns).unionByName(of_apart.select(*columns))
 
 
-def dedup_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",
+def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 digest_hex: int = 64, micro_batches: int = MICRO_BATCHES) -> DataFrame:
-    """Stream the files of a Parquet table through ``stream_groups`` and give the fate of each row.
+    """Send a table through ``stream_groups`` and give the fate of each row.
 
-    Null counts as empty, and all empty texts are equal. An empty table gives an empty result.
+    The keys of all rows are made in one pass over the texts and written; their files are the stream. Null
+    counts as empty, and all empty texts are equal. An empty table gives an empty result.
     """
-    table = tuned(spark).read.parquet(path)
-    locator = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    files = max(1, -(-len(table.inputFiles()) // micro_batches))
-    # As a pattern, because a stream takes a plain path for a folder; the table may be one file.
-    pattern = re.sub(r"(.)/*$", r"[\1]", path)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(pattern)
-    read = lambda source: content_keys(source, id_col, text_col, digest_hex, locator)
-    groups = stream_groups(read(stream).drop("content"), scratch(spark, "dedup-stream"))
-    return verified(content_keys(table, id_col, text_col, digest_hex), groups)
+    spark = tuned(docs.sparkSession)
+    place = scratch(spark, "dedup")
+    content_keys(docs, id_col, text_col, digest_hex, F.input_file_name()).drop("content").write.parquet(f"{place}/keys")
+    keys = spark.read.parquet(f"{place}/keys")
+    files = max(1, -(-len(keys.inputFiles()) // micro_batches))
+    stream = spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/keys")
+    return verified(docs, keys, stream_groups(stream, place), id_col, text_col, digest_hex)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Which document of each set of equal texts stays."""
-    return dedup_table(spark, f"{sf_dir}/documents.parquet")
+    return dedup_table(documents(spark, sf_dir))
 
 
 # Of equal texts the one with the most code points stays, then the smallest id.

@@ -373,8 +373,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with its spans, null where it has none."""
-    return docs.select("doc_id", "text").join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("key"), "left")
+    """Every row of ``docs`` with a struct column ``__spans__`` (lo, hi), null where nothing goes."""
+    own = spans.select(F.col("key").alias("__spans_of__"), F.struct("lo", "hi").alias("__spans__"))
+    return docs.join(own.hint("shuffle_hash"), docs["doc_id"] == own["__spans_of__"], "left").drop("__spans_of__")
 
 
 def kept_parts(data: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -394,20 +395,22 @@ def whole_letters(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarr
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text: each text less its repeated spans, which are drawn in to whole letters."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, lo, hi in zip(batch["text"], batch["lo"], batch["hi"]):
-                if lo is not None:
-                    data = text.encode()
-                    bounds = whole_letters(data, np.frombuffer(lo, "<u4"), np.frombuffer(hi, "<u4"))
-                    text = kept_parts(data, *bounds).decode()
-                out.append(text)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": out})
+    """``docs`` (doc_id, text, any others) with each text less its repeated spans, drawn in to whole letters.
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(docs, repeated_spans(docs, length, gram)).select("doc_id", "text", "lo", "hi").mapInPandas(work, f"doc_id {kind}, text string")
+    A null text stays null; a text that consists of repeats becomes empty and its row stays.
+    """
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.DataFrame) -> pd.Series:
+        out = []
+        for own, lo, hi in zip(text, spans["lo"], spans["hi"]):
+            if own is not None and lo is not None:
+                data = own.encode()
+                own = kept_parts(data, *whole_letters(data, np.frombuffer(lo, "<u4"), np.frombuffer(hi, "<u4"))).decode()
+            out.append(own)
+        return pd.Series(out, dtype=object)
+
+    spans = repeated_spans(id_text(docs), length, gram)
+    return with_spans(docs, spans).withColumn("text", cut("text", "__spans__")).select(*docs.columns)
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -425,7 +428,8 @@ def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(docs, repeated_spans(docs, length, gram)).select("doc_id", "text", "lo", "hi").mapInPandas(
+    spans = with_spans(docs.select("doc_id", "text"), repeated_spans(docs, length, gram))
+    return spans.select("doc_id", "text", "__spans__.lo", "__spans__.hi").mapInPandas(
         work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

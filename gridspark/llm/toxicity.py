@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,45 +277,65 @@ def regress(own: list, truth: np.ndarray, size: int, rounds: int = 400, rate: fl
     return w[:-1], float(w[-1])
 
 
+class Scorer:
+    """Chance that a text is toxic, from a character model and fitted weights."""
+
+    def __init__(self, trigrams: dict[int, int], model: dict):
+        self.reader, self.weights, self.bias = Reader(CharModel(trigrams)), model["weights"], model["bias"]
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def held(self, words) -> tuple[str, ...]:
+        return tuple({f for w in words for f in features(w) if f in self.weights})
+
+    def evidence(self, token: str) -> tuple[str, ...]:
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= CACHE_TOKENS:
+                self.known.clear()
+            found = self.known[token] = self.held(self.reader.words(token))
+        return found
+
+    def score(self, text: str | None) -> float:
+        text = (text or "").lower()
+        found: set[str] = set()
+        for own in map(self.evidence, set(text.split())):
+            if own:
+                found.update(own)
+        for match in SPACED.finditer(text):
+            found.update(self.held(restore(match.group(), self.reader.model).split(" ")))
+        total = self.bias + sum(map(self.weights.__getitem__, sorted(found)))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
+
+
 def score_texts(docs: DataFrame, trigrams: dict[int, int], model: dict) -> DataFrame:
     """doc_id, score: chance that a text is toxic. Null counts as empty; a text without evidence gets
-    the prior, below one half; equal texts score alike."""
+    the bias; equal texts score alike."""
     shared = docs.sparkSession.sparkContext.broadcast((trigrams, model))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, fitted = shared.value
-        reader, weights, bias = Reader(CharModel(counts)), fitted["weights"], fitted["bias"]
-        known: dict[str, tuple[str, ...]] = {}
-
-        def held(words) -> tuple[str, ...]:
-            return tuple({f for w in words for f in features(w) if f in weights})
-
-        def evidence(token: str) -> tuple[str, ...]:
-            found = known.get(token)
-            if found is None:
-                if len(known) >= CACHE_TOKENS:
-                    known.clear()
-                found = known[token] = held(reader.words(token))
-            return found
-
-        def score(text: str) -> float:
-            text = text.lower()
-            found: set[str] = set()
-            for own in map(evidence, set(text.split())):
-                if own:
-                    found.update(own)
-            for match in SPACED.finditer(text):
-                found.update(held(restore(match.group(), reader.model).split(" ")))
-            total = bias + sum(map(weights.__getitem__, sorted(found)))
-            return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
-
+        scorer = Scorer(*shared.value)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [score(t or "") for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [scorer.score(t) for t in batch["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below one half. No shuffle of texts."""
+    tuned(docs.sparkSession)
+    trigrams = char_counts(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((trigrams, fit(docs, labels, trigrams, rows)))
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
