@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard, langid, media, packing, suffix_dedup, token_cache, toxicity
+from . import bpe, chat, exact_dedup, jaccard, langid, media, packing, suffix_dedup, token_cache, toxicity
 
 QUERIES = {
+    "op1_chat_tools": chat.op1_chat_tools,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_token_counts": token_cache.op10_token_counts,
 }
 ORACLES = {
+    "op1_chat_tools": chat.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
