@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import documents, id_text
 
@@ -48,6 +49,7 @@ class WordBpe:
     """
 
     def __init__(self, file: str):
+        self.file, self.library = file, None
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
@@ -79,9 +81,19 @@ class WordBpe:
     def _words(self, text: str) -> list[str]:
         if not self.odd.search(text):
             return self.plain.findall(text.lower())
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return self._library_words(text)
         # Lower case letter by letter: no special form of a final sigma.
         return self.full.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def _library_words(self, text: str) -> list[str]:
+        """The cut of the library, for letters younger than the tables here."""
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.file)
+            self.byte_of = {letter: i for i, letter in enumerate(byte_letters())}
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in pieces]
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and where each word ends in them. No word may be empty or special."""
         raw = [w.encode() for w in words]
