@@ -320,7 +320,8 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     classes = components(links)
     members = plain.join(speakers, ["n_shingles", "d1", "d2"], "left").join(
         classes.withColumnRenamed("node", "speaker"), "speaker", "left")
-    return members.select("doc_id", "n_shingles", F.coalesce("component", "speaker", "doc_id").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "speaker", "doc_id"))
+    return members.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def across_blocks(docs: DataFrame, grouped: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:

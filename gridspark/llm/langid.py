@@ -108,7 +108,8 @@ class FrozenTrees:
 
     def __init__(self, trees: list[pd.DataFrame]):
         self.langs = sorted(trees[0]["lang"].unique().tolist())
-        seen = np.unique(trees[0]["symbol"].to_numpy(np.int64))
+        # The pad is part of contexts even if no text holds it.
+        seen = np.unique(np.append(trees[0]["symbol"].to_numpy(np.int64), PAD[0]))
         self.code = np.zeros(256, np.int64)  # 0 stands for bytes never seen
         self.code[seen] = np.arange(1, len(seen) + 1)
         size, count = len(seen) + 1, len(self.langs)

@@ -28,7 +28,7 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "€": "e", "(": "c", "*": "aeiou",
 }
 # Costs of the channel in nats: a sign read as a letter, a sign kept, a repeat dropped, a gap closed or kept.
-SIGN_READ, SIGN_KEPT, REPEAT_DROPPED, GAP_CLOSED, GAP_KEPT = 1.0, 9.0, 0.7, 0.5, 6.0
+SIGN_READ, SIGN_KEPT, REPEAT_DROPPED, GAP_CLOSED, GAP_KEPT = 1.0, 9.0, 0.7, 0.5, 3.0
 BOUNDARY = "\n"
 LETTERS = BOUNDARY + "".join(map(chr, [*range(97, 123), *(c for c in range(0xDF, 0x180) if chr(c).isalpha() and chr(c).islower())]))
 

@@ -9,6 +9,7 @@ import pytest
 
 from gridspark.llm import media
 from gridspark.llm.common import id_text
+from text_tables import odd_texts, table  # noqa: F401
 
 
 @pytest.mark.parametrize("shape", [(1, 1), (3, 5), (8, 64)])

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from gridspark.llm import bpe, packing, token_cache
 from gridspark.llm.common import id_text
 from gridspark.session import scratch
+from text_tables import odd_texts, table  # noqa: F401
 
 FILE = bpe.tokenizer_path(bpe.WORD_BPE)
 LIBRARY, OWN = Tokenizer.from_file(FILE), bpe.WordBpe(FILE)

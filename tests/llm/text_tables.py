@@ -1,12 +1,10 @@
-import os
-import sys
-
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+"""Small tables of odd texts that the tests share."""
 
 import pytest
 
 from gridspark.llm.common import tuned
 
+SMALL, TABLES = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, label string, `key` string, score string, `lo` string"
 
 
