@@ -339,11 +339,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
-    The character model counts all of ``docs``; the classifier learns from ``labels`` and the texts
+    The character model counts all texts of both tables; the classifier learns from ``labels`` and the texts
     of ``train_docs`` (``docs`` if not given).
     """
     tuned(docs.sparkSession)
-    trigrams = char_counts(docs)
+    read = docs if train_docs is None else docs.select("text").unionByName(train_docs.select("text"))
+    trigrams = char_counts(read)
     model = fit(docs if train_docs is None else train_docs, labels, trigrams, rows)
     return score_texts(docs, trigrams, model).select(
         "doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_FOLD).alias("held_out"), "score",
