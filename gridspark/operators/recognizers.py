@@ -129,7 +129,7 @@ def evaluate_classifier(model, test: DataFrame, vec: str, label: str) -> DataFra
 
 
 def grid_search(train: DataFrame, test: DataFrame, vec: str, label: str, configs: list[dict], done: DataFrame | None = None) -> DataFrame:
-    """One result row per configuration not in ``done``; a failing one is skipped.
+    """One result row per configuration not in ``done``; state and error tell which ones failed.
 
     Each fit is a Spark job over the whole training table; only metrics reach the driver.
     """
@@ -143,8 +143,9 @@ def grid_search(train: DataFrame, test: DataFrame, vec: str, label: str, configs
             model = train_classifier(train, vec, label, **params)
             result = evaluate_classifier(model, test, vec, label).first()
         except Exception as error:  # one bad setting must not end the study
-            print(f"skipped {config['name']}: {error}")
+            rows.append((config["name"], None, None, None, "failed", str(error)))
             continue
-        rows.append((config["name"], result["n"], result["accuracy"], result["loss"]))
-    new = train.sparkSession.createDataFrame(rows, "name string, n bigint, accuracy double, loss double")
+        rows.append((config["name"], result["n"], result["accuracy"], result["loss"], "done", None))
+    new = train.sparkSession.createDataFrame(
+        rows, "name string, n bigint, accuracy double, loss double, state string, error string")
     return new if done is None else done.select(new.columns).unionByName(new)

@@ -9,15 +9,16 @@ hard puzzle becomes work for many tasks instead of a straggler.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from gridspark.functions import cells, puzzles
+from gridspark.functions.binding import int_matrix, let
 from gridspark.session import materialise
 
 _UNITS = np.array(puzzles.UNITS)
@@ -142,8 +143,8 @@ def _advance(steps: int, first_only: bool, chunk: int = 4096):
             for at in range(0, len(batch), chunk):
                 part = batch.iloc[at : at + chunk]
                 keys = part["grid"].to_numpy()
-                found = list(search(to_array(part["state"]), steps, first_only))
-                if found:
+                moves = search(to_array(part["state"]), steps, first_only)
+                while found := list(itertools.islice(moves, BLOCK)):
                     yield pd.DataFrame({
                         "grid": keys[[f[0] for f in found]],
                         "state": to_text(np.stack([f[1] for f in found])),
@@ -153,6 +154,11 @@ def _advance(steps: int, first_only: bool, chunk: int = 4096):
     return run
 
 
+BLOCK = 16_384  # grids that leave a task in one batch
+MAX_STEPS = 1_024  # steps of a state in one round at most
+TIMED_OUT = "The search ran out of its budget."
+
+
 # --- Spark operators --------------------------------------------------------
 
 def _rounds(start: DataFrame, first_only: bool, steps: int, max_rounds: int | None,
@@ -181,7 +187,8 @@ def _rounds(start: DataFrame, first_only: bool, steps: int, max_rounds: int | No
         frontier = frontier.repartition("state")
         if frontier.isEmpty():
             break
-        steps *= 2
+        # Longer rounds save shuffles; the ceiling keeps a task's length and its stacks bounded.
+        steps = min(2 * steps, MAX_STEPS)
     left = frontier.select("grid").distinct()
     if dropped is not None:
         left = left.unionByName(dropped).distinct()
@@ -271,16 +278,19 @@ def solution_count(
     return _back_to_puzzles(puzzles_df, key, grid, verdict)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _masks_of(texts: pd.Series) -> pd.Series:
-    if len(texts) == 0:
-        return pd.Series([], dtype=object)
-    return pd.Series(list(candidate_masks(to_array(texts))[0].astype(np.int32)))
-
-
 def with_candidates(puzzles_df: DataFrame, grid: str = "clues") -> DataFrame:
-    """Add ``masks``: 81 nine-bit candidate sets, zero for filled cells. No shuffle."""
-    return puzzles_df.withColumn("masks", _masks_of(puzzles.grid_text(F.col(grid))))
+    """Add ``masks``: 81 nine-bit candidate sets, zero for filled cells. No shuffle and no Python."""
+    bits = F.transform(F.col(grid), lambda d: F.when(d > 0, F.call_function("shiftleft", F.lit(1), d.cast("int") - 1)).otherwise(0))
+    masks = let(
+        F.struct(F.col(grid).alias("g"), bits.alias("b"), int_matrix(puzzles.UNITS).alias("u")),
+        lambda s: let(
+            F.struct(s["g"].alias("g"), F.transform(
+                s["u"], lambda unit: F.aggregate(unit, F.lit(0), lambda acc, i: acc.bitwiseOR(s["b"][i]))).alias("seen")),
+            lambda t: F.transform(F.arrays_zip(t["g"].alias("d"), int_matrix(_UNIT_OF.tolist()).alias("of")), lambda cell: F.when(
+                cell["d"] == 0,
+                F.lit(511).bitwiseAND(F.bitwise_not(t["seen"][cell["of"][0]].bitwiseOR(t["seen"][cell["of"][1]]).bitwiseOR(t["seen"][cell["of"][2]]))),
+            ).otherwise(0))))
+    return puzzles_df.withColumn("masks", masks)
 
 
 def tightest_cells(puzzles_df: DataFrame, key: str = "puzzle_id", grid: str = "clues") -> DataFrame:
@@ -322,10 +332,11 @@ def solve_gate(
     puzzles_df: DataFrame, key: str = "puzzle_id", grid: str = "clues",
     steps: int = 64, max_rounds: int | None = None, max_states: int | None = None,
 ) -> DataFrame:
-    """(key, success, message, solution): validate, require the minimum of clues, solve, verify.
+    """(key, success, timed_out, message, solution): validate, require the minimum of clues, solve, verify.
 
     ``message`` follows the solve response: the joined errors of an invalid puzzle, or the
-    outcome of the search. Invalid and sparse puzzles bypass the solver. All of it depends
+    outcome of the search. A search that its budget ended is ``timed_out`` and says so, because it proves
+    nothing about the puzzle. Invalid and sparse puzzles bypass the solver. All of it depends
     on the grid alone, so it is worked out once per distinct grid.
     """
     clues = puzzles.grid_cells(F.col("grid"))
@@ -338,14 +349,16 @@ def solve_gate(
     solved = solve_grids(checked.filter("valid AND enough"), steps, max_rounds, max_states)
     success = F.col("solution").isNotNull() & puzzles.is_solution(puzzles.grid_cells(F.col("solution")))
     accepted = solved.select(
-        "grid", F.coalesce(success, F.lit(False)).alias("success"), "solution"
+        "grid", F.coalesce(success, F.lit(False)).alias("success"), "timed_out", "solution"
     ).select(
-        "grid", "success",
-        F.when(F.col("success"), "solved").otherwise("Could not find valid solution.").alias("message"),
+        "grid", "success", "timed_out",
+        F.when(F.col("success"), "solved").when(F.col("timed_out"), TIMED_OUT)
+        .otherwise("Could not find valid solution.").alias("message"),
         F.when(F.col("success"), F.col("solution")).otherwise("").alias("solution"),
     )
     refused = lambda df, message: df.select(
-        "grid", F.lit(False).alias("success"), message.alias("message"), F.lit("").alias("solution")
+        "grid", F.lit(False).alias("success"), F.lit(False).alias("timed_out"), message.alias("message"),
+        F.lit("").alias("solution")
     )
     invalid = refused(
         checked.filter("NOT valid"), cells.invalid_message(puzzles.violations(F.col("clues")))

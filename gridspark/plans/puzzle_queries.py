@@ -166,7 +166,7 @@ def solve_distinct(spark, sf):
 
 
 @query("solve_gate", "U7 P19", VIOLATIONS[:-1] + """, fx_valid AS (SELECT image_id AS puzzle_id, string_agg(sol::VARCHAR, '' ORDER BY idx) AS solution FROM fx_cells GROUP BY 1)
-SELECT v.puzzle_id, m.report IS NULL AS success,
+SELECT v.puzzle_id, m.report IS NULL AS success, FALSE AS timed_out,
   CASE WHEN m.report IS NULL THEN 'solved' ELSE 'Invalid puzzle: ' || m.report END AS message,
   CASE WHEN m.report IS NULL THEN v.solution ELSE '' END AS solution
 FROM fx_valid v LEFT JOIN (SELECT puzzle_id, string_agg(msg, '; ' ORDER BY kind, unit, pos) AS report FROM fx_msgs GROUP BY 1) m USING (puzzle_id)""")

@@ -160,18 +160,25 @@ def nearest_to_targets(spark, sf):
 
 # --- five-part score --------------------------------------------------------
 
-SCORE5 = SPACING[:-1] + ",\n" + I.QUADS + ",\n" + I.SCORED_QUADS + """,
+CONSISTENCY = """fx_consistency AS (SELECT image_id, coalesce(greatest(0.0, 1 - abs(n - 81)/81) * CASE WHEN n > 5 THEN greatest(0.0, 1 - sd/mu) ELSE 0.0 END, 0.0) AS cell_score
+  FROM (SELECT DISTINCT l_orderkey AS image_id FROM lineitem) LEFT JOIN (
+    SELECT l_orderkey AS image_id, count(*) AS n, stddev_pop(l_quantity*20) AS sd, avg(l_quantity*20) AS mu FROM lineitem
+    WHERE l_quantity*20 > 0.2*(200/9.0)*(200/9.0) AND l_quantity*20 < 3.0*(200/9.0)*(200/9.0) GROUP BY 1) USING (image_id))"""
+SCORE5 = SPACING[:-1] + ",\n" + CONSISTENCY + ",\n" + I.QUADS + ",\n" + I.SCORED_QUADS + """,
 fx_score5 AS (SELECT q.*, area_norm*0.4 + square*0.3 + centre*0.3 AS score3,
-    area_norm*0.2 + square*0.2 + centre*0.1 + structure*0.3 + (l_suppkey % 101)/100.0::DOUBLE*0.2 AS score5
-  FROM fx_scored_quads q JOIN fx_spacing s ON s.vec_id = q.l_partkey % 500)
+    area_norm*0.2 + square*0.2 + centre*0.1 + coalesce(structure, 0.0)*0.3 + cell_score*0.2 AS score5
+  FROM fx_scored_quads q LEFT JOIN fx_spacing s ON s.vec_id = q.l_partkey % (SELECT count(*) FROM embeddings)
+  JOIN fx_consistency USING (image_id))
 """
 
 
 def _score5(spark, sf):
-    """Structure scores come from line profiles, found by a join; quads without one drop out."""
-    scored = _scored3(spark, sf).withColumn("vec_id", F.col("l_partkey") % 500)
-    joined = scored.join(_structure(spark, sf), "vec_id")
-    return Q.with_score5(joined.withColumn("cell_score", (F.col("l_suppkey") % 101) / 100.0))
+    """Structure scores come from line profiles over all vectors, 0 without one; cell scores from the components."""
+    profiles = max(1, read_table(spark, sf, "embeddings").count())
+    scored = _scored3(spark, sf).withColumn("vec_id", F.col("l_partkey") % profiles)
+    cells_of = Q.component_consistency(_components(spark, sf), "image_id", "area").select("image_id", "cell_score")
+    joined = scored.join(_structure(spark, sf), "vec_id", "left").join(cells_of, "image_id")
+    return Q.with_score5(joined.withColumn("structure", F.coalesce("structure", F.lit(0.0))))
 
 
 @query("score5", "G7", SCORE5 + "SELECT image_id, quad_id, round(score5, 6) AS score5 FROM fx_score5")

@@ -24,13 +24,13 @@ def events(spark, sf):
     return arriving(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def landed(spark, stream, name, keys=None, mode="append", sink=None):
+def landed(spark, stream, name, keys=None, mode="append", sink=None, order=None):
     """Run the stream over what is available and return the table it leaves behind."""
     path = scratch(spark, name)
     R.run_available(stream, sink(path) if sink else R.append_log(path), scratch(spark, f"{name}-offsets"), mode)
     schema = StructType(list(stream.schema.fields))
     if keys:
-        return R.latest_by_key(spark, path, schema, keys)
+        return R.latest_by_key(spark, path, schema, keys, order)
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
@@ -96,10 +96,11 @@ def stream_early_stop(spark, sf):
     return landed(spark, R.stream_early_stop(curve, "run", ["ts", "event_id"], "value", 10), "stops")
 
 
-@query("stream_upsert", "R6", "SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY 1")
+@query("stream_upsert", "R6", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def stream_upsert(spark, sf):
-    stream = events(spark, sf).select("user_id", "ts", "event_type", "value")
-    out = landed(spark, stream, "upsert", ["user_id"], sink=lambda p: R.upsert_log(p, "user_id", F.col("ts")))
+    stream = events(spark, sf).select("user_id", "ts", "event_id", "event_type", "value")
+    order = F.struct("ts", "event_id")
+    out = landed(spark, stream, "upsert", ["user_id"], sink=lambda p: R.upsert_log(p, "user_id", order), order=order)
     return out.select("user_id", "event_type", "value")
 
 

@@ -14,6 +14,9 @@ RUNTIME_SETTINGS = {
     # Split a hot join key even when the split costs a later shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Estimates do not see that a side was unfolded; only sizes measured at run time make a broadcast.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -44,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints; a private one only in local mode with none set."""
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if current and current.startswith("file:") and not context.master.startswith("local"):
+        raise RuntimeError(f"{current} is a folder of one machine; executors of a cluster need a shared one")
     if current is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

@@ -36,12 +36,16 @@ def append_log(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest_by_key(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
-    """The table an update log stands for: per key the row of its last batch."""
+def latest_by_key(spark: SparkSession, path: str, schema: StructType, keys: list[str], order: Column | None = None) -> DataFrame:
+    """The table an update log stands for: per key the last row by ``order``, then by batch.
+
+    Without an order the last batch wins. With one, a late event of a later batch replaces nothing newer.
+    """
     log = spark.read.schema(schema).parquet(path)
     rest = F.struct(*[c for c in schema.fieldNames() if c not in keys])
     log = log if "batch" in log.columns else log.withColumn("batch", F.lit(0))
-    return log.groupBy(*keys).agg(F.max_by(rest, "batch").alias("_r")).select(*keys, "_r.*")
+    rank = F.col("batch") if order is None else F.struct(order, "batch")
+    return log.groupBy(*keys).agg(F.max_by(rest, rank).alias("_r")).select(*keys, "_r.*")
 
 
 def upsert_log(path: str, key: str, order: Column) -> Callable[[DataFrame, int], None]:

@@ -160,3 +160,24 @@ def test_units_and_peers(spark, puzzle_rows):
     peers = peer_join(cells, "puzzle_id")
     assert peers.count() == 81 * 20
     assert peers.groupBy("idx").count().filter("count <> 20").isEmpty()
+
+
+HARD = "800000000003600000070090200050007000000045700000100030001000068008500010090000400"
+
+
+def test_gate_and_batch_agree_on_a_spent_budget(puzzle_rows):
+    """A search cut off by its budget is told apart from a puzzle without a solution."""
+    rows = puzzle_rows([HARD, SAMPLE])
+    gate = {r["puzzle_id"]: r for r in S.solve_gate(rows, steps=1, max_rounds=1).collect()}
+    batch = {r["puzzle_id"]: r for r in S.solve_batch(rows, steps=1, max_rounds=1).collect()}
+    assert batch[0]["timed_out"] and gate[0]["timed_out"] and gate[0]["message"] == S.TIMED_OUT
+    assert all(gate[k]["timed_out"] == batch[k]["timed_out"] and gate[k]["success"] == batch[k]["solved"] for k in gate)
+    whole = {r["puzzle_id"]: r for r in S.solve_gate(rows).collect()}
+    assert all(r["success"] and not r["timed_out"] for r in whole.values())
+
+
+def test_candidates_equal_the_array_search(puzzle_rows):
+    rows = puzzle_rows([HARD, SAMPLE, "0" * 81])
+    for row in S.with_candidates(rows).collect():
+        text = "".join(map(str, row["clues"]))
+        assert row["masks"] == S.candidate_masks(S.to_array([text]))[0][0].tolist()

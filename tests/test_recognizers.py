@@ -50,4 +50,5 @@ def test_training_and_search(spark, samples):
     configs = [{"name": "a", "max_iter": 3}, {"name": "bad", "max_iter": -1}, {"name": "b", "max_iter": 5}]
     done = R.grid_search(samples, samples, "vec", "label", configs[:1])
     both = R.grid_search(samples, samples, "vec", "label", configs, done)
-    assert sorted(r["name"] for r in both.collect()) == ["a", "b"]
+    assert {r["name"]: r["state"] for r in both.collect()} == {"a": "done", "b": "done", "bad": "failed"}
+    assert all((r["error"] is None) == (r["state"] == "done") for r in both.collect())

@@ -108,3 +108,14 @@ def test_validate(spark):
     df = spark.createDataFrame([(1, good), (2, clash), (3, good[:5])], "id int, grid array<array<int>>")
     got = {r["id"]: r["status"] for r in R.stream_validate(df, "grid").collect()}
     assert got == {1: "ok", 2: "conflict", 3: "malformed"}
+
+
+def test_late_event_of_a_later_batch_replaces_nothing_newer(spark, tmp_path):
+    out, schema = str(tmp_path / "log"), "user bigint, ts bigint, v string"
+    order = F.struct("ts")
+    sink = R.upsert_log(out, "user", order)
+    sink(spark.createDataFrame([(1, 10, "new"), (2, 5, "only")], schema), 0)
+    sink(spark.createDataFrame([(1, 7, "late"), (2, 5, "tie")], schema), 1)
+    table = spark.createDataFrame([], schema).schema
+    got = {r["user"]: r["v"] for r in R.latest_by_key(spark, out, table, ["user"], order).collect()}
+    assert got == {1: "new", 2: "tie"}
