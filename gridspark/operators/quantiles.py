@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.session import materialise
+
+FEW_BINS = 100_000  # wanted bins that are sent to every task at most
+
 
 def order_bin(value: Column, per_octave: int = 256) -> Column:
     """A bin number that never decreases with the value and needs no knowledge of the data.
@@ -23,27 +27,27 @@ def exact_percentiles(
     df: DataFrame, groups: list[str], value: Column, ps: dict[str, float],
     per_octave: int = 256, stats: bool = False,
 ) -> DataFrame:
-    """For values of any domain and groups of any size; ``stats`` adds n, min, mean and max.
+    """For values of any domain and groups of any size; ``stats`` adds n, min, mean, std and max.
 
-    Rows collapse to (group, value, count), which spreads a hot group over its values. A
-    histogram of a few thousand rows per group tells which bin holds each wanted rank; only
-    those bins are ordered. No step moves a group to one task.
+    A histogram of a few thousand rows per group, summed up before the shuffle, tells which bin
+    holds each wanted rank. A second pass over the values keeps those bins only, collapses them to (group, value,
+    count) and orders them. No step moves a group to one task, and values outside the bins never move.
     """
     keys = groups or ["_all"]
     source = df.select(*groups, value.cast("double").alias("_v")).filter("_v IS NOT NULL")
     if not groups:
         source = source.withColumn("_all", F.lit(1))
-    counted = source.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    binned = counted.withColumn("_bin", order_bin(F.col("_v"), per_octave))
-    hist = binned.groupBy(*keys, "_bin").agg(
-        F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.sum(F.col("_v") * F.col("_n")).alias("_sum"),
+    source = source.withColumn("_bin", order_bin(F.col("_v"), per_octave))
+    hist = source.groupBy(*keys, "_bin").agg(
+        F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.sum("_v").alias("_sum"), F.sum(F.col("_v") * F.col("_v")).alias("_square"),
     )
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumns({
         "_end": F.sum("_m").over(upto), "_total": F.sum("_m").over(whole),
         "_lo": F.min("_lo").over(whole), "_hi": F.max("_hi").over(whole), "_sum": F.sum("_sum").over(whole),
+        "_square": F.sum("_square").over(whole),
     })
     wanted = F.array(*[
         F.struct(
@@ -59,10 +63,17 @@ def exact_percentiles(
         .withColumn("_before", F.col("_end") - F.col("_m"))
     )
     # One row per needed bin: the ranks wanted there, two per percentile at most.
-    whole_group = ["_total", "_lo", "_hi", "_sum"]
-    bins_needed = hits.groupBy(*keys, "_bin").agg(
+    whole_group = ["_total", "_lo", "_hi", "_sum", "_square"]
+    bins_needed = materialise(hits.groupBy(*keys, "_bin").agg(
         F.first("_before").alias("_before"), F.collect_list("_w").alias("_ws"),
         *[F.first(c).alias(c) for c in whole_group],
+    ))
+    # With few groups the wanted bins fit every task; with many they meet the values in a shuffle.
+    few = bins_needed.limit(FEW_BINS + 1).count() <= FEW_BINS
+    wanted_bins = bins_needed.select(*keys, "_bin")
+    binned = (
+        source.join(F.broadcast(wanted_bins) if few else wanted_bins, keys + ["_bin"], "left_semi")
+        .groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_n"))
     )
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     located = (
@@ -87,5 +98,6 @@ def exact_percentiles(
         out += [
             F.col("_total").alias("n"), F.col("_lo").alias("min"),
             (F.col("_sum") / F.col("_total")).alias("mean"), F.col("_hi").alias("max"),
+            F.sqrt(F.greatest(F.lit(0.0), F.col("_square") / F.col("_total") - F.pow(F.col("_sum") / F.col("_total"), 2))).alias("std"),
         ]
     return wide.select(*groups, *out)

@@ -39,10 +39,8 @@ def class_share(samples: DataFrame, label: str, empty_weight: float = EMPTY_CLAS
 def distribution_profile(samples: DataFrame, source: str, vec: str) -> DataFrame:
     """Mean, deviation and percentiles of all vector values per source."""
     values = samples.select(source, F.explode(V.as_doubles(F.col(vec))).alias("v"))
-    base = values.groupBy(source).agg(
-        F.count("*").alias("values"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")
-    )
-    return base.join(exact_percentiles(values, [source], F.col("v"), PROFILE_POINTS), source)
+    profile = exact_percentiles(values, [source], F.col("v"), PROFILE_POINTS, stats=True)
+    return profile.select(source, F.col("n").alias("values"), "mean", "std", *PROFILE_POINTS)
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
