@@ -115,27 +115,28 @@ class FrozenTrees:
         size, count = len(seen) + 1, len(self.langs)
         self.size = size
         number = {lang: i for i, lang in enumerate(self.langs)}
-        costs = [np.full((count, 1, size), 8.0)]
         node_of = np.zeros((size,) * ORDER, np.int32)  # last ORDER symbols, oldest first -> longest known node
+        held = [np.unique(rows["context"].to_numpy(np.int64), return_inverse=True) for rows in trees]
+        self.cost = np.empty((count, sum(len(contexts) for contexts, _ in held), size), np.float32)
         base = 0
-        for order, rows in enumerate(trees):
-            contexts, place = np.unique(rows["context"].to_numpy(np.int64), return_inverse=True)
-            n = np.zeros((count, len(contexts), size))
-            lang = rows["lang"].map(number).to_numpy(np.int64)
-            np.add.at(n, (lang, place, self.code[rows["symbol"].to_numpy(np.int64)]), rows["n"].to_numpy(np.float64))
+        for order, (rows, (contexts, place)) in enumerate(zip(trees, held)):
+            here = slice(base, base + len(contexts))
             key = tuple(self.code[(contexts >> 8 * (order - 1 - j)) & 255] for j in range(order))
             # The node one byte shorter: what the table gives now for any older symbols.
             parent = node_of[(np.zeros(len(contexts), np.int64),) * (ORDER - order) + key]
-            below = costs[0] if order == 0 else np.concatenate(costs, 1)[:, 1:]
-            below = np.repeat(below, len(contexts), 1) if order == 0 else below[:, parent]
-            total, kinds = n.sum(2, keepdims=True), (n > 0).sum(2, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                hit, escape = -np.log2(n / (total + kinds)), -np.log2(kinds / (total + kinds))
-            cost = np.where(total == 0, below, np.where(n > 0, hit, escape + below))
-            costs.append(cost)
+            lang = rows["lang"].map(number).to_numpy(np.int64)
+            symbol, seen_times = self.code[rows["symbol"].to_numpy(np.int64)], rows["n"].to_numpy(np.float64)
+            for i in range(count):
+                n, own = np.zeros((len(contexts), size)), lang == i
+                np.add.at(n, (place[own], symbol[own]), seen_times[own])
+                below = self.cost[i, parent] if order else np.float32(8.0)
+                total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escaped = below - np.log2(kinds / (total + kinds))
+                    self.cost[i, here] = np.where(total == 0, below, np.where(n > 0, -np.log2(n / (total + kinds)), escaped))
             node_of[(...,) + key] = base + np.arange(len(contexts))
             base += len(contexts)
-        self.cost = np.concatenate(costs, 1)[:, 1:].astype(np.float32).reshape(count, -1)
+        self.cost = self.cost.reshape(count, -1)
         self.node_of = node_of.reshape(-1)
 
     @classmethod
