@@ -329,17 +329,26 @@ def image_stats(scored: DataFrame) -> DataFrame:
     )
 
 
-def frames_summary(stats: DataFrame) -> DataFrame:
+def frames_summary(stats: DataFrame, solved: DataFrame | None = None, key: str = "image_id") -> DataFrame:
     """Sums over all images and over the detected ones; one row per frame.
 
+    ``solved`` (key, success) is the outcome of the solver; an image counts as solvable if it was detected and solved.
     Each image contributes to one or two frames of one aggregate; no second scan.
     """
+    if solved is None:
+        stats = stats.withColumn("_solved", F.lit(False))
+    else:
+        won = solved.filter("success").select(key, F.lit(True).alias("_solved"))
+        stats = stats.join(won, key, "left").withColumn("_solved", F.coalesce("_solved", F.lit(False)) & F.col("detected"))
     frames = F.explode(F.when(F.col("detected"), F.array(F.lit("all"), F.lit("detected"))).otherwise(F.array(F.lit("all"))))
     s = lambda name: F.sum(name)
     errors = s("wrong") + s("missed") + s("hallucinated")
     return stats.withColumn("frame", frames).groupBy("frame").agg(
         F.count("*").alias("images"),
         count_if(F.col("detected")).alias("detected"),
+        F.bround(safe_divide(count_if(F.col("detected")), F.count("*")), 4).alias("detection_rate"),
+        count_if(F.col("_solved")).alias("solvable"),
+        F.bround(safe_divide(count_if(F.col("_solved")), F.count("*")), 4).alias("solve_rate"),
         count_if(F.col("perfect")).alias("perfect"),
         F.bround(safe_divide(count_if(F.col("perfect")), F.count("*")), 4).alias("perfect_rate"),
         s("filled").alias("filled_total"),

@@ -91,6 +91,16 @@ def distinct_first(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     )
 
 
+def common_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys that both tables hold, each once. Null is a key like others."""
+    return left.select(key).intersect(right.select(key))
+
+
+def surplus_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys of ``left`` less those of ``right``, counting copies: three against one leave two."""
+    return left.select(key).exceptAll(right.select(key))
+
+
 def attach_outlines(images: DataFrame, outlines: DataFrame, key: str, required: bool = False) -> DataFrame:
     """Add outlines with a ``has_outline`` flag, or keep only images that have one."""
     flagged = outlines.withColumn("has_outline", F.lit(True))

@@ -8,6 +8,7 @@ from gridspark.functions import cells as C
 from gridspark.functions import geometry as G
 from gridspark.operators import experiments as X
 from gridspark.operators import scoring as S
+from gridspark.operators import solver
 from gridspark.plans import inputs as I
 from gridspark.plans.registry import longs, query, rounded
 from gridspark.sources.readers import read_table
@@ -196,6 +197,9 @@ _EVEN = "round_even(CAST({} AS DECIMAL(18,9)), {})::DOUBLE"
 
 def _frame(name: str, where: str) -> str:
     return f"""SELECT '{name}' AS frame, count(*) AS images, count(*) FILTER (detected) AS detected,
+  {_EVEN.format('count(*) FILTER (detected) / count(*)', 4)} AS detection_rate,
+  count(*) FILTER (detected AND image_id % 7 <> 0) AS solvable,
+  {_EVEN.format('count(*) FILTER (detected AND image_id % 7 <> 0) / count(*)', 4)} AS solve_rate,
   count(*) FILTER (perfect) AS perfect, {_EVEN.format('count(*) FILTER (perfect) / count(*)', 4)} AS perfect_rate,
   sum(filled)::BIGINT AS filled_total, sum(correct)::BIGINT AS filled_correct,
   {_EVEN.format('sum(correct) / sum(filled)', 4)} AS filled_rate,
@@ -208,7 +212,9 @@ FROM st WHERE {where}"""
 
 @query("frames_summary", "A16", _STATS + _frame("all", "true") + "\nUNION ALL\n" + _frame("detected", "detected"))
 def frames_summary(spark, sf):
-    return S.frames_summary(S.image_stats(I.scored(spark, sf)))
+    """Reading and solving outcomes of all images; every seventh grid breaks a rule and cannot be solved."""
+    outcome = solver.solve_gate(I.grids(spark, sf, bad=True)).select(F.col("puzzle_id").alias("image_id"), "success")
+    return S.frames_summary(S.image_stats(I.scored(spark, sf)), outcome)
 
 
 @query("by_device", "A17", _STATS + """

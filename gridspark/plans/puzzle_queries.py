@@ -227,7 +227,7 @@ def grid_schema(spark, sf):
     return good.select("puzzle_id", F.lit("").alias("error")).unionByName(bad.select("puzzle_id", "error"))
 
 
-@query("multivalue_grids", "P2 P3 U10", I.SCORED_CTE + """
+@query("multivalue_grids", "P2 P3", I.SCORED_CTE + """
 SELECT image_id, sum((idx+1) * CASE WHEN len(cell) > 1 THEN 0 ELSE cell[1] END)::BIGINT AS coerced,
   sum((idx+1) * gt_digit)::BIGINT AS first_value FROM fx_scored GROUP BY 1""")
 def multivalue_grids(spark, sf):
@@ -310,7 +310,7 @@ def display_text(spark, sf):
     )
 
 
-@query("distinct_grids", "K9 U10", CELLS[:-1] + """, g AS (SELECT image_id AS puzzle_id, string_agg(clue::VARCHAR, '' ORDER BY idx) AS grid,
+@query("distinct_grids", "K9", CELLS[:-1] + """, g AS (SELECT image_id AS puzzle_id, string_agg(clue::VARCHAR, '' ORDER BY idx) AS grid,
   bool_and(image_id % 10 <> 3) AS detected FROM fx_cells GROUP BY 1)
 SELECT grid, min(puzzle_id) AS puzzle_id FROM g WHERE detected GROUP BY grid ORDER BY puzzle_id LIMIT 6""")
 def distinct_grids(spark, sf):

@@ -56,6 +56,21 @@ def delete_keys(spark, sf):
     return T.delete_keys(read_table(spark, sf, "customer").select("c_custkey"), gone, "c_custkey")
 
 
+@query("common_keys", "U10", "SELECT o_custkey AS k FROM orders INTERSECT SELECT user_id FROM events")
+def common_keys(spark, sf):
+    return T.common_keys(*_customer_keys(spark, sf), "k")
+
+
+@query("surplus_keys", "U10", "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT user_id FROM events")
+def surplus_keys(spark, sf):
+    return T.surplus_keys(*_customer_keys(spark, sf), "k")
+
+
+def _customer_keys(spark, sf):
+    orders = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
+    return orders, read_table(spark, sf, "events").select(F.col("user_id").alias("k"))
+
+
 @query("toggle_flag", "J8", """
 SELECT event_id, CASE WHEN event_id IN (SELECT 2*o_custkey FROM orders) THEN event_id % 10 <> 0 ELSE event_id % 10 = 0 END AS is_favorite FROM events""")
 def toggle_flag(spark, sf):
