@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import documents, free_shuffles, id_text, stored, tuned
 from .components import components, forest
 
-COUNTERS, SLICES = 1 << 18, 64  # counters of shingle frequency, and the rows they travel in
+# Counters of shingle frequency, and the rows they travel in. The counters only order shingles: more of them keep
+# unrelated documents apart for longer as the input grows, none changes a result.
+COUNTERS, SLICES = 1 << 22, 64
 BLOCK_DOCS = 1024  # documents that one task searches together
 SKIP = 0.05  # weight of the merge in choosing how many long lists are only probed
 
@@ -99,32 +102,36 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, counts = Shingler(words), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            rows = []
+            rows, places = [], []
             for key, own in zip(batch["doc_id"], shingler.sets(batch["text"].tolist())):
-                counts += np.bincount((own % U(COUNTERS)).astype(np.int64), minlength=COUNTERS) if len(own) > COUNTERS // 8 else 0
-                if len(own) <= COUNTERS // 8:
-                    np.add.at(counts, (own % U(COUNTERS)).astype(np.int64), 1)
+                places.append((own % U(COUNTERS)).astype(np.int32))
                 spread = mix(own ^ U(0x5851F42D4C957F2D))
-                rows.append((key, len(own), int(spread.sum(dtype=U).view(np.int64)), int(np.bitwise_xor.reduce(mix(spread)).view(np.int64)) if len(own) else 0))
+                second = np.bitwise_xor.reduce(mix(spread)) if len(own) else U(0)
+                rows.append((key, len(own), int(spread.sum(dtype=U).view(np.int64)), int(second.view(np.int64))))
+            if places:
+                counts += np.bincount(np.concatenate(places), minlength=COUNTERS)
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2"]).assign(slice=None, counts=None)
         for i, part in enumerate(counts.reshape(SLICES, -1)):
             if part.any():
-                yield pd.DataFrame([(None, 0, 0, 0, i, part.astype("<i8").tobytes())], columns=["doc_id", "n_shingles", "d1", "d2", "slice", "counts"])
+                packed = zlib.compress(part.astype("<u4").tobytes(), 1)
+                yield pd.DataFrame([(None, 0, 0, 0, i, packed)], columns=["doc_id", "n_shingles", "d1", "d2", "slice", "counts"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
         work, "doc_id long, n_shingles long, d1 long, d2 long, slice int, counts binary")
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
-    """The counters of all tasks together; their number is fixed."""
+    """The counters of all tasks together, up to 65,535; their number is fixed, and so is the size of what is broadcast."""
     def add(own: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<i8") for c in own["counts"])
-        return pd.DataFrame([(own["slice"].iloc[0], total.tobytes())], columns=["slice", "counts"])
+        total = np.zeros(COUNTERS // SLICES, np.int64)
+        for part in own["counts"]:
+            total += np.frombuffer(zlib.decompress(part), "<u4")
+        return pd.DataFrame([(own["slice"].iloc[0], np.minimum(total, 65_535).astype("<u2").tobytes())], columns=["slice", "counts"])
 
     parts = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary")
-    out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint16)
     for row in parts.collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], "<i8")
+        out[row["slice"]] = np.frombuffer(row["counts"], "<u2")
     return out.reshape(-1)
 
 
@@ -183,6 +190,16 @@ def candidate_links(entries: DataFrame, num: int, den: int) -> DataFrame:
         F.col("doc").alias("a"), F.col("before").alias("b"))
 
 
+def candidate_groups(docs: DataFrame, speakers: DataFrame, counters: np.ndarray, words: int, num: int, den: int, block: int) -> DataFrame:
+    """doc, component, blocks: groups that hold every link, and in how many blocks each has to be searched."""
+    found = components(candidate_links(short_lists(docs, speakers, counters, words, num, den), num, den))
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    grouped = stored(found.join(sizes, "component").select(
+        F.col("node").alias("doc"), "component", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "candidates")
+    free_shuffles(docs.sparkSession)
+    return grouped
+
+
 def similar_links(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, num: int, den: int,
                   queries: np.ndarray | None = None) -> list[tuple[int, int]]:
     """T-occurrence search with DivideSkip over the inverted lists of some sets.
@@ -286,7 +303,8 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Null ids have no component; texts without words are components of their own; rows with one id are one node.
 
     1. Digests of all sets and frequency counters, in one pass.
-    2. Short inverted lists (``short_lists``); chains through them give candidate groups that hold every link.
+    2. Short inverted lists (``short_lists``); chains through them give candidate groups that hold every link. Documents
+       of groups beyond ``block`` are counted and listed anew among themselves as long as that shrinks the groups.
     3. Inside groups, T-occurrence search on whole sets. Groups of up to ``block`` documents are
        searched whole, several in a task. Larger ones are dealt into blocks twice, by two hashes, and then the
        documents outside the largest class found so far are searched against every block. So no task holds more
@@ -298,13 +316,20 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     plain = rows.where("slice is null").select("doc_id", "n_shingles", "d1", "d2")
     filled = plain.where("n_shingles > 0 and doc_id is not null")
     speakers = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("speaker"))
-    entries = short_lists(docs, speakers.select(F.col("speaker").alias("doc_id")), frequencies(rows), words, num, den)
-    candidates = components(candidate_links(entries, num, den))
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / block).cast("long")
-    grouped = stored(
-        candidates.join(sizes, "component").select(F.col("node").alias("doc"), "component", blocks.alias("blocks")), "candidates")
-    free_shuffles(spark)
+    named = speakers.select(F.col("speaker").alias("doc_id"))
+    grouped = candidate_groups(docs, named, frequencies(rows), words, num, den, block)
+    before = None
+    while True:
+        # Counted among themselves, the documents of large groups show which shingles are rare there.
+        crowd = grouped.where("blocks > 1").select(F.col("doc").alias("doc_id"))
+        size = crowd.count()
+        if not size or before and size > 0.8 * before:
+            break
+        before = size
+        texts = stored(docs.select("doc_id", "text").join(crowd.hint("shuffle_hash"), "doc_id", "left_semi"), "crowd")
+        again = candidate_groups(texts, crowd, frequencies(stored(fingerprints(texts, words), "fingerprints")), words, num, den, block)
+        grouped = stored(grouped.where("blocks = 1").unionByName(again), "candidates")
+        free_shuffles(spark)
     total = grouped.count()
     tasks = max(1, -(-total // block))
     # Small groups share a place by hash; blocks of large groups have their own. Negative and
