@@ -17,6 +17,7 @@ from .components import components, forest
 # unrelated documents apart for longer as the input grows, none changes a result.
 COUNTERS, SLICES = 1 << 22, 64
 BLOCK_DOCS = 1024  # documents that one task searches together
+HUBS = 16  # best linked documents of a large group that are compared with all of it
 SKIP = 0.05  # weight of the merge in choosing how many long lists are only probed
 
 U = np.uint64
@@ -306,9 +307,9 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     2. Short inverted lists (``short_lists``); chains through them give candidate groups that hold every link. Documents
        of groups beyond ``block`` are counted and listed anew among themselves as long as that shrinks the groups.
     3. Inside groups, T-occurrence search on whole sets. Groups of up to ``block`` documents are
-       searched whole, several in a task. Larger ones are dealt into blocks twice, by two hashes, and then the
-       documents outside the largest class found so far are searched against every block. So no task holds more
-       than a few blocks, and no pair of different classes is left out.
+       searched whole, several in a task. Larger ones are dealt into blocks twice, by two hashes; then the best linked
+       documents, and last those outside the largest class found so far, are searched against every block. So no task holds
+       more than a few blocks, and no pair of different classes is left out.
     """
     spark = tuned(docs.sparkSession)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -341,6 +342,7 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         first.select("place", "doc", F.col("doc").alias("label"), F.lit(True).alias("query"), "shingles"), num, den)), "similar")
     free_shuffles(spark)
     if grouped.where("blocks > 1").limit(1).count():
+        links = links.unionByName(hub_links(docs, grouped, links, words, num, den))
         links = links.unionByName(across_blocks(docs, grouped, links, words, num, den))
     classes = components(links)
     members = plain.join(speakers, ["n_shingles", "d1", "d2"], "left").join(
@@ -349,6 +351,33 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return members.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def hub_links(docs: DataFrame, grouped: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links of the documents with most links so far to all blocks of their large group.
+
+    Copies of one original are often nearer to it than to each other; the original then joins all blocks at once.
+    """
+    large = grouped.where("blocks > 1")
+    ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc")))
+    most = Window.partitionBy("component").orderBy(F.desc("n"), "doc")
+    hubs = (
+        ends.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(large, "doc")
+        .withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS).select("doc", F.lit(True).alias("query"))
+    )
+    classes = components(links).select(F.col("node").alias("doc"), F.col("component").alias("class"))
+    wanted = stored(
+        large.join(classes, "doc", "left").join(hubs, "doc", "left").select(
+            "doc", "component", "blocks", F.coalesce("class", "doc").alias("label"), F.coalesce("query", F.lit(False)).alias("query")), "hubs")
+    return stored(forest(searched(in_blocks(docs, wanted, words), num, den)), "hub-links")
+
+
+def in_blocks(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Sets of ``wanted`` (doc, component, blocks, label, query): queries in every block of their group, others in their own."""
+    home = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
+    where = F.explode(F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home)))
+    sets = shingle_sets(docs, wanted, words).withColumn("at", where).withColumn("place", F.xxhash64("component", "at"))
+    return sets.select("place", "doc", "label", "query", "shingles")
+
+
 def across_blocks(docs: DataFrame, grouped: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links between blocks of large groups that do not follow from those found."""
     classes = components(links)
@@ -360,10 +389,7 @@ def across_blocks(docs: DataFrame, grouped: DataFrame, links: DataFrame, words:
         "doc", "component", "blocks", "label", (F.col("label") != F.col("main")).alias("query")), "open")
     if not open_.limit(1).count():
         return links.limit(0)
-    home = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
-    where = F.explode(F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home)))
-    sets = shingle_sets(docs, open_, words).withColumn("at", where).withColumn("place", F.xxhash64("component", "at"))
-    return stored(forest(searched(sets.select("place", "doc", "label", "query", "shingles"), num, den)), "across")
+    return stored(forest(searched(in_blocks(docs, open_, words), num, den)), "across")
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
