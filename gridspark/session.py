@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,7 +51,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current and current.startswith("file:") and not context.master.startswith("local"):
         raise RuntimeError(f"{current} is a folder of one machine; executors of a cluster need a shared one")
     if current is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
