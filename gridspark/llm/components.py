@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import free_shuffles, stored
 
+FEW_LINKS = 500_000  # links that one task may join
+
 
 def forest(links: DataFrame) -> DataFrame:
     """Spanning forest of the links of each partition: fewer links, the same components."""
@@ -35,18 +37,19 @@ def forest(links: DataFrame) -> DataFrame:
     return links.mapInPandas(work, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few_links: int = FEW_LINKS) -> DataFrame:
     """node, component: the smallest node that links lead to. ``links`` has long columns a and b.
 
-    Each task first reduces its own links to a forest. Then large-star and small-star steps take turns
-    until no link changes; hubs are aggregated before the shuffle, and their joins can be split.
+    Each task first reduces its own links to a forest. What is left goes to one task if it is at most ``FEW_LINKS``, which is
+    counted first. Else large-star and small-star steps take turns until no link changes; hubs are aggregated
+    before the shuffle, and their joins can be split.
     Nodes without links to others do not come out.
     """
     spark = links.sparkSession
     now = stored(forest(links.where("a <> b")).distinct(), "links")
     mark = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = mark(now)
-    while True:
+    while seen[0] > few_links:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -60,5 +63,8 @@ def components(links: DataFrame) -> DataFrame:
         free_shuffles(spark)
         last, seen = seen, mark(now)
         if last == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            break
+    else:
+        now = stored(forest(now.coalesce(1)), "links")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -319,7 +319,7 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     speakers = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("speaker"))
     named = speakers.select(F.col("speaker").alias("doc_id"))
     grouped = candidate_groups(docs, named, frequencies(rows), words, num, den, block)
-    before = None
+    before, crowd_docs = None, docs
     while True:
         # Counted among themselves, the documents of large groups show which shingles are rare there.
         crowd = grouped.where("blocks > 1").select(F.col("doc").alias("doc_id"))
@@ -327,8 +327,9 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         if not size or before and size > 0.8 * before:
             break
         before = size
-        texts = stored(docs.select("doc_id", "text").join(crowd.hint("shuffle_hash"), "doc_id", "left_semi"), "crowd")
-        again = candidate_groups(texts, crowd, frequencies(stored(fingerprints(texts, words), "fingerprints")), words, num, den, block)
+        crowd_docs = stored(crowd_docs.select("doc_id", "text").join(crowd.hint("shuffle_hash"), "doc_id", "left_semi"), "crowd")
+        counters = frequencies(stored(fingerprints(crowd_docs, words), "fingerprints"))
+        again = candidate_groups(crowd_docs, crowd, counters, words, num, den, block)
         grouped = stored(grouped.where("blocks = 1").unionByName(again), "candidates")
         free_shuffles(spark)
     total = grouped.count()
@@ -342,8 +343,8 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         first.select("place", "doc", F.col("doc").alias("label"), F.lit(True).alias("query"), "shingles"), num, den)), "similar")
     free_shuffles(spark)
     if grouped.where("blocks > 1").limit(1).count():
-        links = links.unionByName(hub_links(docs, grouped, links, words, num, den))
-        links = links.unionByName(across_blocks(docs, grouped, links, words, num, den))
+        links = links.unionByName(hub_links(crowd_docs, grouped, links, words, num, den))
+        links = links.unionByName(across_blocks(crowd_docs, grouped, links, words, num, den))
     classes = components(links)
     members = plain.join(speakers, ["n_shingles", "d1", "d2"], "left").join(
         classes.withColumnRenamed("node", "speaker"), "speaker", "left")

@@ -200,7 +200,8 @@ def test_classes_without_ids_or_rows(table):
     assert sorted((r.doc_id or -1, r.component_id) for r in rows) == [(-1, None), (4, 4), (4, 4)]
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components_of_a_chain(spark, few):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
-    found = {r.node: r.component for r in components(links.repartition(5)).collect()}
+    found = {r.node: r.component for r in components(links.repartition(5), few).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
