@@ -17,6 +17,7 @@ from .components import components, forest
 # unrelated documents apart for longer as the input grows, none changes a result.
 COUNTERS, SLICES = 1 << 22, 64
 BLOCK_DOCS = 1024  # documents that one task searches together
+FEW_ROWS = 500_000  # ids that are sent to every task at most; more of them meet the texts in a shuffle
 HUBS = 16  # best linked documents of a large group that are compared with all of it
 SKIP = 0.05  # weight of the merge in choosing how many long lists are only probed
 
@@ -282,6 +283,11 @@ def searched(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.groupBy("place").applyInPandas(work, "a long, b long")
 
 
+def by_size(ids: DataFrame) -> DataFrame:
+    """Marks a written table of ids for a broadcast if it is small; it is counted first."""
+    return F.broadcast(ids) if ids.limit(FEW_ROWS + 1).count() <= FEW_ROWS else ids.hint("shuffle_hash")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """Whole sets of the documents in ``wanted``, with its columns."""
     names = [c for c in wanted.columns if c != "doc"]
@@ -293,7 +299,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             packed = [s.astype("<u8").tobytes() for s in shingler.sets(batch["text"].tolist())]
             yield batch[["doc", *names]].assign(shingles=packed)
 
-    joined = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.hint("shuffle_hash"), "doc")
+    joined = docs.select(F.col("doc_id").alias("doc"), "text").join(by_size(wanted), "doc")
     return joined.mapInPandas(work, f"doc long, {kinds}, shingles binary")
 
 
@@ -327,7 +333,7 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         if not size or before and size > 0.8 * before:
             break
         before = size
-        crowd_docs = stored(crowd_docs.select("doc_id", "text").join(crowd.hint("shuffle_hash"), "doc_id", "left_semi"), "crowd")
+        crowd_docs = stored(crowd_docs.select("doc_id", "text").join(by_size(crowd), "doc_id", "left_semi"), "crowd")
         counters = frequencies(stored(fingerprints(crowd_docs, words), "fingerprints"))
         again = candidate_groups(crowd_docs, crowd, counters, words, num, den, block)
         grouped = stored(grouped.where("blocks = 1").unionByName(again), "candidates")
