@@ -61,12 +61,14 @@ def difference_cover_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     n = len(symbols)
     s = np.concatenate([symbols.astype(np.int64), np.zeros(3, np.int64)])
     size = int(s.max()) + 1 if n else 1
-    if size >= 1 << 20:  # three symbols must fit 63 bits
+    if size > n + 1:
         s[:n] = names_of(s[:n])
         size = int(s.max()) + 1
+    # A key holds two numbers of at most n + 1 each, never three, so it fits 63 bits at any number of symbols:
+    # pairs of symbols are named first, then pair and third symbol (or rank).
     one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     cover = np.concatenate([one, two])
-    names = names_of((s[cover] * size + s[cover + 1]) * size + s[cover + 2])
+    names = names_of(names_of(s[cover] * size + s[cover + 1]) * size + s[cover + 2])
     if depth > 3 and len(names) and int(names.max()) < len(names):
         # Zeros part the two halves, so that no triple reads from one into the other.
         deeper = difference_cover_ranks(
@@ -76,7 +78,10 @@ def difference_cover_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     rank[cover] = names
     base = int(names.max(initial=0)) + 1
     by_one = lambda i: s[i] * base + rank[i + 1]
-    by_two = lambda i: (s[i] * size + s[i + 1]) * base + rank[i + 2]
+    ends = np.concatenate([zero, two])
+    pair = np.empty(n, np.int64)
+    pair[ends] = names_of(s[ends] * size + s[ends + 1])  # of both residues together, so that they compare
+    by_two = lambda i: pair[i] * base + rank[i + 2]
     zero_one, zero_two, one_one, two_two = by_one(zero), by_two(zero), by_one(one), by_two(two)
     sorted_zero_one, sorted_cover = np.sort(zero_one), np.sort(names)
     out = np.empty(n, np.int64)

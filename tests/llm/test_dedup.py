@@ -143,6 +143,20 @@ def test_ranks_follow_suffix_order(symbols, depth):
         assert ranks[a] != ranks[b] or equal
 
 
+def test_ranks_of_more_than_two_million_symbols():
+    """Three of these symbols do not fit 63 bits. Repeats stand at all residues modulo 3."""
+    draw = np.random.default_rng(6)
+    once = draw.permutation((1 << 21) + 1000) + 1
+    symbols = np.concatenate([once, once[5:70_000], once[-90_000:], once[7:60_000]])
+    ranks = suffix_dedup.difference_cover_ranks(symbols, 9)
+    windows = np.lib.stride_tricks.sliding_window_view(np.r_[symbols, np.zeros(8, np.int64)], 9)
+    order = np.lexsort(windows.T[::-1])
+    fresh = np.r_[True, (windows[order[1:]] != windows[order[:-1]]).any(1)]
+    first = np.flatnonzero(fresh)
+    lowest, highest = np.minimum.reduceat(ranks[order], first), np.maximum.reduceat(ranks[order], first)
+    assert len(once) > 1 << 21 and len(first) < len(symbols) and (highest[:-1] < lowest[1:]).all()
+
+
 # --- similarity -----------------------------------------------------------------------------------
 
 def shingles(text, words):
