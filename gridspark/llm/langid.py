@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from .common import documents, fold, free_shuffles, stored
 
 ORDER = 3  # bytes of the longest context
-MAX_CONTEXTS = 20_000  # contexts of each of the two longest orders that the frozen trees hold, the most frequent ones
 FOLDS, HELD_FOLD = 4, 2
 UNKNOWN = "und"
 PAD = b"\n" * ORDER  # stands before each text, so that every byte has a full context
@@ -78,23 +77,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded_trees(grams: DataFrame, max_contexts: int = MAX_CONTEXTS) -> list[pd.DataFrame]:
-    """For each order from 0 up, rows (lang, context, symbol, n) of the contexts that the model holds.
-
-    Counts are sums over all training bytes. Orders 0 and 1 have at most 256 contexts;
-    of the longer orders the ``max_contexts`` most frequent are held, and the others escape.
-    """
-    out = []
-    for order in range(ORDER + 1):
-        rows = grams.groupBy(
-            "lang", F.shiftright(F.col("gram"), 8).bitwiseAND((1 << 8 * order) - 1).alias("context"),
-            F.col("gram").bitwiseAND(255).alias("symbol"),
-        ).agg(F.sum("n").alias("n"))
-        if order > 1:
-            top = rows.groupBy("context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "context").limit(max_contexts)
-            rows = rows.join(F.broadcast(top.select("context")), "context")
-        out.append(rows.select("lang", "context", "symbol", "n").toPandas())
-    return out
+def counted_trees(grams: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages by name; and of each counted gram the number of its language, its four bytes and how often it occurs."""
+    rows = grams.select("lang", "gram", "n").toArrow()
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    names = lang.dictionary.to_pylist() if len(rows) else []
+    langs = sorted(names)
+    number = np.array([langs.index(name) for name in names], np.int64)
+    return langs, number[lang.indices.to_numpy()] if langs else number, rows["gram"].to_numpy().astype(np.uint32), rows["n"].to_numpy()
 
 
 class FrozenTrees:
@@ -102,72 +92,79 @@ class FrozenTrees:
 
     A context node with N counts of q different bytes codes a byte seen n times with n / (N + q)
     and an escape with q / (N + q), after which the next shorter context is asked; below the empty
-    context all 256 bytes are alike. A language that has not met a context starts at a shorter one. All
-    of this is worked out once into ``cost[language][node, symbol]``.
+    context all 256 bytes are alike. A language that has not met a context starts at a shorter one.
+    Every counted context is held. For each order ``grams`` has the sorted strings (context and byte) that occur in any
+    language and ``cost[order][language]`` their code lengths; ``contexts`` and ``escape`` serve bytes that no language has seen there.
+    Size follows the strings that occur.
     """
 
-    def __init__(self, trees: list[pd.DataFrame]):
-        self.langs = sorted(trees[0]["lang"].unique().tolist())
-        # The pad is part of contexts even if no text holds it.
-        seen = np.unique(np.append(trees[0]["symbol"].to_numpy(np.int64), PAD[0]))
-        self.code = np.zeros(256, np.int64)  # 0 stands for bytes never seen
-        self.code[seen] = np.arange(1, len(seen) + 1)
-        size, count = len(seen) + 1, len(self.langs)
-        self.size = size
-        number = {lang: i for i, lang in enumerate(self.langs)}
-        node_of = np.zeros((size,) * ORDER, np.int32)  # last ORDER symbols, oldest first -> longest known node
-        held = [np.unique(rows["context"].to_numpy(np.int64), return_inverse=True) for rows in trees]
-        self.cost = np.empty((count, sum(len(contexts) for contexts, _ in held), size), np.float32)
-        base = 0
-        for order, (rows, (contexts, place)) in enumerate(zip(trees, held)):
-            here = slice(base, base + len(contexts))
-            key = tuple(self.code[(contexts >> 8 * (order - 1 - j)) & 255] for j in range(order))
-            # The node one byte shorter: what the table gives now for any older symbols.
-            parent = node_of[(np.zeros(len(contexts), np.int64),) * (ORDER - order) + key]
-            lang = rows["lang"].map(number).to_numpy(np.int64)
-            symbol, seen_times = self.code[rows["symbol"].to_numpy(np.int64)], rows["n"].to_numpy(np.float64)
-            for i in range(count):
-                n, own = np.zeros((len(contexts), size)), lang == i
-                np.add.at(n, (place[own], symbol[own]), seen_times[own])
-                below = self.cost[i, parent] if order else np.float32(8.0)
-                total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        self.langs = langs
+        self.grams, self.cost, self.contexts, self.escape = [], [], [], []
+        for order in range(ORDER + 1):
+            own = gram & np.uint32((1 << 8 * (order + 1)) - 1)
+            grams, at = np.unique(own, return_inverse=True)
+            contexts, place = np.unique(grams >> np.uint32(8), return_inverse=True)
+            below = np.searchsorted(self.grams[-1], grams & np.uint32((1 << 8 * order) - 1)) if order else None
+            cost = np.empty((len(langs), len(grams)), np.float32)
+            escape = np.zeros((len(langs), len(contexts) + 1), np.float32)  # the last one stands for contexts nobody has met
+            for i in range(len(langs)):
+                mine = lang == i
+                seen = np.bincount(at[mine], n[mine], len(grams))
+                total, kinds = np.bincount(place, seen, len(contexts)), np.bincount(place, seen > 0, len(contexts))
+                shorter = self.cost[-1][i, below] if order else np.float32(8.0)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    escaped = below - np.log2(kinds / (total + kinds))
-                    self.cost[i, here] = np.where(total == 0, below, np.where(n > 0, -np.log2(n / (total + kinds)), escaped))
-            node_of[(...,) + key] = base + np.arange(len(contexts))
-            base += len(contexts)
-        self.cost = self.cost.reshape(count, -1)
-        self.node_of = node_of.reshape(-1)
+                    escape[i, :-1] = np.where(total == 0, 0, -np.log2(kinds / (total + kinds)))
+                    cost[i] = np.where(seen > 0, -np.log2(seen / (total + kinds)[place]), shorter + escape[i, place])
+            self.grams.append(grams)
+            self.cost.append(cost)
+            self.contexts.append(contexts)
+            self.escape.append(escape)
 
     @classmethod
     def of(cls, state: dict) -> FrozenTrees:
-        """From the plain arrays that were broadcast; their size is bounded by ``MAX_CONTEXTS``."""
+        """From the plain arrays that were broadcast."""
         trees = cls.__new__(cls)
         trees.__dict__.update(state)
         return trees
 
+    def bits(self, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of the last byte of each gram under each language, one row for a language."""
+        if order < 0:
+            return np.full((len(self.langs), len(gram)), 8.0, np.float32)
+        own = gram & np.uint32((1 << 8 * (order + 1)) - 1)
+        grams, contexts = self.grams[order], self.contexts[order]
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        out = self.cost[order][:, at]
+        unseen = np.flatnonzero(grams[at] != own)
+        if len(unseen):
+            context = own[unseen] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            at[contexts[at] != context] = len(contexts)
+            out[:, unseen] = self.bits(gram[unseen], order - 1) + self.escape[order][:, at]
+        return out
+
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
         for a, b in blocks(texts):
             data, starts, ends = padded(texts[a:b])
-            symbol = self.code[data]
-            context = (symbol[:-3] * self.size + symbol[1:-2]) * self.size + symbol[2:-1]
-            cell = self.node_of[context].astype(np.int64) * self.size + symbol[3:]
-            cell = np.append(cell, 0)
+            word = data.astype(np.uint32)
+            # Equal grams are looked up once; one more stands behind the last text, where no sum reads.
+            gram, cell = np.unique(np.append(word[:-3] << 24 | word[1:-2] << 16 | word[2:-1] << 8 | word[3:], word[:1]), return_inverse=True)
             bounds = np.stack([starts - ORDER, ends - ORDER], 1).reshape(-1)
-            for i, cost in enumerate(self.cost):
+            for i, cost in enumerate(self.bits(gram)):
                 sums = np.add.reduceat(cost[cell], bounds, dtype=np.float64)[::2]
                 out[a:b, i] = np.where(ends > starts, sums, 0)
         return out
 
 
-def train(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> FrozenTrees | None:
+def train(docs: DataFrame) -> FrozenTrees | None:
     """Frozen trees from columns lang and text; null languages and null texts teach nothing. None without rows."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    trees = bounded_trees(stored(gram_counts(rows), "grams"), max_contexts)
+    trees = counted_trees(stored(gram_counts(rows), "grams"))
     free_shuffles(docs.sparkSession)
-    return FrozenTrees(trees) if len(trees[0]) else None
+    return FrozenTrees(*trees) if trees[0] else None
 
 
 def identify(docs: DataFrame, model: FrozenTrees | None) -> DataFrame:

@@ -55,6 +55,18 @@ def test_code_lengths_equal_a_plain_recursion(spark):
     assert np.allclose(model.lengths([t.encode() for t in texts]), wanted, rtol=1e-5)
 
 
+def test_every_counted_context_is_held(spark):
+    """One language has 30,000 frequent contexts, the other a few that occur once."""
+    draw = np.random.default_rng(3)
+    hot = " ".join("".join(map(chr, draw.integers(97, 129, 3))) for _ in range(200_000)).replace("\x7f", "a").replace("\x80", "b")
+    model = langid.train(spark.createDataFrame([("x", hot), ("y", "QWXQ ZWXY ZWXY")], "lang string, text string"))
+    data = np.frombuffer(langid.PAD + hot.encode(), np.uint8).astype(int)
+    assert len(np.unique((data[:-3] * 256 + data[1:-2]) * 256 + data[2:-1])) > 20_000
+    # After QWX only Q has come, once: 1 / (1 + 1), one bit; after WX it would be 1 / (3 + 2).
+    longer, shorter = model.lengths([b"QWXQ", b"QWX"])
+    assert math.isclose(longer[1] - shorter[1], 1, abs_tol=1e-4)
+
+
 def test_language_of_odd_rows(spark, table, odd_texts):
     docs = table(odd_texts).withColumn("held_out", F.lit(False))
     learned = langid.train(documents(spark, SMALL))
