@@ -314,8 +314,8 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
        of groups beyond ``block`` are counted and listed anew among themselves as long as that shrinks the groups.
     3. Inside groups, T-occurrence search on whole sets. Groups of up to ``block`` documents are
        searched whole, several in a task. Larger ones are dealt into blocks twice, by two hashes; then the best linked
-       documents, and last those outside the largest class found so far, are searched against every block. So no task holds
-       more than a few blocks, and no pair of different classes is left out.
+       documents, and last those outside the largest class found so far, are searched against every block, being dealt into
+       blocks themselves. So no search holds more than about two blocks, and no pair of different classes is left out.
     """
     spark = tuned(docs.sparkSession)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -350,7 +350,7 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     free_shuffles(spark)
     if grouped.where("blocks > 1").limit(1).count():
         links = links.unionByName(hub_links(crowd_docs, grouped, links, words, num, den))
-        links = links.unionByName(across_blocks(crowd_docs, grouped, links, words, num, den))
+        links = links.unionByName(across_blocks(crowd_docs, grouped, links, words, num, den, block))
     classes = components(links)
     members = plain.join(speakers, ["n_shingles", "d1", "d2"], "left").join(
         classes.withColumnRenamed("node", "speaker"), "speaker", "left")
@@ -373,27 +373,36 @@ def hub_links(docs: DataFrame, grouped: DataFrame, links: DataFrame, words: int,
     classes = components(links).select(F.col("node").alias("doc"), F.col("component").alias("class"))
     wanted = stored(
         large.join(classes, "doc", "left").join(hubs, "doc", "left").select(
-            "doc", "component", "blocks", F.coalesce("class", "doc").alias("label"), F.coalesce("query", F.lit(False)).alias("query")), "hubs")
+            "doc", "component", "blocks", F.coalesce("class", "doc").alias("label"), F.coalesce("query", F.lit(False)).alias("query"),
+            F.lit(1).cast("long").alias("parts")), "hubs")
     return stored(forest(searched(in_blocks(docs, wanted, words), num, den)), "hub-links")
 
 
 def in_blocks(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Sets of ``wanted`` (doc, component, blocks, label, query): queries in every block of their group, others in their own."""
-    home = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
-    where = F.explode(F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home)))
-    sets = shingle_sets(docs, wanted, words).withColumn("at", where).withColumn("place", F.xxhash64("component", "at"))
-    return sets.select("place", "doc", "label", "query", "shingles")
+    """Sets of ``wanted`` (doc, component, blocks, label, query, parts): queries meet every block of their group.
+
+    The queries of a group are dealt into ``parts``. A place holds one part of them and one block of all, so its size does
+    not grow with the group; a query counts as one of its own block where other parts ask.
+    """
+    home, part = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks")), F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    asks = F.transform(upto("blocks"), lambda at: F.struct(at.alias("at"), part.alias("part"), F.lit(True).alias("query")))
+    asked = F.transform(upto("parts"), lambda x: F.struct(home.alias("at"), x.alias("part"), F.lit(False).alias("query")))
+    where = F.explode(F.when(F.col("query"), F.concat(asks, F.filter(asked, lambda x: x["part"] != part))).otherwise(asked))
+    sets = shingle_sets(docs, wanted, words).withColumn("role", where)
+    return sets.select(F.xxhash64("component", "role.at", "role.part").alias("place"), "doc", "label", "role.query", "shingles")
 
 
-def across_blocks(docs: DataFrame, grouped: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def across_blocks(docs: DataFrame, grouped: DataFrame, links: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
     """Links between blocks of large groups that do not follow from those found."""
     classes = components(links)
     large = grouped.where("blocks > 1").join(classes.withColumnRenamed("node", "doc").withColumnRenamed("component", "class"), "doc", "left")
     large = large.select("doc", "component", "blocks", F.coalesce("class", "doc").alias("label"))
     counted = large.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counted.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    main = counted.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"),
+        F.ceil((F.sum("n") - F.max("n")) / block).cast("long").alias("parts"))
     open_ = stored(large.join(main.where("labels > 1"), "component").select(
-        "doc", "component", "blocks", "label", (F.col("label") != F.col("main")).alias("query")), "open")
+        "doc", "component", "blocks", "label", (F.col("label") != F.col("main")).alias("query"), "parts"), "open")
     if not open_.limit(1).count():
         return links.limit(0)
     return stored(forest(searched(in_blocks(docs, open_, words), num, den)), "across")

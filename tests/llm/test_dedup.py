@@ -203,6 +203,22 @@ def test_classes_against_brute_force(table, odd_texts, words, num, block):
     check_classes(id_text(table(texts)), list(enumerate(texts)), words, num, 100, block)
 
 
+def test_no_place_receives_all_open_documents(table, monkeypatch):
+    """A ring of texts that share two thirds with their neighbours: one candidate group without a large class."""
+    draw, places, search = random.Random(8), [], jaccard.searched
+
+    def counted(sets, num, den):
+        places.extend(r["count"] for r in sets.groupBy("place").count().collect())
+        return search(sets, num, den)
+
+    monkeypatch.setattr(jaccard, "searched", counted)
+    parts = [" ".join(f"w{draw.randint(0, 10**6)}" for _ in range(40)) for _ in range(60)]
+    texts = [" ".join(parts[(i + k) % 60] for k in range(3)) for i in range(60)]
+    texts += [t + " more" for t in texts[::20]]
+    check_classes(id_text(table(texts)), list(enumerate(texts)), 3, 80, 100, block=6)
+    assert max(places) <= 30
+
+
 def test_classes_on_the_smallest_documents(spark):
     docs = id_text(documents(spark, SMALL))
     check_classes(docs, [(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100)
