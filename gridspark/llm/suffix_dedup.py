@@ -303,7 +303,7 @@ def candidate_repeats(docs: DataFrame, candidates: DataFrame, length: int, gram:
     """Packed spans of repeats among the candidates.
 
     The contexts of candidates are dealt by fingerprint, so that equal strings meet; a task then sorts
-    the suffixes of its contexts. Inside a batch, strings that the batch repeats are settled and leave.
+    the suffixes of its contexts. All contexts of one anchor meet in one task, however many they are.
     """
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
