@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, jaccard, langid, media, packing, periodic, suffix_dedup, token_cache, toxicity
+from . import alignment, bpe, chat, decontaminate, exact_dedup, jaccard, langid, media, packing, periodic, suffix_dedup, token_cache, toxicity
 
 QUERIES = {
     "op1_chat_tools": chat.op1_chat_tools,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_packing": packing.op9_packing,
     "op10_token_counts": token_cache.op10_token_counts,
+    "op11_alignment": alignment.op11_alignment,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_decontaminate": decontaminate.op13_decontaminate,
 }
