@@ -40,15 +40,18 @@ def exact_percentiles(
     source = source.withColumn("_bin", order_bin(F.col("_v"), per_octave))
     hist = source.groupBy(*keys, "_bin").agg(
         F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.sum("_v").alias("_sum"), F.sum(F.col("_v") * F.col("_v")).alias("_square"),
+        F.avg("_v").alias("_avg"), F.var_pop("_v").alias("_var"),
     )
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumns({
         "_end": F.sum("_m").over(upto), "_total": F.sum("_m").over(whole),
-        "_lo": F.min("_lo").over(whole), "_hi": F.max("_hi").over(whole), "_sum": F.sum("_sum").over(whole),
-        "_square": F.sum("_square").over(whole),
+        "_lo": F.min("_lo").over(whole), "_hi": F.max("_hi").over(whole),
     })
+    # Moments of the bins are combined around the group's own mean, so values far from 0 keep their spread.
+    hist = hist.withColumn("_mean", F.col("_lo") + F.sum(F.col("_m") * (F.col("_avg") - F.col("_lo"))).over(whole) / F.col("_total"))
+    gap = F.col("_avg") - F.col("_mean")
+    hist = hist.withColumn("_spread", F.sum(F.col("_m") * (F.col("_var") + gap * gap)).over(whole))
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"), F.lit(part).alias("part"),
@@ -63,7 +66,7 @@ def exact_percentiles(
         .withColumn("_before", F.col("_end") - F.col("_m"))
     )
     # One row per needed bin: the ranks wanted there, two per percentile at most.
-    whole_group = ["_total", "_lo", "_hi", "_sum", "_square"]
+    whole_group = ["_total", "_lo", "_hi", "_mean", "_spread"]
     bins_needed = materialise(hits.groupBy(*keys, "_bin").agg(
         F.first("_before").alias("_before"), F.collect_list("_w").alias("_ws"),
         *[F.first(c).alias(c) for c in whole_group],
@@ -97,7 +100,6 @@ def exact_percentiles(
     if stats:
         out += [
             F.col("_total").alias("n"), F.col("_lo").alias("min"),
-            (F.col("_sum") / F.col("_total")).alias("mean"), F.col("_hi").alias("max"),
-            F.sqrt(F.greatest(F.lit(0.0), F.col("_square") / F.col("_total") - F.pow(F.col("_sum") / F.col("_total"), 2))).alias("std"),
+            F.col("_mean").alias("mean"), F.col("_hi").alias("max"), F.sqrt(F.col("_spread") / F.col("_total")).alias("std"),
         ]
     return wide.select(*groups, *out)

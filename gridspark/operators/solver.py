@@ -110,12 +110,14 @@ def _branches(grid: np.ndarray, mask: np.ndarray, cell: int) -> list[np.ndarray]
     return out
 
 
-def search(states: np.ndarray, steps: int, first_only: bool):
+def search(states: np.ndarray, steps: int, enough: int | None):
     """Follow each state for at most ``steps`` steps; yields (row, solved grid or open state, done).
 
-    The result of a state depends on that state alone, so it is the same in any batch.
+    A state that gave ``enough`` solutions is left alone; None asks for all. The result of a state depends on
+    that state alone, so it is the same in any batch.
     """
     stacks: dict[int, list[np.ndarray]] = {i: [s] for i, s in enumerate(states)}
+    given: dict[int, int] = {}
     for _ in range(steps):
         if not stacks:
             return
@@ -126,7 +128,8 @@ def search(states: np.ndarray, steps: int, first_only: bool):
             if not dead[k]:
                 if cells[k] < 0:
                     yield owner, grids[k], True
-                    if first_only:
+                    given[owner] = given.get(owner, 0) + 1
+                    if given[owner] == enough:
                         stacks[owner] = []
                 else:
                     stacks[owner] += _branches(grids[k], masks[k], cells[k])
@@ -137,13 +140,13 @@ def search(states: np.ndarray, steps: int, first_only: bool):
             yield owner, state, False
 
 
-def _advance(steps: int, first_only: bool, chunk: int = 4096):
+def _advance(steps: int, enough: int | None, chunk: int = 4096):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), chunk):
                 part = batch.iloc[at : at + chunk]
                 keys = part["grid"].to_numpy()
-                moves = search(to_array(part["state"]), steps, first_only)
+                moves = search(to_array(part["state"]), steps, enough)
                 while found := list(itertools.islice(moves, BLOCK)):
                     yield pd.DataFrame({
                         "grid": keys[[f[0] for f in found]],
@@ -161,9 +164,12 @@ TIMED_OUT = "The search ran out of its budget."
 
 # --- Spark operators --------------------------------------------------------
 
-def _rounds(start: DataFrame, first_only: bool, steps: int, max_rounds: int | None,
+def _rounds(start: DataFrame, enough: int | None, steps: int, max_rounds: int | None,
             max_states: int | None):
-    """Run the frontier; returns (found, open) where open holds what the budget left over."""
+    """Run the frontier; returns (found, open) where open holds what the budget left over.
+
+    A grid leaves once ``enough`` solutions of it are known; branches never overlap, so each is another one.
+    """
     frontier = start
     found: DataFrame | None = None
     number = 0
@@ -171,13 +177,14 @@ def _rounds(start: DataFrame, first_only: bool, steps: int, max_rounds: int | No
     while max_rounds is None or number < max_rounds:
         number += 1
         moved = materialise(
-            frontier.mapInPandas(_advance(steps, first_only), "grid string, state string, done boolean")
+            frontier.mapInPandas(_advance(steps, enough), "grid string, state string, done boolean")
         )
         hits = moved.filter("done").select("grid", "state")
         found = hits if found is None else found.unionByName(hits)
         frontier = moved.filter("NOT done").select("grid", "state")
-        if first_only:
-            frontier = frontier.join(hits.select("grid").distinct(), "grid", "left_anti")
+        if enough is not None:
+            known = found.groupBy("grid").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
+            frontier = frontier.join(known.select("grid"), "grid", "left_anti")
         if max_states is not None:
             big = frontier.groupBy("grid").count().filter(F.col("count") > max_states).select("grid")
             over = materialise(frontier.join(big, "grid", "left_semi").select("grid").distinct())
@@ -208,7 +215,7 @@ def solve_grids(
     ``solution`` is NULL where none was found.
     """
     found, left = _rounds(
-        grids.select("grid", F.col("grid").alias("state")), True, steps, max_rounds, max_states
+        grids.select("grid", F.col("grid").alias("state")), 1, steps, max_rounds, max_states
     )
     answers = found.groupBy("grid").agg(F.min("state").alias("solution"))
     open_grids = left.select("grid", F.lit(True).alias("_open"))
@@ -261,7 +268,7 @@ def solution_count(
     """(key, solutions, is_unique, complete): all solutions counted unless a budget ran out."""
     grids = materialise(distinct_grids(puzzles_df, grid))
     found, left = _rounds(
-        grids.select("grid", F.col("grid").alias("state")), False, steps, max_rounds, max_states
+        grids.select("grid", F.col("grid").alias("state")), None, steps, max_rounds, max_states
     )
     # Branches never overlap, so every solution arrives exactly once.
     counts = found.groupBy("grid").agg(F.count("*").alias("_n"))
@@ -278,6 +285,41 @@ def solution_count(
     return _back_to_puzzles(puzzles_df, key, grid, verdict)
 
 
+def unique_solution(
+    puzzles_df: DataFrame,
+    key: str = "puzzle_id",
+    grid: str = "clues",
+    steps: int = 64,
+    max_rounds: int | None = None,
+    max_states: int | None = None,
+) -> DataFrame:
+    """(key, is_unique, least, greatest, complete): uniqueness by two witnesses instead of a count.
+
+    Every grid is searched until two solutions are known or none is left to look for; ``least`` and
+    ``greatest`` are the smaller and the larger of those found, and the puzzle is well formed exactly if they
+    are equal. An empty grid ends as soon as it has two. ``complete`` is false only where a budget ended
+    the search before it could tell; ``is_unique`` is then NULL. Unsolvable grids have no witnesses.
+    """
+    grids = materialise(distinct_grids(puzzles_df, grid))
+    found, left = _rounds(
+        grids.select("grid", F.col("grid").alias("state")), 2, steps, max_rounds, max_states
+    )
+    # A round may find more than two; the witnesses are those of all that it found, the same on every run.
+    seen = found.groupBy("grid").agg(F.min("state").alias("least"), F.max("state").alias("greatest"))
+    unfinished = left.select("grid", F.lit(True).alias("_open"))
+    two = F.coalesce(F.col("least") < F.col("greatest"), F.lit(False))
+    complete = F.col("_open").isNull() | two
+    verdict = (
+        grids.join(seen, "grid", "left").join(unfinished, "grid", "left")
+        .select(
+            "grid", F.when(complete, F.col("least").isNotNull() & ~two).alias("is_unique"),
+            F.coalesce("least", F.lit("")).alias("least"), F.coalesce("greatest", F.lit("")).alias("greatest"),
+            complete.alias("complete"),
+        )
+    )
+    return _back_to_puzzles(puzzles_df, key, grid, verdict)
+
+
 def with_candidates(puzzles_df: DataFrame, grid: str = "clues") -> DataFrame:
     """Add ``masks``: 81 nine-bit candidate sets, zero for filled cells. No shuffle and no Python."""
     bits = F.transform(F.col(grid), lambda d: F.when(d > 0, F.call_function("shiftleft", F.lit(1), d.cast("int") - 1)).otherwise(0))

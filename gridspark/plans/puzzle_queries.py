@@ -186,6 +186,25 @@ def solution_count(spark, sf):
     return S.solution_count(I.grids(spark, sf, modulus=4))
 
 
+# Blanks whose number of solutions is known without a search: one in each row (one solution), two digits removed
+# or nothing left (exchange of digits gives another solution), one clue spoiled in its row (none).
+UNIQUE = """CASE puzzle_id % 5 WHEN 0 THEN idx % 9 = (puzzle_id + idx div 9) % 9 WHEN 1 THEN sol <= 2 WHEN 2 THEN true
+     WHEN 3 THEN idx = 80 ELSE sol = 9 OR (sol = 8 AND idx > 26) END"""
+
+
+@query("unique_solution", "U6", """
+SELECT o_orderkey AS puzzle_id, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 4 THEN true ELSE false END AS is_unique,
+  CASE o_orderkey % 5 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS witnesses, true AS complete FROM orders""")
+def unique_solution(spark, sf):
+    """Uniqueness of puzzles with one, several and no solutions, empty grids among them."""
+    blank = F.expr(
+        "transform(sol, (sol, idx) -> CASE WHEN " + UNIQUE + " THEN 0 WHEN puzzle_id % 5 = 3 AND idx = 79 THEN sol % 9 + 1 ELSE sol END)")
+    grids = I.grids(spark, sf).select("puzzle_id", blank.alias("clues"))
+    found = S.unique_solution(grids)
+    count = F.when(F.col("least") == "", 0).when(F.col("least") == F.col("greatest"), 1).otherwise(2)
+    return longs(found.select("puzzle_id", "is_unique", count.alias("witnesses"), "complete"), "witnesses")
+
+
 # --- grid predicates and labels ---------------------------------------------
 
 CLUES = CELLS[:-1] + ", fx_clues AS (SELECT image_id AS puzzle_id, count(*) FILTER (clue <> 0) AS clues FROM fx_cells GROUP BY 1)\n"

@@ -209,3 +209,15 @@ def test_augmentation_repeats_itself(spark):
     assert all(rows[i, "clean"] == [100.0 + j for j in range(16)] for i in range(60))
     assert all(min(rows[i, "augmented"]) == 0.0 and max(rows[i, "augmented"]) == 255.0 for i in range(60))
     assert len({tuple(rows[i, "augmented"]) for i in range(60)}) > 10
+
+
+def test_spread_of_values_far_from_zero(spark):
+    """Deviation equals stddev_pop whatever the offset."""
+    from gridspark.operators.quantiles import exact_percentiles
+
+    values = spark.range(1_000).selectExpr("id % 3 AS g", "1e9D + id % 2 AS v").unionByName(
+        spark.range(500).selectExpr("9L AS g", "-7e11D + id * 0.5D AS v")).unionByName(spark.sql("SELECT 8L AS g, 5D AS v"))
+    got = exact_percentiles(values, ["g"], F.col("v"), {"p50": 0.5}, stats=True)
+    want = values.groupBy("g").agg(F.stddev_pop("v").alias("want"), F.avg("v").alias("middle"))
+    for row in got.join(want, "g").collect():
+        assert abs(row["std"] - row["want"]) < 1e-6 and abs(row["mean"] - row["middle"]) <= 1e-12 * abs(row["middle"])

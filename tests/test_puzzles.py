@@ -181,3 +181,24 @@ def test_candidates_equal_the_array_search(puzzle_rows):
     for row in S.with_candidates(rows).collect():
         text = "".join(map(str, row["clues"]))
         assert row["masks"] == S.candidate_masks(S.to_array([text]))[0][0].tolist()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_two_witnesses_equal_the_count(puzzle_rows, seed):
+    """Unique exactly if one solution exists; also for grids whose solutions nobody could enumerate."""
+    rng = random.Random(seed)
+    texts = ["0" * 81, SAMPLE, "5" * 81, SAMPLE[:8] + "0" * 73]
+    for blanks in (40, 48, 52, 56):
+        cells = list(SOLVED)
+        for i in rng.sample(range(81), blanks):
+            cells[i] = "0"
+        texts.append("".join(cells))
+    got = S.unique_solution(puzzle_rows(texts), steps=4).orderBy("puzzle_id").collect()
+    for text, row in zip(texts, got):
+        n = brute_count(text, 2) if S.candidate_masks(S.to_array([text]))[1][0] else 0
+        assert (row["is_unique"], row["complete"]) == (n == 1, True)
+        assert (row["least"] == row["greatest"], row["least"] == "") == (n < 2, n == 0)
+        for answer in (row["least"], row["greatest"]):
+            assert n == 0 or all(c in ("0", a) for c, a in zip(text, answer)) and "0" not in answer
+    tight = {r["puzzle_id"]: r for r in S.unique_solution(puzzle_rows([HARD, SAMPLE]), steps=1, max_rounds=1).collect()}
+    assert tight[0]["is_unique"] is None and not tight[0]["complete"]
