@@ -8,6 +8,7 @@ from gridspark.functions import cells as C
 from gridspark.functions import puzzles as P
 from gridspark.functions import vectors as V
 from gridspark.functions.register import register_functions
+from gridspark.operators import pipeline as PL
 from gridspark.operators import quads as Q
 from gridspark.operators import recognizers as R
 from gridspark.operators import samples as M
@@ -298,7 +299,7 @@ def grid_search(spark, sf):
     return rounded(R.grid_search(train, test, "vec", "label", configs), "accuracy", "loss", digits=4)
 
 
-@query("read_and_solve", "F5 U5")
+@query("read_and_solve", "U5")
 def read_and_solve(spark, sf):
     """Quad choice, reading, validation and solving of every image, as counts per outcome."""
     boxes = Q.best_per_group(
@@ -314,6 +315,60 @@ def read_and_solve(spark, sf):
     return outcome.select(kind.alias("kind")).unionByName(lost).groupBy("kind").agg(F.count("*").alias("images"))
 
 
+
+# Images are drawn with vectors that lie nearest to the mean of a digit's class, each digit with FONT of them in turn.
+# Every seventh image has two equal digits in its first row; of some only the first twenty cells are drawn.
+FONT = 50
+FLOW = """WITH fx_quads AS (SELECT l_orderkey AS image_id, (20 + CAST(l_quantity AS BIGINT)*8) * (20 + (l_partkey*7) % 360) AS area FROM lineitem),
+found AS (SELECT DISTINCT image_id FROM fx_quads WHERE area >= {area} * 0.01::DOUBLE AND area <= {area} * 0.99::DOUBLE),
+""" .format(area=I.WIDTH * I.HEIGHT) + I.cte(I.IDX81, I.CELLS).removeprefix("WITH ")[:-1] + """,
+drawn AS (SELECT image_id, count(*) FILTER (clue <> 0 AND (image_id % 11 <> 5 OR idx < 20)) AS clues, string_agg(sol::VARCHAR, '' ORDER BY idx) AS solution
+  FROM fx_cells GROUP BY 1),
+fate AS (SELECT image_id, solution, f.image_id IS NULL AS lost, image_id % 7 = 0 AS invalid, clues < 17 AS sparse FROM drawn LEFT JOIN found f USING (image_id))
+"""
+
+
+def _flow(spark, sf):
+    samples = I.vectors(spark, sf)
+    means = R.centroids(samples, "vec", "label")
+    R.register_recognizer("glyphs", lambda: R.centroid_predictor(means, 0.0))
+    read = R.recognize(samples, "vec", "glyphs", empty_threshold=None)
+    font = Q.top_n_per_group(read, "digit", [F.col("vec_id")], FONT).groupBy("digit").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    fonts = font.agg(F.map_from_entries(F.collect_list(F.struct("digit", "ids"))).alias("font"))
+    shown = F.expr("transform(clues, (d, i) -> CASE WHEN image_id % 11 = 5 AND i >= 20 THEN 0 ELSE d END)")
+    grids = I.grids(spark, sf, bad=True).select(F.col("puzzle_id").alias("image_id"), "clues").select("image_id", shown.alias("clues"))
+    glyph = F.expr("transform(clues, (d, i) -> CASE WHEN d > 0 THEN font[d][CAST(pmod(image_id * 31 + i, size(font[d])) AS INT)] END)")
+    drawn = grids.join(F.broadcast(fonts)).select("image_id", glyph.alias("glyphs"))  # one row of nine times FONT ids
+    images = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"))
+    return PL.run_pipeline(images, [
+        PL.locate(I.quads(spark, sf), I.WIDTH, I.HEIGHT), PL.cells_of(drawn), PL.recognise(samples, "vec_id", "vec", "glyphs"),
+        PL.validate(), PL.solve(),
+    ], "image_id")
+
+
+@query("run_pipeline", "F5", FLOW + """
+SELECT image_id, CASE WHEN lost THEN 'locate' WHEN invalid OR sparse THEN 'validate' END AS stage,
+  CASE WHEN lost THEN 'No grid was found' WHEN invalid THEN 'Invalid puzzle' WHEN sparse THEN 'At least 17 clues are needed' END AS reason,
+  CASE WHEN NOT lost AND NOT invalid AND NOT sparse THEN solution END AS solution FROM fate""")
+def run_pipeline(spark, sf):
+    """Locate, cells, recognise, validate, solve: where every image ends, and the solutions."""
+    run = _flow(spark, sf)
+    ends = run.outcomes("image_id").withColumn("reason", F.substring_index("reason", ":", 1))
+    return ends.join(run.kept.select("image_id", "solution"), "image_id", "left")
+
+
+@query("pipeline_accounts", "F5", FLOW + """
+SELECT stage, rows_in, rows_in - gone AS rows_out, gone AS refused FROM (
+  SELECT 'locate' AS stage, count(*) AS rows_in, count(*) FILTER (lost) AS gone FROM fate
+  UNION ALL SELECT 'cells', count(*) FILTER (NOT lost), 0 FROM fate
+  UNION ALL SELECT 'recognise', count(*) FILTER (NOT lost), 0 FROM fate
+  UNION ALL SELECT 'validate', count(*) FILTER (NOT lost), count(*) FILTER (NOT lost AND (invalid OR sparse)) FROM fate
+  UNION ALL SELECT 'solve', count(*) FILTER (NOT lost AND NOT invalid AND NOT sparse), 0 FROM fate)""")
+def pipeline_accounts(spark, sf):
+    """Rows into, out of and put aside by every stage."""
+    return _flow(spark, sf).accounts.drop("number")
+
+
 @query("sql_functions", "F3", """
 SELECT o_orderkey, CASE WHEN n >= 36 THEN 'Easy' WHEN n >= 28 THEN 'Medium' WHEN n >= 22 THEN 'Hard' ELSE 'Expert' END AS difficulty,
   CASE WHEN a = 0 THEN 'none' WHEN n/100.0 >= 0.8 THEN 'high' WHEN n/100.0 >= 0.5 THEN 'medium' ELSE 'low' END AS band,
