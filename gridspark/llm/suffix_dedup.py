@@ -7,16 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.operators.ordered import global_rank
+
 from .common import documents, free_shuffles, id_text, stored, tuned
 from .jaccard import BASE, INVERSE, U, mix
+from .words import text_bytes
 
 LENGTH = 100  # bytes of a string that counts as repeated
 GRAM = 48  # bytes of an anchor; every string of LENGTH bytes holds one
 BUCKET_ANCHORS = 300_000  # anchors that one task compares
-BUCKET_BYTES = 1_500_000  # bytes that one task sorts the suffixes of
+BUCKET_BYTES = 750_000  # bytes that one task sorts the suffixes of
+CHUNK_BYTES = 1 << 18  # bytes whose anchors are looked for at once
+PART_BYTES = 4 << 20  # bytes whose anchors are settled before they leave the task
 SPAN_BYTES = 32 << 20  # bytes of text whose removed spans one task merges
 CROWD = 8  # different contexts of one anchor in a batch from which the batch settles them as candidates itself
 
@@ -169,16 +175,16 @@ class Anchors:
         return text, chosen - begin, low - begin, high - begin, grams[chosen], context
 
 
-def chunks(raw: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` bytes; a longer text is a range of its own."""
+def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes; a longer text is a range of its own."""
     start = total = 0
-    for i, data in enumerate(raw):
-        if total and total + len(data) > size:
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             yield start, i
             start, total = i, 0
-        total += len(data)
-    if start < len(raw):
-        yield start, len(raw)
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 PACKED = "bucket long, doc binary, lo binary, hi binary, left binary, q binary, z binary"
@@ -233,31 +239,38 @@ def settle(doc, lo, hi, left, q, z, crowd: int | None):
 def anchor_table(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets: int) -> DataFrame:
     """Packed rows by bucket of documents: repeats (``q`` empty) and candidates.
 
-    Each batch settles its own anchors first, so however often a passage occurs, a batch sends a few
+    Each part of PART_BYTES settles its own anchors first, so however often a passage occurs, a part sends a few
     anchors for it and no task receives more than that from each.
     """
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
         for batch in batches:
-            raw = [t.encode() for t in batch["text"]]
-            ids, parts = batch["doc_id"].to_numpy(np.int64), []
-            for a, b in chunks(raw):
-                text, at, lo, hi, q, z = anchors.of(raw[a:b])
-                parts.append((ids[a:b][text], lo, hi, at - lo, q, z))
-            if not parts:
-                continue
-            doc, lo, hi, left, q, z = map(np.concatenate, zip(*parts))
-            repeat, candidate, open_ = settle(doc, lo, hi, left, q, z, CROWD)
-            # Rows for documents have negative buckets and pass the comparison untouched.
-            home = -1 - spread(doc, doc_buckets)
-            yield packed(home[repeat], doc=doc[repeat], lo=lo[repeat], hi=hi[repeat])
-            own = candidate
-            yield packed(home[own], doc=doc[own], lo=lo[own], hi=hi[own], left=left[own], q=q[own])
-            own = open_
-            yield packed((q[own] % U(buckets)).astype(np.int64), doc=doc[own], lo=lo[own], hi=hi[own], left=left[own], q=q[own], z=z[own])
-            # A crowded fingerprint is one that others meet as well: a second context says so.
-            own = open_ & candidate
-            yield packed((q[own] % U(buckets)).astype(np.int64), doc=doc[own], lo=lo[own], hi=hi[own], left=left[own], q=q[own], z=~z[own])
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1)
+            _, at = text_bytes(texts)
+            for a, b in chunks(np.diff(at).tolist(), PART_BYTES):
+                raw = [t.as_buffer().to_pybytes() for t in texts[a:b]]
+                found = [pack for pack in settled(ids[a:b], raw, anchors) if len(pack)]
+                del raw
+                for pack in found:
+                    yield pa.RecordBatch.from_pandas(pack, preserve_index=False)
+
+    def settled(ids: np.ndarray, raw: list[bytes], anchors: Anchors) -> Iterator[pd.DataFrame]:
+        parts = []
+        for a, b in chunks([len(r) for r in raw], CHUNK_BYTES):
+            text, at, lo, hi, q, z = anchors.of(raw[a:b])
+            parts.append((ids[a:b][text], lo.astype("<u4"), hi.astype("<u4"), (at - lo).astype("<u1"), q, z))
+        doc, lo, hi, left, q, z = map(np.concatenate, zip(*parts))
+        repeat, candidate, open_ = settle(doc, lo, hi, left, q, z, CROWD)
+        # Rows for documents have negative buckets and pass the comparison untouched.
+        home = -1 - spread(doc, doc_buckets)
+        yield packed(home[repeat], doc=doc[repeat], lo=lo[repeat], hi=hi[repeat])
+        own = candidate
+        yield packed(home[own], doc=doc[own], lo=lo[own], hi=hi[own], left=left[own], q=q[own])
+        own = open_
+        yield packed((q[own] % U(buckets)).astype(np.int64), doc=doc[own], lo=lo[own], hi=hi[own], left=left[own], q=q[own], z=z[own])
+        # A crowded fingerprint is one that others meet as well: a second context says so.
+        own = open_ & candidate
+        yield packed((q[own] % U(buckets)).astype(np.int64), doc=doc[own], lo=lo[own], hi=hi[own], left=left[own], q=q[own], z=~z[own])
 
     def compare(own: pd.DataFrame) -> pd.DataFrame:
         if own["bucket"].iloc[0] < 0:
@@ -268,7 +281,7 @@ def anchor_table(docs: DataFrame, length: int, gram: int, buckets: int, doc_buck
         pick = lambda mask, *names: packed(home[mask], **{n: v[n][mask] for n in names})
         return pd.concat([pick(repeat, "doc", "lo", "hi"), pick(candidate, "doc", "lo", "hi", "left", "q")])
 
-    return docs.select("doc_id", "text").mapInPandas(find, PACKED).groupBy("bucket").applyInPandas(compare, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(find, PACKED).groupBy("bucket").applyInPandas(compare, PACKED)
 
 
 def per_document(rows: DataFrame, merge: bool) -> DataFrame:
@@ -351,7 +364,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """key (the document), lo and hi: packed bounds of the byte spans that earlier strings cover.
 
     ``docs`` has doc_id (whole numbers) and text without nulls; rows without an id are left out. Rows with one id
-    have to have one text, and count as one document. Works in three steps, each a shuffle of packed rows:
+    have one text (see ``keyed``) and count as one document. Works in three steps, each a shuffle of packed rows:
 
     1. Anchors: about one byte in 25, chosen by content, each with a digest of its context. Equal contexts
        keep their first; whatever occurs once at its anchor is left aside.
@@ -377,10 +390,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``__key__``, equal exactly for rows of one id and one text, in the order of the ids.
+
+    It is the id itself. Only if some id has different texts, every pair of id and text (named by SHA-256) gets
+    its rank among all pairs, from a range sort. Null ids have no key.
+    """
+    named = docs.withColumn("__key__", F.col("doc_id").cast("long"))
+    mark = F.struct(F.xxhash64("text"), F.octet_length("text"))
+    several = named.where("__key__ is not null").groupBy("__key__").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b")
+    if several.isEmpty():
+        return named
+    named = named.withColumn("__content__", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    pairs = named.where("__key__ is not null").select(F.col("__key__").alias("__own__"), F.col("__content__").alias("__other__")).distinct()
+    ranks = stored(global_rank(pairs, ["__own__", "__other__"], "__rank__"), "pairs")
+    same = (F.col("__key__") == F.col("__own__")) & (F.col("__content__") == F.col("__other__"))
+    return named.join(ranks, same, "left").select(*docs.columns, F.col("__rank__").cast("long").alias("__key__"))
+
+
+def with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Every row of ``docs`` with a struct column ``__spans__`` (lo, hi), null where nothing goes."""
-    own = spans.select(F.col("key").alias("__spans_of__"), F.struct("lo", "hi").alias("__spans__"))
-    return docs.join(own.hint("shuffle_hash"), docs["doc_id"] == own["__spans_of__"], "left").drop("__spans_of__")
+    named = keyed(docs)
+    texts = named.select(F.col("__key__").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = repeated_spans(texts, length, gram).select(F.col("key").alias("__spans_of__"), F.struct("lo", "hi").alias("__spans__"))
+    return named.join(own.hint("shuffle_hash"), F.col("__key__") == F.col("__spans_of__"), "left").drop("__spans_of__", "__key__")
 
 
 def kept_parts(data: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -402,7 +435,8 @@ def whole_letters(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarr
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc_id, text, any others) with each text less its repeated spans, drawn in to whole letters.
 
-    A null text stays null; a text that consists of repeats becomes empty and its row stays.
+    A null text stays null; a text that consists of repeats becomes empty and its row stays. Of rows with one id and
+    different texts, the order of their digests says which is the earlier one.
     """
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.DataFrame) -> pd.Series:
@@ -414,8 +448,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             out.append(own)
         return pd.Series(out, dtype=object)
 
-    spans = repeated_spans(id_text(docs), length, gram)
-    return with_spans(docs, spans).withColumn("text", cut("text", "__spans__")).select(*docs.columns)
+    return with_spans(docs, length, gram).withColumn("text", cut("text", "__spans__")).select(*docs.columns)
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -433,8 +466,8 @@ def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = with_spans(docs.select("doc_id", "text"), repeated_spans(docs, length, gram))
-    return spans.select("doc_id", "text", "__spans__.lo", "__spans__.hi").mapInPandas(
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return with_spans(texts, length, gram).select("doc_id", "text", "__spans__.lo", "__spans__.hi").mapInPandas(
         work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

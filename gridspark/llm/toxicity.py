@@ -149,10 +149,10 @@ def char_counts(docs: DataFrame) -> dict[int, int]:
 
 
 class Reader:
-    """Texts to distinct restored words; remembers tokens it has seen."""
+    """Texts to distinct restored words; remembers up to ``cached`` tokens it has seen."""
 
-    def __init__(self, model: CharModel):
-        self.model, self.known = model, {}
+    def __init__(self, model: CharModel, cached: int = CACHE_TOKENS):
+        self.model, self.known, self.cached = model, {}, cached
 
     def words(self, token: str) -> tuple[str, ...]:
         """Plain words of a token; if it looks disguised, those of its restored form as well."""
@@ -163,9 +163,11 @@ class Reader:
             if SUSPECT.search(token):
                 read = restore(token.strip(EDGE).rstrip("!"), self.model)
                 forms += [w for w in read.split(" ") if w and w != plain]
-            if len(self.known) >= CACHE_TOKENS:
-                self.known.clear()
-            found = self.known[token] = tuple(forms)
+            found = tuple(forms)
+            if self.cached:
+                if len(self.known) >= self.cached:
+                    self.known.clear()
+                self.known[token] = found
         return found
 
     def distinct(self, text: str) -> set[str]:
@@ -281,7 +283,8 @@ class Scorer:
     """Chance that a text is toxic, from a character model and fitted weights."""
 
     def __init__(self, trigrams: dict[int, int], model: dict):
-        self.reader, self.weights, self.bias = Reader(CharModel(trigrams)), model["weights"], model["bias"]
+        # What a token says is remembered here, so its words need not be.
+        self.reader, self.weights, self.bias = Reader(CharModel(trigrams), 0), model["weights"], model["bias"]
         self.known: dict[str, tuple[str, ...]] = {}
 
     def held(self, words) -> tuple[str, ...]:

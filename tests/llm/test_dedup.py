@@ -132,6 +132,20 @@ def test_passages_repeated_rows_nulls_and_whole_letters(table):
     assert rows[2].text.startswith("ü") and len(rows[2].text) <= 2
 
 
+def test_one_id_with_several_texts(table):
+    """Each text of a repeated id is a document of its own, in the order of digests; equal rows count as one."""
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("abcdefgh") for _ in range(150)) for _ in range(3)]
+    rows = [(5, texts[0]), (5, texts[1] + texts[0]), (5, texts[1] + texts[0]), (-3, texts[2]), (9, texts[2] + "tail"), (None, texts[0]), (5, "short")]
+    docs = table([t for _, t in rows], [i for i, _ in rows])
+    order = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest()))
+    masks = removed([((i, t), t) for i, t in order], 100)
+    left = lambda row: row[1] if row[0] is None else bytes(np.frombuffer(row[1].encode(), np.uint8)[~masks[row]]).decode()
+    assert sorted(r.text for r in suffix_dedup.without_repeats(docs).collect()) == sorted(map(left, rows))
+    report = suffix_dedup.removal_report(id_text(docs)).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in report) == sorted((len(t), len(t) - len(left((i, t)))) for i, t in rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=50), st.integers(1, 40))
 def test_ranks_follow_suffix_order(symbols, depth):

@@ -130,6 +130,18 @@ def test_stages_keep_columns_and_decide(spark, table, odd_texts):
         assert stage(spark, docs.limit(0), TABLES).count() == 0
 
 
+def test_one_id_with_two_texts_passes_all_stages(spark, table):
+    """A near copy under an id of two texts goes; the other text of that id stays, whole."""
+    long = " ".join(f"harmless{i}" for i in range(200))
+    rows = [(0, long), (1, long + " end"), (1, "short one"), (1, "another text"), (2, "short  one")]
+    docs = table([t for _, t in rows], [i for i, _ in rows])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), docs.schema)
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(0, long), (1, "another text"), (2, "short  one")]
+    pieces = corpus_pipeline.packing(spark, docs, SMALL).collect()
+    assert sorted(r.doc_id for r in pieces) == [0, 1, 2]
+
+
 def test_pipeline_against_its_stages(spark):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact_dedup", "near_dedup", "passage_dedup", "packing"]
