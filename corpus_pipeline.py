@@ -10,7 +10,7 @@ from gridspark.llm.common import id_text
 from gridspark.llm.exact_dedup import content_digest, dedup_table
 from gridspark.llm.jaccard import similar_classes
 from gridspark.llm.packing import pack_documents
-from gridspark.llm.suffix_dedup import without_repeats
+from gridspark.llm.suffix_dedup import keyed, without_repeats
 from gridspark.llm.toxicity import without_toxic
 from gridspark.session import configure, scratch
 
@@ -30,9 +30,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that share four fifths of their five-word shingles the first stays."""
-    classes = similar_classes(id_text(docs), words=5, num=80, den=100)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id__"))
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone_id__"), "left_anti")
+    named = keyed(docs)  # rows of one id and different texts are documents of their own
+    classes = similar_classes(id_text(named, "__key__"), words=5, num=80, den=100)
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone__"))
+    return named.join(gone.hint("shuffle_hash"), F.col("__key__") == F.col("__gone__"), "left_anti").select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
