@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +20,27 @@ BATCH = {
 }
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    for key, value in BATCH.items():
+SMALL_BATCH = BATCH | {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def tuned(spark: SparkSession, batch: dict = BATCH) -> SparkSession:
+    for key, value in batch.items():
         spark.conf.set(key, value)
     return spark
 
 
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for a task whose process stays for later tasks: what it used goes back to the system at its end."""
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, free_shuffles, id_text, stored, tuned
+from .common import SMALL_BATCH, documents, free_shuffles, id_text, lean, stored, tuned
 from .components import components, forest
 
 # Counters of shingle frequency, and the rows they travel in. The counters only order shingles: more of them keep
 # unrelated documents apart for longer as the input grows, none changes a result.
 COUNTERS, SLICES = 1 << 22, 64
+CHUNK_BYTES = 1 << 18  # bytes of texts that are hashed at once
 BLOCK_DOCS = 1024  # documents that one task searches together
 FEW_ROWS = 500_000  # ids that are sent to every task at most; more of them meet the texts in a shuffle
 HUBS = 16  # best linked documents of a large group that are compared with all of it
@@ -49,7 +50,7 @@ class Shingler:
 
     def powers(self, size: int) -> None:
         if len(self.up) < size:
-            size = max(size, 1 << 20)
+            size = max(size, CHUNK_BYTES)
             self.up = np.cumprod(np.r_[U(1), np.full(size - 1, BASE)])
             self.down = np.cumprod(np.r_[U(1), np.full(size - 1, INVERSE)])
 
@@ -58,7 +59,7 @@ class Shingler:
         raw = [t.encode() for t in texts]
         start = size = 0
         for i, data in enumerate(raw):
-            if size and size + len(data) > 1 << 20:
+            if size and size + len(data) > CHUNK_BYTES:
                 yield from self._sets(raw[start:i])
                 start, size = i, 0
             size += len(data) + 1
@@ -102,16 +103,14 @@ def needed(size, num: int, den: int):
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles and a 128-bit digest of the set; rows of frequency counters among them, with ``slice`` set."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, counts = Shingler(words), np.zeros(COUNTERS, np.int64)
+        shingler, counts = Shingler(words), np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            rows, places = [], []
+            rows = []
             for key, own in zip(batch["doc_id"], shingler.sets(batch["text"].tolist())):
-                places.append((own % U(COUNTERS)).astype(np.int32))
+                np.add.at(counts, (own % U(COUNTERS)).astype(np.int64), 1)
                 spread = mix(own ^ U(0x5851F42D4C957F2D))
                 second = np.bitwise_xor.reduce(mix(spread)) if len(own) else U(0)
                 rows.append((key, len(own), int(spread.sum(dtype=U).view(np.int64)), int(second.view(np.int64))))
-            if places:
-                counts += np.bincount(np.concatenate(places), minlength=COUNTERS)
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2"]).assign(slice=None, counts=None)
         for i, part in enumerate(counts.reshape(SLICES, -1)):
             if part.any():
@@ -119,7 +118,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                 yield pd.DataFrame([(None, 0, 0, 0, i, packed)], columns=["doc_id", "n_shingles", "d1", "d2", "slice", "counts"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        work, "doc_id long, n_shingles long, d1 long, d2 long, slice int, counts binary")
+        lean(work), "doc_id long, n_shingles long, d1 long, d2 long, slice int, counts binary")
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
@@ -179,8 +178,8 @@ def short_lists(docs: DataFrame, speakers: DataFrame, counters: np.ndarray, word
                 salt = mix(key[own] ^ mix(doc[first][run[own]].astype(U) + U(1)))
                 yield pd.DataFrame({"key": salt.view(np.int64), "lo": n[own], "hi": n[own], "doc": doc[own]})
 
-    wide = docs.select("doc_id", "text").mapInPandas(prefixes, "doc_id long, n long, rare binary")
-    return wide.join(speakers, "doc_id", "left_semi").mapInPandas(entries, "key long, lo long, hi long, doc long")
+    wide = docs.select("doc_id", "text").mapInPandas(lean(prefixes), "doc_id long, n long, rare binary")
+    return wide.join(speakers, "doc_id", "left_semi").mapInPandas(lean(entries), "key long, lo long, hi long, doc long")
 
 
 def candidate_links(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -317,7 +316,7 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
        documents, and last those outside the largest class found so far, are searched against every block, being dealt into
        blocks themselves. So no search holds more than about two blocks, and no pair of different classes is left out.
     """
-    spark = tuned(docs.sparkSession)
+    spark = tuned(docs.sparkSession, SMALL_BATCH)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = stored(fingerprints(docs, words), "fingerprints")
     plain = rows.where("slice is null").select("doc_id", "n_shingles", "d1", "d2")

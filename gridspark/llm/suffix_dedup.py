@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.ordered import global_rank
 
-from .common import documents, free_shuffles, id_text, stored, tuned
+from .common import SMALL_BATCH, documents, free_shuffles, id_text, lean, stored, tuned
 from .jaccard import BASE, INVERSE, U, mix
 from .words import text_bytes
 
 LENGTH = 100  # bytes of a string that counts as repeated
 GRAM = 48  # bytes of an anchor; every string of LENGTH bytes holds one
 BUCKET_ANCHORS = 300_000  # anchors that one task compares
-BUCKET_BYTES = 750_000  # bytes that one task sorts the suffixes of
+BUCKET_BYTES = 400_000  # bytes that one task sorts the suffixes of
 CHUNK_BYTES = 1 << 18  # bytes whose anchors are looked for at once
 PART_BYTES = 4 << 20  # bytes whose anchors are settled before they leave the task
 SPAN_BYTES = 32 << 20  # bytes of text whose removed spans one task merges
@@ -146,7 +146,7 @@ class Anchors:
 
     def powers(self, size: int) -> None:
         if len(self.up) < size:
-            size = max(size, 1 << 20)
+            size = max(size, CHUNK_BYTES)
             self.up = np.cumprod(np.r_[U(1), np.full(size - 1, BASE)])
             self.down = np.cumprod(np.r_[U(1), np.full(size - 1, INVERSE)])
 
@@ -281,7 +281,7 @@ def anchor_table(docs: DataFrame, length: int, gram: int, buckets: int, doc_buck
         pick = lambda mask, *names: packed(home[mask], **{n: v[n][mask] for n in names})
         return pd.concat([pick(repeat, "doc", "lo", "hi"), pick(candidate, "doc", "lo", "hi", "left", "q")])
 
-    return docs.select("doc_id", "text").mapInArrow(find, PACKED).groupBy("bucket").applyInPandas(compare, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(lean(find), PACKED).groupBy("bucket").applyInPandas(compare, PACKED)
 
 
 def per_document(rows: DataFrame, merge: bool) -> DataFrame:
@@ -357,7 +357,7 @@ def candidate_repeats(docs: DataFrame, candidates: DataFrame, length: int, gram:
 
     wanted = per_document(candidates, merge=False)
     texts = docs.select(F.col("doc_id").alias("key"), "text").join(wanted.hint("shuffle_hash"), "key")
-    return texts.mapInPandas(cut, "bucket long, key binary, lo binary, size binary, text binary").groupBy("bucket").applyInPandas(compare, PACKED)
+    return texts.mapInPandas(lean(cut), "bucket long, key binary, lo binary, size binary, text binary").groupBy("bucket").applyInPandas(compare, PACKED)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -372,7 +372,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
        their suffixes sorted with a difference cover; neighbours that share ``length`` bytes are repeats.
     3. Spans of one document are merged.
     """
-    spark = tuned(docs.sparkSession)
+    spark = tuned(docs.sparkSession, SMALL_BATCH)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     doc_buckets = max(1, total // SPAN_BYTES)
@@ -468,7 +468,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return with_spans(texts, length, gram).select("doc_id", "text", "__spans__.lo", "__spans__.hi").mapInPandas(
-        work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        lean(work), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold, stored, tuned
+from .common import documents, fold, lean, stored, tuned
 
 FOLDS, HELD_FOLD = 5, 0
 TRAIN_ROWS = 40_000  # labelled rows that the classifier is fitted on at most, chosen by a hash of the id
@@ -144,7 +144,7 @@ def char_counts(docs: DataFrame) -> dict[int, int]:
                 counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
         yield pd.DataFrame({"gram": keys.astype(np.int64), "n": counts})
 
-    rows = docs.select("text").mapInPandas(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInPandas(lean(work), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     return dict(zip(rows["gram"].tolist(), rows["n"].tolist()))
 
 
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: dict[int, int], rows: int
             yield pd.DataFrame({"feature": part, "t": [counts[1][f] for f in part], "c": [counts[0][f] for f in part]})
 
     counted = (
-        labelled(docs, labels, rows).mapInPandas(work, "feature string, t long, c long")
+        labelled(docs, labels, rows).mapInPandas(lean(work), "feature string, t long, c long")
         .groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= MIN_SUPPORT)
     )
     counted = stored(counted, "features")
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: dict[int, int], rows: int
             yield pd.DataFrame({"toxic": batch["toxic"], "own": own})
 
     # At most TRAIN_ROWS short rows.
-    rows_ = labelled(docs, labels, rows).mapInPandas(vectors, "toxic int, own array<int>").toPandas()
+    rows_ = labelled(docs, labels, rows).mapInPandas(lean(vectors), "toxic int, own array<int>").toPandas()
     weights, bias = regress(rows_["own"].tolist(), rows_["toxic"].to_numpy(np.float64), len(held))
     return {"weights": dict(zip(held, weights.tolist())), "bias": bias}
 
@@ -321,7 +321,7 @@ def score_texts(docs: DataFrame, trigrams: dict[int, int], model: dict) -> DataF
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [scorer.score(t) for t in batch["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInPandas(lean(work), f"doc_id {kind}, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -336,7 +336,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
