@@ -140,12 +140,12 @@ class WordBpe:
 class WordCache:
     """word -> what ``form`` makes of its ids; unknown words of a batch are encoded together."""
 
-    def __init__(self, bpe: WordBpe, form):
-        self.bpe, self.form, self.known = bpe, form, {}
+    def __init__(self, bpe: WordBpe, form, cached: int = CACHE_WORDS):
+        self.bpe, self.form, self.cached, self.known = bpe, form, cached, {}
 
     def learn(self, texts_words: list[list[str]]) -> dict:
         new = set().union(*texts_words).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > self.cached:
             self.known, new = {}, set().union(*texts_words)
         for token, i in self.bpe.special.items():
             if token in new:

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WORD_BPE, WordBpe, WordCache, tokenizer_path
-from .common import documents, id_text, stored
+from .common import SMALL_BATCH, documents, id_text, lean, lean_group, stored, tuned
+from .words import chunks
 
 CAPACITY, END_ID = 4096, 2
+CHUNK_CHARS = 1 << 20  # letters of texts whose words are held at once
+CACHED = 200_000  # words whose ids a task remembers before it starts afresh; no effect on results
 GROUP_TOKENS = 1 << 19  # tokens that are balanced together: 128 full windows
 
 
@@ -79,22 +82,24 @@ def token_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: i
     """
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = WordBpe(file)
-        cache = WordCache(bpe, lambda ids: ids.astype("<u4").tobytes())
+        cache = WordCache(bpe, lambda ids: ids.astype("<u4").tobytes(), CACHED)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            words = [bpe.words(text) for text in batch["text"]]
-            known = cache.learn(words)
-            rows = []
-            for key, own in zip(batch["doc_id"], words):
-                data = b"".join(map(known.__getitem__, own)) + end
-                for at in range(0, len(data), step):
-                    piece = data[at:at + step]
-                    rows.append((key, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for a, b in chunks([len(t) for t in texts], CHUNK_CHARS):
+                words = [bpe.words(text) for text in texts[a:b]]
+                known = cache.learn(words)
+                rows = []
+                for key, own in zip(ids[a:b], words):
+                    data = b"".join(map(known.__getitem__, own)) + end
+                    for at in range(0, len(data), step):
+                        piece = data[at:at + step]
+                        rows.append((key, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4))
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(
-        work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+        lean(work), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     )
 
 
@@ -102,11 +107,12 @@ def pack_documents(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id:
                    group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Assign every piece to a sequence of at most ``capacity`` tokens.
 
-    Full pieces are sequences of their own. Tails are dealt by a hash of document and start into
-    groups of about ``group_tokens`` tokens, whose number follows the input, and each group is
+    Full pieces are sequences of their own. Tails are dealt by a hash of document, start, ids and row, so that rows
+    without an id and repeated rows are spread like others, into groups of about ``group_tokens`` tokens, whose number follows the input, and each group is
     balanced by itself. A sequence never spans groups. Empty tables give empty results; repeated
     rows are packed as often as they come. Added columns: sequence_id, offset.
     """
+    tuned(docs.sparkSession, SMALL_BATCH)
     pieces = stored(token_pieces(docs, file, capacity, end_id), "pieces")
     tails = pieces.where(F.col("length") < capacity)
     total = tails.agg(F.sum("length")).first()[0] or 0
@@ -123,8 +129,8 @@ def pack_documents(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id:
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
     plain = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    dealt = tails.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    packed = dealt.groupBy("deal").applyInPandas(assign, f"{plain}, deal long, window long, offset long")
+    dealt = tails.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    packed = dealt.groupBy("deal").applyInPandas(lean_group(assign), f"{plain}, deal long, window long, offset long")
     # Sequence ids: even ones for packed windows, odd ones for full pieces, both from (group or
     # partition, number inside), so that no global numbering is needed.
     packed = packed.select(

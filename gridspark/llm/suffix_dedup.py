@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.ordered import global_rank
 
-from .common import SMALL_BATCH, documents, free_shuffles, id_text, lean, stored, tuned
+from .common import SMALL_BATCH, documents, free_shuffles, id_text, lean, lean_group, stored, tuned
 from .jaccard import BASE, INVERSE, U, mix
-from .words import text_bytes
+from .words import chunks, text_bytes
 
 LENGTH = 100  # bytes of a string that counts as repeated
 GRAM = 48  # bytes of an anchor; every string of LENGTH bytes holds one
@@ -31,7 +31,7 @@ CROWD = 8  # different contexts of one anchor in a batch from which the batch se
 
 def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the keys and the sorted keys. Small keys carry their place in one number, which sorts far faster."""
-    bits = len(keys).bit_length()
+    bits, keys = len(keys).bit_length(), keys.astype(np.int64, copy=False)
     if len(keys) and int(keys.max()) < 1 << (62 - bits):
         both = np.sort(keys << bits | np.arange(len(keys)))
         return both & ((1 << bits) - 1), both >> bits
@@ -65,35 +65,43 @@ def difference_cover_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     both know: symbol and rank (0 and 1), two symbols and rank (0 and 2), or rank (1 and 2).
     """
     n = len(symbols)
-    s = np.concatenate([symbols.astype(np.int64), np.zeros(3, np.int64)])
+    # Symbols, names and ranks have 32 bits, for there are fewer than 2**31 of them; keys of two have 64.
+    s = np.concatenate([symbols, np.zeros(3, symbols.dtype)]) if symbols.dtype == np.int64 else np.append(symbols, [0, 0, 0]).astype(np.int32)
     size = int(s.max()) + 1 if n else 1
     if size > n + 1:
-        s[:n] = names_of(s[:n])
+        s[:n] = names_of(s[:n].astype(np.int64))
         size = int(s.max()) + 1
+    s = s.astype(np.int32)
+    key = lambda high, base, low: high.astype(np.int64) * base + low
     # A key holds two numbers of at most n + 1 each, never three, so it fits 63 bits at any number of symbols:
     # pairs of symbols are named first, then pair and third symbol (or rank).
-    one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
+    one, two, zero = (np.arange(k, n, 3, dtype=np.int32) for k in (1, 2, 0))
     cover = np.concatenate([one, two])
-    names = names_of(names_of(s[cover] * size + s[cover + 1]) * size + s[cover + 2])
+    names = names_of(key(names_of(key(s[cover], size, s[cover + 1])), size, s[cover + 2])).astype(np.int32)
     if depth > 3 and len(names) and int(names.max()) < len(names):
         # Zeros part the two halves, so that no triple reads from one into the other.
         deeper = difference_cover_ranks(
-            np.concatenate([names[:len(one)], np.zeros(1, np.int64), names[len(one):]]), -(-depth // 3))
-        names = names_of(np.concatenate([deeper[:len(one)], deeper[len(one) + 1:]]))
-    rank = np.zeros(n + 3, np.int64)
+            np.concatenate([names[:len(one)], np.zeros(1, np.int32), names[len(one):]]), -(-depth // 3))
+        names = names_of(np.concatenate([deeper[:len(one)], deeper[len(one) + 1:]]).astype(np.int64)).astype(np.int32)
+        del deeper
+    rank = np.zeros(n + 3, np.int32)
     rank[cover] = names
     base = int(names.max(initial=0)) + 1
-    by_one = lambda i: s[i] * base + rank[i + 1]
+    by_one = lambda i: key(s[i], base, rank[i + 1])
     ends = np.concatenate([zero, two])
-    pair = np.empty(n, np.int64)
-    pair[ends] = names_of(s[ends] * size + s[ends + 1])  # of both residues together, so that they compare
-    by_two = lambda i: pair[i] * base + rank[i + 2]
-    zero_one, zero_two, one_one, two_two = by_one(zero), by_two(zero), by_one(one), by_two(two)
-    sorted_zero_one, sorted_cover = np.sort(zero_one), np.sort(names)
-    out = np.empty(n, np.int64)
-    out[zero] = smaller(zero_one, sorted_zero_one) + smaller(zero_one, np.sort(one_one)) + smaller(zero_two, np.sort(two_two))
-    out[one] = smaller(rank[one], sorted_cover) + smaller(one_one, sorted_zero_one)
-    out[two] = smaller(rank[two], sorted_cover) + smaller(two_two, np.sort(zero_two))
+    pair = np.empty(n, np.int32)
+    pair[ends] = names_of(key(s[ends], size, s[ends + 1]))  # of both residues together, so that they compare
+    del ends, cover
+    by_two = lambda i: key(pair[i], base, rank[i + 2])
+    sorted_cover = np.sort(names)
+    del names
+    out = np.empty(n, np.int32)
+    own, other = by_one(zero), np.sort(by_one(one))
+    out[zero] = smaller(own, np.sort(own)) + smaller(own, other)
+    out[one] = smaller(rank[one], sorted_cover) + smaller(by_one(one), np.sort(own))
+    own, other = by_two(zero), np.sort(by_two(two))
+    out[zero] += smaller(own, other)
+    out[two] = smaller(rank[two], sorted_cover) + smaller(by_two(two), np.sort(own))
     return out
 
 
@@ -114,7 +122,7 @@ def repeated_windows(text: np.ndarray, where: np.ndarray, place: np.ndarray, len
         j = min(len(at), i + (1 << 15))
         same[i:j] = (windows[at[i:j]] == windows[at[i - 1:j - 1]]).all(1)
     run = np.cumsum(~same) - 1
-    first = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+    first = np.full(run[-1] + 1, np.iinfo(place.dtype).max, place.dtype)
     np.minimum.at(first, run, place[order])
     out = np.empty(len(at), bool)
     out[order] = place[order] > first[run]
@@ -175,18 +183,6 @@ class Anchors:
         return text, chosen - begin, low - begin, high - begin, grams[chosen], context
 
 
-def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes; a longer text is a range of its own."""
-    start = total = 0
-    for i, size in enumerate(sizes):
-        if total and total + size > most:
-            yield start, i
-            start, total = i, 0
-        total += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 PACKED = "bucket long, doc binary, lo binary, hi binary, left binary, q binary, z binary"
 KINDS = {"doc": "<i8", "lo": "<u4", "hi": "<u4", "left": "<u1", "q": "<u8", "z": "<u8"}
 
@@ -281,7 +277,7 @@ def anchor_table(docs: DataFrame, length: int, gram: int, buckets: int, doc_buck
         pick = lambda mask, *names: packed(home[mask], **{n: v[n][mask] for n in names})
         return pd.concat([pick(repeat, "doc", "lo", "hi"), pick(candidate, "doc", "lo", "hi", "left", "q")])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(find), PACKED).groupBy("bucket").applyInPandas(compare, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(lean(find), PACKED).groupBy("bucket").applyInPandas(lean_group(compare), PACKED)
 
 
 def per_document(rows: DataFrame, merge: bool) -> DataFrame:
@@ -309,7 +305,7 @@ def per_document(rows: DataFrame, merge: bool) -> DataFrame:
             out[name] = [v[name][a:b].tobytes() if name in v else b"" for a, b in zip(first, last)]
         return pd.DataFrame(out)
 
-    return rows.groupBy("bucket").applyInPandas(work, "key long, lo binary, hi binary, left binary, q binary")
+    return rows.groupBy("bucket").applyInPandas(lean_group(work), "key long, lo binary, hi binary, left binary, q binary")
 
 
 def candidate_repeats(docs: DataFrame, candidates: DataFrame, length: int, gram: int, buckets: int, doc_buckets: int) -> DataFrame:
@@ -340,14 +336,16 @@ def candidate_repeats(docs: DataFrame, candidates: DataFrame, length: int, gram:
         # Symbols from 1; strings need no gaps, because only windows inside them are asked for.
         begin = np.cumsum(size) - size
         count = size - length + 1
-        string = np.repeat(np.arange(len(size)), count)
-        inside = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-        doc, at = key[string], lo[string] + inside
-        order = np.lexsort((at, doc))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(np.r_[True, (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])]) if len(order) else 0
-        found = repeated_windows(data, begin[string] + inside, place, length)
-        doc, at = doc[order][found[order]], at[order][found[order]]
+        string = np.repeat(np.arange(len(size), dtype=np.int32), count)
+        inside = (np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        order = np.lexsort((lo[string] + inside, key[string])).astype(np.int32)
+        doc, at = key[string[order]], lo[string[order]] + inside[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])]) if len(order) else 0
+        del doc, at
+        found = np.flatnonzero(repeated_windows(data, (begin[string] + inside).astype(np.int32), place, length)[order])
+        own = order[found]
+        doc, at = key[string[own]], lo[string[own]] + inside[own]
         if not len(doc):
             return packed(np.zeros(0, np.int64))
         # Windows that overlap or touch in one document make one span.
@@ -357,7 +355,7 @@ def candidate_repeats(docs: DataFrame, candidates: DataFrame, length: int, gram:
 
     wanted = per_document(candidates, merge=False)
     texts = docs.select(F.col("doc_id").alias("key"), "text").join(wanted.hint("shuffle_hash"), "key")
-    return texts.mapInPandas(lean(cut), "bucket long, key binary, lo binary, size binary, text binary").groupBy("bucket").applyInPandas(compare, PACKED)
+    return texts.mapInPandas(lean(cut), "bucket long, key binary, lo binary, size binary, text binary").groupBy("bucket").applyInPandas(lean_group(compare), PACKED)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

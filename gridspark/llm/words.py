@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -41,3 +43,15 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, … of each range, one range after the other."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes; a longer text is a range of its own."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)

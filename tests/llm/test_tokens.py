@@ -91,6 +91,15 @@ def test_packing_is_a_partition(table, odd_texts):
     assert packing.pack_documents(id_text(table([])), FILE).count() == 0
 
 
+def test_rows_without_an_id_are_spread_over_all_groups(table):
+    """400 equal rows without an id: each group of the deal gets its share."""
+    rows = packing.pack_documents(id_text(table(["some words here"] * 400, [None] * 400)), FILE, group_tokens=100).collect()
+    groups = {}
+    for row in rows:
+        groups[row.sequence_id >> 33] = groups.get(row.sequence_id >> 33, 0) + row.length
+    assert len(rows) == 400 and len(groups) > 8 and max(groups.values()) < 300
+
+
 def counts(spark, docs, place):
     return token_cache.cached_counts(
         docs, place, bpe.tokenizer_path(token_cache.TOKENIZER), bpe.tokenizer_path(token_cache.RANKS))
