@@ -14,6 +14,7 @@ from gridspark.functions import cells
 from gridspark.functions import vectors as V
 from gridspark.functions.binding import computed
 from gridspark.operators.scoring import safe_divide
+from gridspark.session import materialise
 
 # A recogniser maps an (n, d) float array to (digits, confidences).
 Predictor = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -149,3 +150,96 @@ def grid_search(train: DataFrame, test: DataFrame, vec: str, label: str, configs
     new = train.sparkSession.createDataFrame(
         rows, "name string, n bigint, accuracy double, loss double, state string, error string")
     return new if done is None else done.select(new.columns).unionByName(new)
+
+
+# --- training by epochs -----------------------------------------------------
+
+STUDY = (
+    "name string, depth int, width int, parameters bigint, best_val_acc double, best_epoch int, epochs_run int, "
+    "test_acc double, test_loss double, test_acc_aug double, test_loss_aug double, state string, error string"
+)
+
+
+def _network_rows(df: DataFrame, vec: str, label: str, scale: float) -> DataFrame:
+    """Features and label; the empty class comes twice, because networks take no weights of rows."""
+    from pyspark.ml.functions import array_to_vector
+
+    scaled = F.transform(V.as_doubles(F.col(vec)), lambda v: v / scale)
+    copies = F.when(F.col(label) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return df.select(array_to_vector(scaled).alias("features"), F.col(label).cast("double").alias("label"), copies.alias("copies"))
+
+
+def _measure(model, rows: DataFrame) -> tuple[float, float]:
+    """(accuracy, log loss) in one aggregate; an empty table gives (0, 0)."""
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(rows).withColumn("p", vector_to_array("probability"))
+    loss = -F.log(F.greatest(F.element_at("p", F.col("label").cast("int") + 1), F.lit(1e-15)))
+    got = scored.agg(safe_divide(F.count_if(F.col("prediction") == F.col("label")), F.count("*")).alias("acc"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss")).first()
+    return float(got["acc"]), float(got["loss"])
+
+
+def train_epochs(train: DataFrame, val: DataFrame, hidden: list[int], size: int, epochs: int, patience: int, block: int = 1, seed: int = 42):
+    """(best model, history): a network trained block by block, each begun with the weights of the one before.
+
+    After every block the validation accuracy is taken. ``patience`` blocks without a better one end the
+    training; the model of the best block is the result. ``train`` and ``val`` are rows of ``_network_rows``. History rows:
+    (epoch, val_acc, val_loss). Only weights and measures reach the driver.
+    """
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    weights, best, best_acc, misses, history = None, None, -1.0, 0, []
+    for epoch in range(block, epochs + 1, block):
+        step = MultilayerPerceptronClassifier(layers=[size, *hidden, 10], maxIter=block, seed=seed, blockSize=128, tol=0.0)
+        if weights is not None:
+            step = step.setInitialWeights(weights)
+        model = step.fit(train)
+        weights = model.weights
+        acc, loss = _measure(model, val)
+        history.append((epoch, acc, loss))
+        if acc > best_acc:
+            best, best_acc, misses = model, acc, 0
+        else:
+            misses += 1
+            if misses >= patience:
+                break
+    return best, history
+
+
+def study(
+    train: DataFrame, val: DataFrame, test: DataFrame, test_aug: DataFrame, vec: str, label: str, configs: DataFrame,
+    place: str, epochs: int, patience: int, block: int = 1, scale: float = 255.0, seed: int = 42,
+) -> DataFrame:
+    """The same protocol for every configuration (name, depth, width); one result row each.
+
+    Each row is appended to ``place`` as soon as its configuration is finished, failed ones with their error, and
+    configurations that have a row there are left out by an anti-join. So an interrupted study goes on where it
+    stopped, and ends with the rows of one that was not. Training rows are prepared and checkpointed once, not per fit.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = train.sparkSession
+    try:
+        done = spark.read.schema(STUDY).parquet(place)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        done = spark.createDataFrame([], STUDY)
+    todo = configs.join(done.select("name"), "name", "left_anti").orderBy("name").collect()  # the grid, not the data
+    if todo:
+        fit_rows = materialise(_network_rows(train, vec, label, scale).withColumn("copy", F.explode("copies")).drop("copies", "copy"))
+        val_rows, clean, noisy = (materialise(_network_rows(t, vec, label, scale).drop("copies")) for t in (val, test, test_aug))
+        size = fit_rows.first()["features"].size
+    for config in todo:
+        hidden = [config["width"]] * config["depth"]
+        shape = [size, *hidden, 10]
+        parameters = sum((a + 1) * b for a, b in zip(shape, shape[1:]))
+        base = (config["name"], config["depth"], config["width"], parameters)
+        try:
+            model, history = train_epochs(fit_rows, val_rows, hidden, size, epochs, patience, block, seed)
+            best = max(history, key=lambda h: (h[1], -h[0]))
+            row = (*base, best[1], best[0], history[-1][0], *_measure(model, clean), *_measure(model, noisy), "done", None)
+        except Exception as error:  # one bad setting must not end the study
+            row = (*base, *[None] * 7, "failed", str(error)[:500])
+        spark.createDataFrame([row], STUDY).coalesce(1).write.mode("append").parquet(place)
+    return spark.read.schema(STUDY).parquet(place)

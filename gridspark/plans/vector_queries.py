@@ -8,6 +8,7 @@ from gridspark.functions import cells as C
 from gridspark.functions import puzzles as P
 from gridspark.functions import vectors as V
 from gridspark.functions.register import register_functions
+from gridspark.operators import experiments as E
 from gridspark.operators import pipeline as PL
 from gridspark.operators import quads as Q
 from gridspark.operators import recognizers as R
@@ -17,6 +18,7 @@ from gridspark.operators import solver
 from gridspark.operators import tables as T
 from gridspark.plans import inputs as I
 from gridspark.plans.registry import longs, query, rounded
+from gridspark.session import scratch
 from gridspark.sources.readers import read_table
 
 VEC = I.cte(I.VECTORS)
@@ -299,6 +301,21 @@ def grid_search(spark, sf):
     return rounded(R.grid_search(train, test, "vec", "label", configs), "accuracy", "loss", digits=4)
 
 
+@query("ablation_study", "T6 T7 J4")
+def ablation_study(spark, sf):
+    """Depth by width, trained in blocks of epochs with patience; stopped after a first part and taken up again."""
+    split = M.random_split(I.pixels(spark, sf), "vec_id", 42, tenths=4)
+    train, held = split.filter("split = 'train'"), split.filter("split = 'val'")
+    val, test = held.filter("vec_id % 2 = 0"), held.filter("vec_id % 2 = 1")
+    seen = I.runs(spark, sf).selectExpr("CAST(depth - 1 AS INT) AS depth", "CAST(8 * (1 + dropout) AS INT) AS width")
+    configs = E.config_grid(seen, ["depth", "width"], "d%d_w%d")
+    place = scratch(spark, "study")
+    noisy = M.augment_vectors(test, "vec_id", "px", 42)
+    run = lambda some: R.study(train, val, test, noisy, "px", "label", some, place, epochs=10, patience=2, block=5)
+    run(configs.filter("depth = 1"))
+    return rounded(run(configs), "best_val_acc", "test_acc", "test_loss", "test_acc_aug", "test_loss_aug", digits=4)
+
+
 @query("read_and_solve", "U5")
 def read_and_solve(spark, sf):
     """Quad choice, reading, validation and solving of every image, as counts per outcome."""

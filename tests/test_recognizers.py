@@ -52,3 +52,37 @@ def test_training_and_search(spark, samples):
     both = R.grid_search(samples, samples, "vec", "label", configs, done)
     assert {r["name"]: r["state"] for r in both.collect()} == {"a": "done", "b": "done", "bad": "failed"}
     assert all((r["error"] is None) == (r["state"] == "done") for r in both.collect())
+
+
+def _study(spark, samples, place, configs, **more):
+    grid = spark.createDataFrame(configs, "name string, depth int, width int")
+    return R.study(samples, samples, samples, samples, "vec", "label", grid, place, scale=10.0, **{"epochs": 40, "patience": 2, "block": 10} | more)
+
+
+def test_an_interrupted_study_equals_a_whole_one(spark, samples):
+    """Rows are appended one by one; what has a row is not trained again; failures keep theirs."""
+    from gridspark.session import scratch
+
+    configs = [("a", 1, 8), ("bad", 1, -1), ("c", 2, 8)]
+    told = lambda df: {r["name"]: r for r in df.withColumn("error", F.regexp_replace("error", "_[0-9a-f]+ ", " ")).collect()}
+    whole = told(_study(spark, samples, scratch(spark, "study"), configs))
+    place = scratch(spark, "study")
+    _study(spark, samples, place, configs[:2])
+    parts = _study(spark, samples, place, configs)
+    assert parts.count() == 3 and told(parts) == whole
+    assert whole["bad"]["state"] == "failed" and whole["bad"]["error"] and whole["bad"]["test_acc"] is None
+    assert whole["a"]["parameters"] == 7 * 8 + 9 * 10 and whole["a"]["test_acc"] == whole["a"]["best_val_acc"] > 0.5
+    assert whole["a"]["epochs_run"] >= whole["a"]["best_epoch"] >= 10
+
+
+def test_training_goes_on_from_its_weights_and_stops_with_patience(spark, samples):
+    """The best block's model is the result; blocks without a better one end the training."""
+    rows = R._network_rows(samples, "vec", "label", 10.0)
+    assert rows.selectExpr("sum(size(copies)) AS n").first()["n"] == 330  # the empty class twice
+    rows = rows.drop("copies").cache()
+    best, history = R.train_epochs(rows, rows, [8], 6, 60, 2, 10)
+    accs = [acc for _, acc, _ in history]
+    assert abs(R._measure(best, rows)[0] - max(accs)) < 1e-12
+    assert history[-1][2] < history[0][2] and [e for e, _, _ in history] == [10 * (i + 1) for i in range(len(history))]
+    stop = next((i for i in range(2, len(accs)) if max(accs[i - 1:i + 1]) <= max(accs[:i - 1])), None)
+    assert len(history) == (6 if stop is None else stop + 1)
