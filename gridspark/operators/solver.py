@@ -410,3 +410,18 @@ def solve_gate(
     )
     verdict = accepted.unionByName(invalid).unionByName(sparse)
     return _back_to_puzzles(puzzles_df, key, grid, verdict)
+
+
+def solve_response(gate: DataFrame, measured: DataFrame, key: str = "puzzle_id") -> DataFrame:
+    """(key, success, message, solution, nodes_explored, solve_time_ms): the answer to a solve request.
+
+    ``gate`` is the result of ``solve_gate``, ``measured`` has nodes and elapsed_ms of the searches that ran. Time has
+    one decimal, ties to even, in the column and in the message. Puzzles refused before the search have neither.
+    """
+    refused = F.col("message").startswith("Invalid puzzle") | F.col("message").startswith("At least ")
+    time = F.bround("elapsed_ms", 1)
+    joined = gate.join(measured.select(key, "nodes", "elapsed_ms"), key, "left")
+    return joined.select(
+        key, "success", F.when(F.col("success"), cells.solve_message(F.col("nodes"), time)).otherwise(F.col("message")).alias("message"),
+        "solution", F.when(~refused, F.col("nodes")).alias("nodes_explored"), F.when(~refused, time).alias("solve_time_ms"),
+    )

@@ -174,6 +174,20 @@ def solve_gate(spark, sf):
     return S.solve_gate(I.grids(spark, sf, bad=True))
 
 
+@query("solve_response", "P19 X4", VIOLATIONS[:-1] + """, fx_valid AS (SELECT image_id AS puzzle_id, string_agg(sol::VARCHAR, '' ORDER BY idx) AS solution FROM fx_cells GROUP BY 1),
+fx_bad_ids AS (SELECT puzzle_id, string_agg(msg, '; ' ORDER BY kind, unit, pos) AS report FROM fx_msgs GROUP BY 1)
+SELECT v.puzzle_id, m.report IS NULL AS success, CASE WHEN m.report IS NULL
+    THEN 'Solved in ' || o_custkey || ' nodes (' || printf('%.1f', round_even(o_custkey % 1000 / 4.0::DOUBLE, 1)) || 'ms)'
+    ELSE 'Invalid puzzle: ' || m.report END AS message,
+  CASE WHEN m.report IS NULL THEN v.solution ELSE '' END AS solution, CASE WHEN m.report IS NULL THEN o_custkey END AS nodes_explored,
+  CASE WHEN m.report IS NULL THEN round_even(o_custkey % 1000 / 4.0::DOUBLE, 1) END AS solve_time_ms
+FROM fx_valid v JOIN orders ON o_orderkey = v.puzzle_id LEFT JOIN fx_bad_ids m ON m.puzzle_id = v.puzzle_id""")
+def solve_response(spark, sf):
+    """Gate, search and response; node counts and times stand in the orders table, quarters of a millisecond."""
+    measured = read_table(spark, sf, "orders").selectExpr("o_orderkey AS puzzle_id", "o_custkey AS nodes", "o_custkey % 1000 / 4.0D AS elapsed_ms")
+    return S.solve_response(S.solve_gate(I.grids(spark, sf, bad=True)), measured)
+
+
 @query("budgeted_solve", "U8")
 def budgeted_solve(spark, sf):
     """Puzzles with more blanks and one round of two steps: some stay open."""
