@@ -149,17 +149,41 @@ def pairwise_upper(samples: DataFrame, group: str, slot: str, vec: str, slots: i
     ).select(group, "p.i", "p.j", "p.corr")
 
 
+def glyph_report(samples: DataFrame, group: str, slot: str, vec: str, slots: int = 10) -> DataFrame:
+    """(group, rows, places, outside, copies, conflicting): what the measures of a group rest on.
+
+    ``outside``: rows whose place is NULL or not below ``slots``; ``copies``: further rows of
+    a place with equal vectors; ``conflicting``: places that hold different vectors.
+    """
+    inside = F.coalesce(F.col(slot).between(0, slots - 1), F.lit(False))
+    # Rows outside share a NULL place and carry no vector, so they add up before the shuffle.
+    slim = samples.select(
+        group, F.when(inside, F.col(slot)).alias("_k"), F.when(inside, V.as_doubles(F.col(vec))).alias("_v")
+    )
+    places = slim.groupBy(group, "_k").agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    ).withColumn("_in", F.col("_k").isNotNull()).withColumn("_differ", F.col("_in") & (F.col("_low") != F.col("_high")))
+    return places.groupBy(group).agg(
+        F.sum("_n").alias("rows"), F.count_if("_in").alias("places"),
+        F.coalesce(F.sum(F.when(~F.col("_in"), F.col("_n"))), F.lit(0)).alias("outside"),
+        F.coalesce(F.sum(F.when(F.col("_in") & ~F.col("_differ"), F.col("_n") - 1)), F.lit(0)).alias("copies"),
+        F.count_if("_differ").alias("conflicting"),
+    )
+
+
 def _glyph_rows(samples: DataFrame, group: str, slot: str, vec: str, slots: int) -> DataFrame:
     one = (
         samples.filter(F.col(slot).between(0, slots - 1))
-        .groupBy(group, slot).agg(F.min(V.as_doubles(F.col(vec))).alias("_v"))
+        .groupBy(group, slot).agg(
+            F.min(V.as_doubles(F.col(vec))).alias("_v"), F.max(V.as_doubles(F.col(vec))).alias("_w"),
+        )
     )
     stats = let(F.col("_v"), lambda v: F.struct(
         F.array_max(v).alias("top"), V.vector_stats(v)["std"].alias("std"), V.unit_centred(v).alias("u"),
     ))
-    prepared = one.select(group, slot, stats.alias("_s"))
+    prepared = one.select(group, slot, stats.alias("_s"), (F.col("_v") != F.col("_w")).alias("_differ"))
     return prepared.groupBy(group).agg(
-        F.count("*").alias("_slots"),
+        F.count("*").alias("_slots"), F.count_if("_differ").alias("_conflicts"),
         F.min("_s.top").alias("_top"),
         F.min("_s.std").alias("_std"),
         F.array_sort(F.collect_list(F.struct(F.col(slot).alias("k"), F.col("_s.u").alias("u")))).alias("_unit"),
@@ -181,7 +205,11 @@ def _pairs(unit: Column) -> Column:
 
 def glyph_quality(samples: DataFrame, group: str, slot: str, vec: str, slots: int = 10,
                   blank_max: float = BLANK_MAX) -> DataFrame:
-    """(group, max_corr, mean_corr, passed): blank, constant, twin and alike glyphs fail."""
+    """(group, max_corr, mean_corr, passed): blank, constant, twin and alike glyphs fail.
+
+    So do groups with a place that holds different vectors; of those the smallest is
+    measured. ``glyph_report`` counts them and the rows outside the places.
+    """
     rows = _glyph_rows(samples, group, slot, vec, slots).withColumn("_corr", F.transform(_pairs(F.col("_unit")), lambda p: p["corr"]))
     corr = F.col("_corr")
     undefined = F.exists(corr, lambda c: c.isNull())
@@ -190,7 +218,7 @@ def glyph_quality(samples: DataFrame, group: str, slot: str, vec: str, slots: in
     return rows.select(
         group, highest.alias("max_corr"), middle.alias("mean_corr"),
         (
-            (F.col("_slots") == slots) & (F.col("_top") >= blank_max) & (F.col("_std") >= CONSTANT_STD)
+            (F.col("_slots") == slots) & (F.col("_conflicts") == 0) & (F.col("_top") >= blank_max) & (F.col("_std") >= CONSTANT_STD)
             & ~undefined & (highest <= TWIN_CORRELATION) & (middle <= ALIKE_CORRELATION)
         ).alias("passed"),
     )
