@@ -51,6 +51,20 @@ def with_score5(scored: DataFrame) -> DataFrame:
     )
 
 
+def with_component_scores(scored: DataFrame, components: DataFrame, quad: str, area: str) -> DataFrame:
+    """``score5`` with the component score of each quad, not of its image.
+
+    ``scored`` has the columns of ``with_score3``, a unique ``quad`` and ``structure``;
+    ``components`` has the pixel counts found inside each quad. A quad without components
+    or structure scores 0 there.
+    """
+    found = component_consistency(components, quad, area).select(quad, "cell_score")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return with_score5(scored.join(found, quad, "left").withColumns(
+        {"structure": zero("structure"), "cell_score": zero("cell_score")}
+    ))
+
+
 def best_per_group(df: DataFrame, key: str, score: Column, tie: str, keep: list[str]) -> DataFrame:
     """The row with the highest score, lowest ``tie`` first: an aggregate, not a window."""
     row = F.struct(F.col(tie), *[F.col(c) for c in keep], score.alias("score"))

@@ -35,6 +35,15 @@ def score_cells(df: DataFrame, cell: str = "cell", predicted: str = "predicted")
     })
 
 
+def clues_right(predicted: Column, truth: Column) -> Column:
+    """Every filled cell of a grid is read as one of its values; digits read into blanks do not matter.
+
+    ``predicted``: one digit a cell; ``truth``: the acceptable values a cell.
+    """
+    fine = F.zip_with(predicted, truth, lambda p, t: ~F.coalesce(cells.is_filled(t), F.lit(False)) | F.coalesce(cells.match_any(p, t), F.lit(False)))
+    return (F.size(predicted) == F.size(truth)) & F.forall(fine, lambda ok: ok)
+
+
 def join_pred_truth(predictions: DataFrame, truth: DataFrame, key: str = "image_id") -> DataFrame:
     """Match predicted and true grids, then unfold to cells.
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import cells, puzzles
 from gridspark.functions.binding import int_matrix, let
+from gridspark.operators.scoring import clues_right
+from gridspark.operators.tables import distinct_first
 from gridspark.session import materialise
 
 _UNITS = np.array(puzzles.UNITS)
@@ -425,3 +427,19 @@ def solve_response(gate: DataFrame, measured: DataFrame, key: str = "puzzle_id")
         key, "success", F.when(F.col("success"), cells.solve_message(F.col("nodes"), time)).otherwise(F.col("message")).alias("message"),
         "solution", F.when(~refused, F.col("nodes")).alias("nodes_explored"), F.when(~refused, time).alias("solve_time_ms"),
     )
+
+
+def showcase(images: DataFrame, key: str, order: str, grid: str, predicted: str, truth: str, n: int) -> DataFrame:
+    """(grid text, order, key, solution): the first ``n`` different puzzles fit to be shown.
+
+    Fit are images that are ``detected``, have blanks, whose clues are all read right and
+    whose puzzle solves. The cheap gates come first; the solver sees each puzzle once.
+    """
+    ready = images.filter(
+        F.col("detected") & (cells.clue_count(F.col(grid)) < 81) & clues_right(F.col(predicted), F.col(truth))
+    ).select(F.col(key), F.col(order).alias("_order"), F.col(grid), puzzles.grid_text(F.col(grid)).alias("_text"))
+    first = materialise(ready.groupBy("_text").agg(F.min_by(F.struct(key, "_order", grid), F.struct("_order", key)).alias("r")).select("_text", "r.*"))
+    solved = solve_batch(first, "_text", grid).filter("solved").select("_text", "solution")
+    return distinct_first(first.join(solved, "_text"), "_text", "_order", n).select(
+        F.col("_text").alias("grid"), key, "solution"
+    )

@@ -2,6 +2,7 @@
 
 from gridspark.plans import (  # noqa: F401
     evaluation,
+    metric_queries,
     puzzle_queries,
     quad_queries,
     stream_queries,

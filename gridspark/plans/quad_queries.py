@@ -197,6 +197,44 @@ def rank_disagreement(spark, sf):
     return rounded(Q.rank_disagreement(_score5(spark, sf), "image_id", "quad_id"), "distance")
 
 
+# Every quad holds twice its quantity of components; each tenth is too small for a cell.
+BY_QUAD = SPACING[:-1] + ",\n" + I.QUADS + ",\n" + I.SCORED_QUADS + """,
+fx_parts AS (SELECT image_id || ':' || quad_id AS part_of, CASE WHEN k % 10 = 0 THEN 50 ELSE 300 + (l_partkey*31 + k*17) % (20 + l_suppkey % 400) END AS area
+  FROM (SELECT *, unnest(range(0, (w - 20)//4)) AS k FROM fx_quads)),
+fx_cell_score AS (SELECT part_of, greatest(0.0, 1 - abs(count(*) - 81)/81) * CASE WHEN count(*) > 5 THEN greatest(0.0, 1 - stddev_pop(area)/avg(area)) ELSE 0.0 END AS cell_score
+  FROM fx_parts WHERE area > 0.2*(200/9.0)*(200/9.0) AND area < 3.0*(200/9.0)*(200/9.0) GROUP BY 1),
+fx_by_quad AS (SELECT q.image_id, q.quad_id, area_norm*0.4 + square*0.3 + centre*0.3 AS score3, coalesce(cell_score, 0.0) AS cell_score,
+    area_norm*0.2 + square*0.2 + centre*0.1 + coalesce(structure, 0.0)*0.3 + coalesce(cell_score, 0.0)*0.2 AS score5
+  FROM fx_scored_quads q LEFT JOIN fx_spacing s ON s.vec_id = q.l_partkey % 500 LEFT JOIN fx_cell_score c ON c.part_of = q.image_id || ':' || q.quad_id)
+"""
+
+
+def _by_quad(spark, sf):
+    """Structure and cell score of each quad by itself: both can change the choice inside an image."""
+    quads = I.quads(spark, sf).withColumn("part_of", F.concat_ws(":", "image_id", "quad_id"))
+    parts = quads.withColumn("k", F.explode(F.expr("sequence(0, (w - 20) div 4 - 1)"))).selectExpr(
+        "part_of", "CASE WHEN k % 10 = 0 THEN 50 ELSE 300 + (l_partkey*31 + k*17) % (20 + l_suppkey % 400) END AS area"
+    )
+    scored = Q.with_score3(quads.withColumn("vec_id", F.col("l_partkey") % 500), F.lit(I.WIDTH), F.lit(I.HEIGHT))
+    return Q.with_component_scores(scored.join(_structure(spark, sf), "vec_id", "left"), parts, "part_of", "area")
+
+
+@query("score5_by_quad", "G7 A24", BY_QUAD + "SELECT image_id, quad_id, round(cell_score, 6) AS cell_score, round(score5, 6) AS score5 FROM fx_by_quad")
+def score5_by_quad(spark, sf):
+    return rounded(_by_quad(spark, sf).select("image_id", "quad_id", "cell_score", "score5"), "cell_score", "score5")
+
+
+@query("structured_choice", "G7 G8 K1", BY_QUAD + """
+SELECT image_id, arg_max(quad_id, s5) AS by_score5, arg_max(quad_id, s3) AS by_score3 FROM (
+  SELECT *, -row_number() OVER (PARTITION BY image_id ORDER BY score5 DESC, quad_id) AS s5,
+    -row_number() OVER (PARTITION BY image_id ORDER BY score3 DESC, quad_id) AS s3 FROM fx_by_quad) GROUP BY 1""")
+def structured_choice(spark, sf):
+    """The quad of every image under the structure-aware score, beside the plain one."""
+    scored = _by_quad(spark, sf)
+    pick = lambda score: F.min_by("quad_id", F.struct(-F.col(score), F.col("quad_id")))
+    return scored.groupBy("image_id").agg(pick("score5").alias("by_score5"), pick("score3").alias("by_score3"))
+
+
 # --- fallback chain ---------------------------------------------------------
 
 STEPS = QUADS[:-1] + """, fx_attempts AS (SELECT image_id, step, min(area) AS result FROM (
