@@ -68,6 +68,33 @@ def sliding_metrics(spark, sf):
     return _windowed(spark, sf, "sliding", "1 hour", "15 minutes")
 
 
+@query("latency_sketches", "R2 A19", """
+WITH w AS (SELECT date_trunc('hour', ts) - to_hours(k) AS start, value FROM events, range(0, 4) t(k))
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n, min(value) AS low, max(value) AS high, true AS median_fits, true AS p95_fits FROM w GROUP BY 1""")
+def latency_sketches(spark, sf):
+    """Percentiles of four-hour windows that slide by an hour, merged from hourly sketches.
+
+    The events arrive as several files in micro-batches of one. The flags say whether the
+    stated share of values lies at or below each percentile, up to the sketch's error.
+    """
+    place = scratch(spark, "event-files")
+    I.events(spark, sf).select("ts", "value").repartition(4, "value").write.parquet(place)
+    arriving_ = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(place)
+    panes = landed(spark, R.windowed_sketches(arriving_, "ts", "value", "1 hour", "3650 days"), "sketches", ["start"], "update")
+    points = {"median_ms": 0.5, "p95_ms": 0.95}
+    told = R.sketch_percentiles(R.merged_sketches(panes, "4 hours", "1 hour"), points)
+    values = I.events(spark, sf).select(F.window("ts", "4 hours", "1 hour")["start"].alias("start"), "value")
+    share = lambda test, name: F.count_if(test).alias(name)
+    ranks = values.join(told, "start").groupBy("start", "n", "low", "high").agg(*[
+        share(op, f"{side}_{c}") for c in points for side, op in (("upto", F.col("value") <= F.col(c)), ("below", F.col("value") < F.col(c)))
+    ])
+    fits = lambda c, q: (F.col(f"upto_{c}") >= (q - R.SKETCH_ERROR) * F.col("n")) & (F.col(f"below_{c}") <= (q + R.SKETCH_ERROR) * F.col("n"))
+    return ranks.select(
+        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "low", "high",
+        fits("median_ms", 0.5).alias("median_fits"), fits("p95_ms", 0.95).alias("p95_fits"),
+    )
+
+
 @query("session_activity", "R3", """
 WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM a),

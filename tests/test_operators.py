@@ -221,3 +221,12 @@ def test_spread_of_values_far_from_zero(spark):
     want = values.groupBy("g").agg(F.stddev_pop("v").alias("want"), F.avg("v").alias("middle"))
     for row in got.join(want, "g").collect():
         assert abs(row["std"] - row["want"]) < 1e-6 and abs(row["mean"] - row["middle"]) <= 1e-12 * abs(row["middle"])
+
+
+def test_clues_right(spark):
+    """K9: blanks do not matter, several values may be right, a missing grid is not right."""
+    from gridspark.operators.scoring import clues_right
+    rows = [(1, [5, 9], [[5], [0]]), (2, [6, 0], [[5], [0]]), (3, [7, 0], [[5, 7], [0, 0]]), (4, [5], [[5], [3]]), (5, None, [[5]]), (6, [0], [[]])]
+    df = spark.createDataFrame(rows, "i int, p array<int>, t array<array<int>>")
+    fit = df.filter(clues_right(F.col("p"), F.col("t")))
+    assert sorted(r["i"] for r in fit.collect()) == [1, 3, 6]

@@ -119,3 +119,27 @@ def test_late_event_of_a_later_batch_replaces_nothing_newer(spark, tmp_path):
     table = spark.createDataFrame([], schema).schema
     got = {r["user"]: r["v"] for r in R.latest_by_key(spark, out, table, ["user"], order).collect()}
     assert got == {1: "new", 2: "tie"}
+
+
+def test_sketches_merge(spark):
+    """R2: sketches of panes, merged, rank within the stated error; small windows are exact."""
+    from pyspark.sql import functions as F
+    from gridspark.streaming import operators as R
+    rows = spark.range(200_000).selectExpr(
+        "timestamp_seconds(id % 7 * 3600 + id % 3600) AS ts", "CAST(pmod(id * 7919, 200003) AS DOUBLE) AS ms"
+    ).unionByName(spark.sql("SELECT timestamp_seconds(9 * 86400) AS ts, explode(array(3.0D, NULL, 1.0D, 2.0D, double('NaN'))) AS ms"))
+    panes = R.windowed_sketches(rows, "ts", "ms", "1 hour")
+    got = R.sketch_percentiles(R.merged_sketches(panes, "1 day"), {"q50": 0.5, "q95": 0.95}).orderBy("start").collect()
+    values = sorted(r[0] for r in rows.filter("ms >= 0 AND NOT isnan(ms) AND ts < timestamp_seconds(86400)").select("ms").collect())
+    assert [(r["n"], r["low"], r["high"]) for r in got] == [(200_000, min(values), max(values)), (3, 1.0, 3.0)]
+    for c, q in (("q50", 0.5), ("q95", 0.95)):
+        rank = sum(v <= got[0][c] for v in values) / len(values)
+        assert abs(rank - q) <= R.SKETCH_ERROR
+    assert (got[1]["q50"], got[1]["q95"]) == (2.0, 3.0)
+
+
+def test_sketches_of_nothing(spark):
+    from gridspark.streaming import operators as R
+    none = spark.createDataFrame([], "ts timestamp, ms double")
+    panes = R.windowed_sketches(none, "ts", "ms", "1 hour")
+    assert R.sketch_percentiles(R.merged_sketches(panes, "1 day", "1 hour"), {"q50": 0.5}).collect() == []
