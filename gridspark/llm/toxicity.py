@@ -35,9 +35,16 @@ LETTERS = BOUNDARY + "".join(map(chr, [*range(97, 123), *(c for c in range(0xDF,
 _SIGN = re.escape("".join(SIGNS))
 SUSPECT = re.compile(rf"(?=.*[^\W\d_])(?:.*[{_SIGN}]|.*([^\W\d_])\1\1)", re.S)
 SPACED = re.compile(rf"(?<![^\s])(?:[^\W_][ ._*\-])(?:[^\W_{_SIGN}]|[{_SIGN}])(?:[ ._*\-](?:[^\W_]|[{_SIGN}]))+(?![^\s.,;:?!])")
+# What every match of SPACED holds behind its first character; led by a separator, so quick to rule out.
+GAPS = re.compile(rf"[ ._*\-](?<![^\s]..)(?<=[^\W_].)(?:[^\W_{_SIGN}]|[{_SIGN}])[ ._*\-](?:[^\W_]|[{_SIGN}])")
 EDGE = ".,;:?\"'()[]{}<>«»“”„…"
 
 
+def spaced(text: str) -> list[str]:
+    """Stretches of single characters with gaps between them."""
+    return [m.group() for m in SPACED.finditer(text)] if GAPS.search(text) else []
+
+
 class CharModel:
     """Trigram model over lower-case letters, interpolated with bigrams and letters."""
 
@@ -102,16 +109,19 @@ def restore(token: str, model: CharModel) -> str:
     Work and memory follow the length of the token: readings are kept as back pointers.
     """
     best = {(BOUNDARY, BOUNDARY): (0.0, None)}
+    known, cost_of = model.known, model.cost
     for choices in [*lattice(token), [(BOUNDARY, 0.0)]]:
         after: dict = {}
         for (a, b), (cost, path) in best.items():
             for text, channel in choices:
                 total, x, y = cost + channel, a, b
                 for c in text:
-                    total += model.cost(x, y, c)
+                    total += known.get((x, y, c)) or cost_of(x, y, c)
                     x, y = y, (BOUNDARY if c == " " else c)
-                if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, (path, text))
+                state = (x, y)
+                other = after.get(state)
+                if other is None or total < other[0]:
+                    after[state] = (total, (path, text))
         best = after
     _, path = min(best.values(), key=lambda v: v[0])
     parts = []
@@ -160,7 +170,7 @@ class Reader:
         if found is None:
             plain = token.strip(EDGE + "!*")
             forms = [plain] if plain else []
-            if SUSPECT.search(token):
+            if SUSPECT.match(token):  # from the start: what holds later in a token holds there
                 read = restore(token.strip(EDGE).rstrip("!"), self.model)
                 forms += [w for w in read.split(" ") if w and w != plain]
             found = tuple(forms)
@@ -175,8 +185,8 @@ class Reader:
         out = set()
         for token in set(text.split()):
             out.update(self.words(token))
-        for match in SPACED.finditer(text):
-            out.update(restore(match.group(), self.model).split(" "))
+        for stretch in spaced(text):
+            out.update(restore(stretch, self.model).split(" "))
         return out
 
 
@@ -304,8 +314,8 @@ class Scorer:
         for own in map(self.evidence, set(text.split())):
             if own:
                 found.update(own)
-        for match in SPACED.finditer(text):
-            found.update(self.held(restore(match.group(), self.reader.model).split(" ")))
+        for stretch in spaced(text):
+            found.update(self.held(restore(stretch, self.reader.model).split(" ")))
         total = self.bias + sum(map(self.weights.__getitem__, sorted(found)))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
 

@@ -148,3 +148,15 @@ def test_pipeline_against_its_stages(spark):
     rows = corpus_pipeline.run(spark, SMALL).toPandas()
     assert (rows.groupby("sequence_id")["length"].sum() <= 4096).all()
     assert (rows.groupby("doc_id")["length"].sum() == rows.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+def test_gaps_hide_no_spaced_word():
+    """The quick test in front of the search for spaced words rules out only texts without one."""
+    import random
+    from gridspark.llm import toxicity as T
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab_ .*-\n\t (0@é,;!?|") for _ in range(rng.randint(0, 30))) for _ in range(50_000)]
+    hits = [t for t in texts if T.SPACED.search(t)]
+    assert hits and all(T.spaced(t) == [m.group() for m in T.SPACED.finditer(t)] for t in texts)
+    tokens = [t.replace(" ", "") for t in texts]
+    assert all(bool(T.SUSPECT.match(t)) == bool(T.SUSPECT.search(t)) for t in tokens)
