@@ -88,7 +88,8 @@ def windowed_metrics(events: DataFrame, ts: str, ms: str, ok: Column, window: st
     ).select(F.col("w.start").alias("start"), "n", "succeeded", "total_ms", "max_ms")
 
 
-# A sketch of this size is off by less than half a percent in rank, whatever the number of values.
+# Sketches choose at random: this size is expected to be off by well below SKETCH_ERROR in rank, at any number of
+# values, but has no hard bound. Up to about this many values they are exact.
 SKETCH_SIZE = 800
 SKETCH_ERROR = 0.01
 
