@@ -12,6 +12,8 @@ from gridspark.plans.table_queries import DEBOUNCED, STOPS
 from gridspark.session import scratch
 from gridspark.sources.readers import read_table
 from gridspark.streaming import operators as R
+from gridspark.streaming import ordered as S
+from gridspark.streaming import tables as T
 
 
 def arriving(spark, sf, name):
@@ -152,3 +154,57 @@ def stream_dedup(spark, sf):
     text = F.array_join(F.col("clues").cast("array<string>"), "").alias("grid")
     first = R.stream_dedup(grids.select("puzzle_id", "ts", text), "grid", "ts", "1 day")
     return landed(spark, first.select("grid"), "dedup").groupBy("grid").agg(F.count("*").alias("kept"))
+
+
+WAVES, FILES, LATE_HOURS = 4, 2, 2
+
+
+def waves(spark, sf):
+    """All events in four waves of files; rows arrive up to an hour late, so waves overlap in time."""
+    place = scratch(spark, "waves")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(3600)) * 1_000_000
+    rows = I.events(spark, sf).select("user_id", "ts", "event_id", "event_type", "value", (F.unix_micros("ts") + late).alias("arrival"))
+    low, high = rows.agg(F.coalesce(F.min("arrival"), F.lit(0)), F.coalesce(F.max("arrival"), F.lit(0))).first()
+    wave = F.floor((F.col("arrival") - low) * WAVES / (high - low + 1))
+    for k in range(WAVES):
+        rows.filter(wave == k).drop("arrival").repartition(FILES).write.parquet(f"{place}/wave-{k}")
+    schema = rows.drop("arrival").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{place}/wave-*")
+
+
+_MARK = f"(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL {LATE_HOURS} HOUR FROM events)"
+
+
+@query("debounce_in_order", "R4", DEBOUNCED + f"SELECT user_id, event_id FROM fx_kept WHERE ts <= {_MARK}")
+def debounce_in_order(spark, sf):
+    """Rows out of order over several micro-batches; accepted is what the whole table accepts up to the watermark."""
+    R.use_rocksdb(spark)
+    out = S.debounce_in_order(waves(spark, sf), "user_id", "ts", "event_id", 12 * 3600, f"{LATE_HOURS} hours")
+    return landed(spark, out, "debounce-in-order").select("user_id", "event_id")
+
+
+@query("curves_in_order", "R5", f"""
+WITH e AS (SELECT user_id AS run, ts, event_id, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS cut FROM events),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY run ORDER BY ts, event_id) AS k FROM e),
+n AS (SELECT *, row_number() OVER w AS epoch, greatest(coalesce(max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS prev FROM s WINDOW w AS (PARTITION BY run, k ORDER BY ts, event_id)),
+i AS (SELECT *, coalesce(max(CASE WHEN value > prev THEN epoch END) OVER (PARTITION BY run, k ORDER BY epoch), 0) AS improved FROM n),
+x AS (SELECT run, k, min(ts) AS start, max(ts) AS fin, max(epoch) AS epochs, min(epoch) FILTER (epoch - improved >= 5) AS stop FROM i GROUP BY ALL)
+SELECT x.run, strftime(x.start, '%Y-%m-%d %H:%M:%S') AS start, coalesce(stop, epochs) AS stop_epoch, stop IS NOT NULL AS stopped_early,
+  max(improved) AS best_epoch, greatest(max(value), 0.0) AS best_value
+FROM x JOIN i ON i.run = x.run AND i.k = x.k AND i.epoch <= coalesce(stop, epochs)
+GROUP BY x.run, x.k, x.start, x.fin, stop, epochs HAVING CASE WHEN stop IS NULL THEN x.fin + INTERVAL 24 HOUR ELSE max(i.ts) END <= {_MARK}""")
+def curves_in_order(spark, sf):
+    """A curve ends by its patience or after a day of quiet; the run may begin another one later."""
+    R.use_rocksdb(spark)
+    curve = waves(spark, sf).withColumnRenamed("user_id", "run")
+    out = S.curves_in_order(curve, "run", "ts", "event_id", "value", 5, 24 * 3600, f"{LATE_HOURS} hours")
+    done = landed(spark, out, "curves-in-order")
+    return done.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("upsert_compacted", "R6", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
+def upsert_compacted(spark, sf):
+    """Four micro-batches; after each third one base replaces the deltas, so the result is read from base and delta."""
+    stream, order, path = waves(spark, sf), F.struct("ts", "event_id"), scratch(spark, "upsert-table")
+    R.run_available(stream, T.upsert_table(path, "user_id", order, every=3), scratch(spark, "upsert-table-offsets"))
+    return T.current(spark, path, stream.schema, "user_id", order).select("user_id", "event_type", "value")
