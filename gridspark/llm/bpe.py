@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -18,6 +19,7 @@ from .common import documents, id_text
 
 WORD_BPE = "word_bpe_49k.json"
 CACHE_WORDS = 400_000  # words a task remembers before it starts afresh; no effect on results
+LONG_WORD = 2_000  # bytes from which a word is merged by places of its ranks; no effect on results
 
 # Fixed values of the vocabulary file: how it cuts a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -97,13 +99,86 @@ class WordBpe:
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and where each word ends in them. No word may be empty or special."""
         raw = [w.encode() for w in words]
+        long = [i for i, w in enumerate(raw) if len(w) >= LONG_WORD]
+        if not long:
+            return self._encode_flat(raw)
+        # One long word would keep the common rounds going for as many ranks as it has.
+        apart = set(long)
+        ids, ends = self._encode_flat([w for i, w in enumerate(raw) if i not in apart])
+        rest = iter(np.split(ids, ends[:-1]) if len(ends) else [])
+        parts = [self._encode_long(w) if i in apart else next(rest) for i, w in enumerate(raw)]
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or the number of ranks where there is none."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.ranks))
+
+    def _encode_long(self, raw: bytes) -> np.ndarray:
+        """Ids of one word, in time near linear in its length.
+
+        The same rounds as for many words, but symbols stay in place, linked to their
+        neighbours. Places are kept by rank, and a round looks only at the places of the
+        lowest rank and searches only the pairs beside its merges.
+        """
+        data = np.frombuffer(raw, np.uint8)
+        n, never = len(data), len(self.ranks)
+        symbols = self.inner[data]
+        symbols[-1] = self.last[data[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n + 1, never, np.int64)  # of the pair that starts at a place; merged places have none
+        rank[:n - 1] = self._rank(symbols[:-1], symbols[1:])
+        places, queue = {}, []
+
+        def file(own: np.ndarray) -> None:
+            own = own[rank[own] < never]
+            if not len(own):
+                return
+            order = np.argsort(rank[own], kind="stable")
+            own, ranks = own[order], rank[own[order]]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for value, part in zip(ranks[np.r_[0, cuts]].tolist(), np.split(own, cuts)):
+                if value not in places:
+                    places[value] = []
+                    heapq.heappush(queue, value)
+                places[value].append(part)
+
+        file(np.arange(n - 1))
+        while queue:
+            best = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(best)))
+            at = at[rank[at] == best]  # others were merged away or have new neighbours
+            if not len(at):
+                continue
+            # In a run of equal symbols, pairs overlap: take every second one from the left.
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.merged[best]
+            rank[gone] = never
+            after[at] = after[gone]
+            symbols[gone] = -1
+            behind = after[at]
+            before[behind[behind < n]] = at[behind < n]
+            touched = np.unique(np.r_[at, before[at]])
+            touched = touched[touched >= 0]
+            rank[touched] = never
+            paired = touched[after[touched] < n]
+            rank[paired] = self._rank(symbols[paired], symbols[after[paired]])
+            file(paired)
+        return symbols[symbols >= 0]
+
+    def _encode_flat(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words together, in one flat array."""
         sizes = np.array([len(w) for w in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[data]
         ends = np.cumsum(sizes)
         if len(ends):
             symbols[ends - 1] = self.last[data[ends - 1]]
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(raw)), sizes)
         done_owner, done_symbols = [], []
         never = len(self.ranks)
         while len(symbols):
@@ -130,7 +205,7 @@ class WordBpe:
         owner = np.concatenate(done_owner) if done_owner else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
         ids = np.concatenate(done_symbols)[order] if done_symbols else np.zeros(0, np.int64)
-        return ids, np.cumsum(np.bincount(owner, minlength=len(words)))
+        return ids, np.cumsum(np.bincount(owner, minlength=len(raw)))
 
     def decode(self, ids) -> str:
         """The pieces joined by one space: these vocabularies come without a decoder."""

@@ -1,6 +1,7 @@
 """BPE, packing and token counts against the tokenizers library."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,25 @@ def test_ids_and_decoding_equal_the_library(text):
     assert OWN.decode(found) == LIBRARY.decode(found, skip_special_tokens=False)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abehinorst'", min_size=1, max_size=80) | st.text("aab", min_size=1, max_size=60) | st.text(ALPHABET, min_size=1, max_size=40))
+def test_long_words_merge_as_short_ones(text):
+    for word in OWN.words(text):
+        if word not in OWN.special:
+            assert OWN._encode_long(word.encode()).tolist() == OWN._encode_flat([word.encode()])[0].tolist()
+
+
+def test_time_is_near_linear_in_the_length_of_a_word():
+    """Random letters: ids equal the library's; fifty times the letters end in reasonable time."""
+    rng = np.random.default_rng(3)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    for text in (word(5_000), "ab" + "x" * 5_001, word(2_500) + " it " + word(3_000) + " 中" + word(30)):
+        assert own_ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    assert len(own_ids(word(250_000))) > 50_000
+    assert time.process_time() - began < 20
+
+
 def test_round_trip_query(table, odd_texts):
     rows = bpe.bpe_round_trip(id_text(table(odd_texts)), FILE).collect()
     assert len(rows) == len(odd_texts)
