@@ -243,8 +243,10 @@ def greedy_min_gap(
         summaries.repartition(tasks, key).sortWithinPartitions(*both)
         .mapInPandas(_segments([key], _carry(gap, key)), f"{key} {kind}, _bucket bigint, _last bigint")
     )
+    # Dealt by a hash of the keys: Spark drops a repartition that repeats the join's own keys, and
+    # the join, broadcast at run time, then leaves the rows of a bucket in several tasks.
     kept = (
-        rows.join(starts, both).repartition(tasks, *both).sortWithinPartitions(*both, "_t")
+        rows.join(starts, both).repartition(tasks, F.xxhash64(*both)).sortWithinPartitions(*both, "_t")
         .mapInPandas(
             _segments(both, _accepted(gap, key)), f"{key} {kind}, _t bigint, _tie {tie_kind}"
         )

@@ -43,6 +43,27 @@ def test_greedy_min_gap(events, gap, bucket):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_greedy_min_gap_with_starts_broadcast_at_run_time(spark):
+    """Many keys: the join with the starts becomes a broadcast, its rows must still meet by bucket."""
+    df = spark.range(0, 400000, 1, 12).selectExpr(
+        "id % 20000 AS user", "timestamp_seconds(id * 7919 % 400000) AS ts", "id"
+    )
+    want = {}
+    for i in range(400000):
+        want.setdefault(i % 20000, []).append(i * 7919 % 400000)
+    kept = 0
+    for times in want.values():
+        last = None
+        for t in sorted(times):
+            if last is None or t - last >= 50000:
+                kept, last = kept + 1, t
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        assert len(O.greedy_min_gap(df, "user", "ts", "id", 50000).collect()) == kept
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.mark.parametrize("delay,bucket", [(60, 600), (1000, 60), (3, 7)])
 def test_trailing_debounce(events, delay, bucket):
     rows, df = events
