@@ -209,6 +209,43 @@ def interval_table_join(df: DataFrame, value: str, bins: DataFrame, low: str = "
     ).drop("_width", "_bucket")
 
 
+def interval_totals(df: DataFrame, value: str, of: str, bins: DataFrame, low: str = "lo", high: str = "hi") -> DataFrame:
+    """``bins`` with ``n`` and ``total``: the rows of ``df`` with [low, high) around their value, and the sum of ``of``.
+
+    As the join with ``interval_table_join`` and a count would give, without its pairs: an interval
+    holds what lies below its end less what lies below its start. Values and ends are sorted by range, running
+    sums stay inside a range and one row per range carries them on. Sums of whole numbers are exact.
+    """
+    zero = F.lit(0).cast("bigint")
+    good = F.col(low) < F.col(high)
+    values = df.select(F.col(value).alias("_v"), F.lit(1).cast("bigint").alias("n"), F.col(of).alias("s"), F.lit(False).alias("_edge"))
+    edges = bins.filter(good).select(F.explode(F.array(low, high)).alias("_v"), zero.alias("n"), zero.alias("s"), F.lit(True).alias("_edge"))
+    places = (
+        values.filter("_v IS NOT NULL").unionByName(edges).groupBy("_v")
+        .agg(F.sum("n").alias("n"), F.coalesce(F.sum("s"), zero).alias("s"), F.max("_edge").alias("_edge"))
+    )
+    ordered = materialise(places.orderBy("_v").withColumn("_pos", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_part", F.shiftright("_pos", 33))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    by_part, inside = Window.orderBy("_part"), Window.partitionBy("_part").orderBy("_pos")
+    parts = ordered.groupBy("_part").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select(
+        "_part", earlier("n", by_part).alias("_n"), earlier("s", by_part).alias("_s")
+    )
+    below = (
+        ordered.withColumns({"n": earlier("n", inside), "s": earlier("s", inside)}).filter("_edge")
+        .join(F.broadcast(parts), "_part")  # one row per range of the sort
+        .select("_v", (F.col("n") + F.col("_n")).alias("n"), (F.col("s") + F.col("_s")).alias("s"))
+    )
+    at = lambda side: below.select(F.col("_v").alias(f"_{side}"), F.col("n").alias(f"_n{side}"), F.col("s").alias(f"_s{side}"))
+    met = bins.join(at("lo"), F.when(good, F.col(low)) == F.col("_lo"), "left").join(
+        at("hi"), F.when(good, F.col(high)) == F.col("_hi"), "left"
+    )
+    return met.select(
+        *[bins[c] for c in bins.columns], F.coalesce(F.col("_nhi") - F.col("_nlo"), zero).alias("n"),
+        F.coalesce(F.col("_shi") - F.col("_slo"), zero).alias("total"),
+    )
+
+
 def _bucket(v: Column) -> Column:
     return F.floor(v / F.pow(F.lit(2.0), F.col("_width"))).cast("bigint")
 

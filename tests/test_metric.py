@@ -106,3 +106,15 @@ def test_prefix_table(spark, prefixes):
     from pyspark.sql import functions as F
     got = N.prefix_table_allowlist(df, F.col("name"), table, "prefix")
     assert sorted(r["id"] for r in got.collect()) == want and got.columns == ["id", "name"]
+
+
+def test_interval_totals(spark):
+    """Ends that meet values, overlap, repeated values, empty and NULL intervals, NULL values: as the pairs would count."""
+    rng = random.Random(11)
+    values = [(i, rng.choice([None, rng.randint(-50, 50) / 2]) if i % 9 == 0 else rng.randint(-50, 50) / 2) for i in range(400)]
+    bins = [(b, rng.randint(-30, 30), rng.randint(-30, 30)) for b in range(60)] + [(60, None, 5), (61, 3, None), (62, -100, 100)]
+    got = N.interval_totals(
+        spark.createDataFrame(values, "id bigint, v double"), "v", "id", spark.createDataFrame(bins, "bin bigint, lo bigint, hi bigint")
+    ).collect()
+    inside = lambda lo, hi: [i for i, v in values if None not in (lo, hi, v) and lo <= v < hi]
+    assert {tuple(r) for r in got} == {(b, lo, hi, len(inside(lo, hi)), sum(inside(lo, hi))) for b, lo, hi in bins} and len(got) == len(bins)
