@@ -49,9 +49,11 @@ def join_pred_truth(predictions: DataFrame, truth: DataFrame, key: str = "image_
 
     Both sides carry one row per image with 81-element arrays, so the shuffle moves images,
     not cells. ``predictions``: key, predicted, conf, ...arrays; ``truth``: key, cell.
+    A merge join: it keeps sides that are dealt and ordered by key as they are, and estimates of
+    tables of arrays, far too small, must not make a broadcast.
     """
     arrays = [c for c in predictions.columns if c != key]
-    joined = predictions.join(truth.select(key, "cell"), key)
+    joined = predictions.join(truth.select(key, "cell").hint("merge"), key)
     zipped = F.arrays_zip(*[F.col(c) for c in arrays], F.col("cell"))
     return joined.select(key, F.posexplode(zipped).alias("idx", "v")).select(
         key, "idx", (F.col("idx") / 9).cast("int").alias("r"), (F.col("idx") % 9).alias("c"), "v.*"
@@ -89,6 +91,9 @@ def error_breakdown(scored: DataFrame, *groups: str) -> DataFrame:
     return scored.groupBy(*groups).agg(*error_columns())
 
 
+WRONG_CLASSES = ("missed_by_empty_filter", "missed_by_low_confidence", "wrong_digit", "hallucinated")
+
+
 def error_class() -> Column:
     right, filled = F.col("correct"), F.col("filled")
     return (
@@ -108,19 +113,20 @@ def error_taxonomy(scored: DataFrame) -> DataFrame:
 def samples_per_class(scored: DataFrame, n: int = 12) -> DataFrame:
     """Up to n example cells per error class; the low-confidence class by probability.
 
-    A rank filter: Spark limits each class to n rows per task before the shuffle.
+    Each class is ordered up to a limit, for which a task keeps n rows whatever it reads; a rank
+    filter would sort all wrong cells of a task. Only those rows are ranked.
     """
     label = error_class()
     prob = F.when(label == "missed_by_low_confidence", F.col("conf")).otherwise(F.lit(0.0))
-    w = Window.partitionBy("error_class").orderBy(F.desc("_prob"), "image_id", "r", "c")
-    return (
-        scored.filter("NOT correct")
-        .select("image_id", "r", "c", "predicted", "gt_digit", "conf",
-                label.alias("error_class"), prob.alias("_prob"))
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= n)
-        .drop("_prob")
+    order = [F.desc("_prob"), F.asc("image_id"), F.asc("r"), F.asc("c")]
+    wrong = scored.filter("NOT correct").select(
+        "image_id", "r", "c", "predicted", "gt_digit", "conf", label.alias("error_class"), prob.alias("_prob")
+    )
+    firsts = [wrong.filter(F.col("error_class") == k).orderBy(*order).limit(n) for k in WRONG_CLASSES]
+    ranked = reduce(DataFrame.unionByName, firsts).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("error_class").orderBy(*order))
     )
+    return ranked.drop("_prob")
 
 
 # --- confusion, calibration, thresholds -------------------------------------

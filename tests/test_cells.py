@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import cells as C
 from gridspark.functions import vectors as V
 from gridspark.functions.register import register_functions
+from gridspark.operators import scoring
 
 
 def value(spark, expr, schema=None, row=None):
@@ -153,3 +154,17 @@ def test_sql_functions_agree(spark):
     ).first()
     assert (row.d, row.c, row.x, row.w, row.p) == ("Medium", 0, 0.5, 0.5, "b.jpg")
     assert math.isclose(row.i, 1 / 3)
+
+
+def test_examples_are_kept_by_a_limit_per_task(spark):
+    """No task orders all its wrong cells."""
+    df = spark.range(0, 5000, 1, 3).selectExpr(
+        "id AS image_id", "1 AS r", "id % 9 AS c", "CAST(id % 3 AS INT) AS predicted", "5 AS gt_digit", "id % 7 / 7.0D AS conf",
+        "id % 5 = 0 AS is_filtered", "id % 4 <> 0 AS filled", "false AS correct")
+    top = scoring.samples_per_class(df, 12)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "WindowGroupLimit" not in plan
+    rows = top.collect()
+    assert len(rows) == 48
+    low = [r for r in rows if r["error_class"] == "missed_by_low_confidence"]
+    assert [r["rank"] for r in sorted(low, key=lambda r: (-r["conf"], r["image_id"]))] == list(range(1, 13))
