@@ -18,6 +18,11 @@ from .token_cache import COMMON, RANKS, TOKENIZER
 
 PIECES = "piece_bpe_32k.model"
 OUT_TEXTS = 2_000  # rows in one Arrow batch on the way back
+# A lone space between signs that are no white space. Both tokenizers begin a token there: A's pattern takes such a space
+# only as the first sign of a match, and of B's pieces only runs of spaces hold one behind their first sign.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+KNOWN_PARTS, PART_LETTERS = 300_000, 64  # parts that a task keeps at most, and the longest of them
+AT_ONCE, LEARN_TEXTS = 4_000, 500  # parts tokenised together, and texts whose parts are gathered
 
 
 class Aligner:
@@ -53,6 +58,10 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b))
         # A pair of ids as one number.
         self.pair = np.dtype("<u4" if len(self.bytes_a) * len(self.bytes_b) <= 1 << 32 else "<u8")
+        self.parted = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        number = range(max(len(self.bytes_a), len(self.bytes_b)))
+        self.names = np.array([f"{i}{sign}" for sign in ",|;" for i in number], object)
+        self.known: dict[str, tuple | None] = {}
 
     def tokens(self, text: str) -> tuple[list[int], list[int]]:
         text_a = " " + text
@@ -76,15 +85,73 @@ class Aligner:
         last_b = end_a[np.searchsorted(end_a, end_b)] == end_b
         return a, b, last_a, last_b
 
+    def measured(self, parts: list[str]) -> list[tuple] | None:
+        """(number of A, number of B, groups as text, packed links) of parts that a text holds with a space between them.
 
-def group_text(names: list[np.ndarray], a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``; ``names`` has the decimal numbers followed by each of the signs ``,|;``."""
-    comma, bar, semicolon = names
-    stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
-    parts = np.empty(len(a) + len(b), object)
-    parts[np.arange(len(a)) + np.append(0, stop_b)[np.cumsum(last_a) - last_a]] = np.where(last_a, bar[a], comma[a])
-    parts[np.arange(len(b)) + stop_a[np.cumsum(last_b) - last_b]] = np.where(last_b, semicolon[b], comma[b])
-    return "".join(parts.tolist())[:-1]
+        Groups are ``a1,a2|b1;a3|b2,b3;``, with the sign at the end. None if the text has no tokens.
+        """
+        found = self.align(" ".join(parts))
+        if found is None:
+            return None
+        a, b, last_a, last_b = found
+        size, n = len(self.names) // 3, np.arange
+        stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        name = np.empty(len(a) + len(b), np.int64)
+        name[n(len(a)) + np.append(0, stop_b)[np.cumsum(last_a) - last_a]] = a + size * last_a
+        name[n(len(b)) + stop_a[np.cumsum(last_b) - last_b]] = b + 2 * size * last_b
+        names = self.names[name].tolist()
+        links = (a[last_a].astype(self.pair) * self.pair.type(len(self.bytes_b)) + b[last_b].astype(self.pair)).tobytes()
+        ends = np.cumsum([len(x.encode()) + 1 for x in parts])
+        cut_a, cut_b = (np.append(0, np.searchsorted(np.cumsum(size[ids]), ends) + 1) for size, ids in ((self.size_a, a), (self.size_b, b)))
+        cut_link = (np.append(0, np.cumsum(last_a))[cut_a] * self.pair.itemsize).tolist()
+        cut_name, n_a, n_b = (cut_a + cut_b).tolist(), np.diff(cut_a).tolist(), np.diff(cut_b).tolist()
+        return [
+            (n_a[k], n_b[k], "".join(names[cut_name[k]:cut_name[k + 1]]), links[cut_link[k]:cut_link[k + 1]])
+            for k in range(len(parts))
+        ]
+
+    def learn(self, parts: set[str]) -> None:
+        """Tokenise short parts, many at once; those with letters beyond the common ones apart, for the full tokenizer."""
+        plain, odd = [], []
+        for x in parts:
+            if len(x) <= PART_LETTERS and x == x.strip():
+                (odd if self.odd(x) else plain).append(x)
+        for own in (plain, odd):
+            for at in range(0, len(own), AT_ONCE):
+                some = own[at:at + AT_ONCE]
+                found = self.measured(some)
+                if found is None:  # one of them has no tokens
+                    found = [(self.measured([x]) or [None])[0] for x in some]
+                self.known.update(zip(some, found))
+
+    def measures(self, texts: list[str]) -> Iterator[tuple | None]:
+        """As ``measured`` for each text as a whole, None if it has no tokens.
+
+        Groups end at cuts, so those of the parts between, one after the other, are those of the text; parts
+        recur, and are tokenised once while they are known.
+        """
+        split = []
+        for text in texts:
+            parts = text.split()
+            split.append(parts if " ".join(parts) == text else CUT.split(text))
+        for at in range(0, len(texts), LEARN_TEXTS):
+            wanted = set().union(*split[at:at + LEARN_TEXTS])
+            new = wanted.difference(self.known)
+            if len(self.known) + len(new) > KNOWN_PARTS:
+                self.known, new = {}, wanted
+            if self.parted:
+                self.learn(new)
+            for text, parts in zip(texts[at:at + LEARN_TEXTS], split[at:at + LEARN_TEXTS]):
+                rows = [self.known.get(x) for x in parts]
+                if None in rows:  # long parts, parts with white space at an end, parts without tokens
+                    rows = [row or (self.measured([x]) or [None])[0] for x, row in zip(parts, rows)] if self.parted else [None]
+                if None in rows:
+                    rows = text and self.measured([text])
+                if not rows:
+                    yield None
+                    continue
+                n_a, n_b, groups, links = zip(*rows)
+                yield sum(n_a), sum(n_b), "".join(groups), b"".join(links)
 
 
 def aligned_texts(docs: DataFrame, file_a: str, ranks_a: str, file_b: str) -> DataFrame:
@@ -95,19 +162,13 @@ def aligned_texts(docs: DataFrame, file_a: str, ranks_a: str, file_b: str) -> Da
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(file_a, ranks_a, file_b)
-        size_b = len(aligner.bytes_b)
-        number = range(max(len(aligner.bytes_a), size_b))
-        names = [np.array([f"{i}{sign}" for i in number], object) for sign in ",|;"]
         for batch in batches:
-            rows = []
-            for digest, text, copies in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = aligner.align(text)
-                if found is None:
-                    continue
-                a, b, last_a, last_b = found
-                links = (a[last_a].astype(aligner.pair) * aligner.pair.type(size_b) + b[last_b].astype(aligner.pair)).tobytes()
-                groups = hashlib.sha256(group_text(names, *found).encode()).hexdigest()
-                rows.append((digest, copies, len(a), len(b), int(last_a.sum()), groups, links))
+            rows, (digests, texts, copies) = [], (batch.column(i).to_pylist() for i in range(3))
+            for digest, n, found in zip(digests, copies, aligner.measures(texts)):
+                if found is not None:
+                    n_a, n_b, groups, links = found
+                    # A group has one link.
+                    rows.append((digest, n, n_a, n_b, len(links) // aligner.pair.itemsize, hashlib.sha256(groups[:-1].encode()).hexdigest(), links))
             for at in range(0, len(rows), OUT_TEXTS):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at:at + OUT_TEXTS])], COLUMNS)
 

@@ -110,3 +110,20 @@ def test_repeated_and_null_ids_and_the_empty_table(table):
     assert sorted(tuple(r)[1:] for r in rows) == sorted(wanted)
     assert op.token_alignment(id_text(table([])), *FILES).count() == 0
     assert op.token_alignment(id_text(table([None, ""])), *FILES).agg({"n_a": "sum"}).first()[0] == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(ALPHABET, max_size=60), max_size=12))
+def test_parts_give_what_whole_texts_give(texts):
+    for found, text in zip(OWN.measures(texts), texts, strict=True):
+        whole = text and OWN.measured([text])
+        assert (found or None) == (whole[0] if whole else None)
+
+
+def test_a_word_is_tokenised_once(monkeypatch):
+    own, seen = op.Aligner(*FILES), []
+    tokens = own.tokens
+    monkeypatch.setattr(own, "tokens", lambda text: seen.append(len(text)) or tokens(text))
+    text = " ".join(f"word{i % 50}" for i in range(1000))
+    assert len({*own.measures([text, text + " word7"])}) == 2
+    assert sum(seen) < len(text) / 10  # once whole texts: twice the text
