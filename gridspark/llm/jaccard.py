@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCH, documents, free_shuffles, id_text, lean, stored, tuned
+from .common import SMALL_BATCH, documents, free_shuffles, id_text, lean, lean_group, stored, tuned
 from .components import components, forest
 
 # Counters of shingle frequency, and the rows they travel in. The counters only order shingles: more of them keep
@@ -129,7 +129,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(part), "<u4")
         return pd.DataFrame([(own["slice"].iloc[0], np.minimum(total, 65_535).astype("<u2").tobytes())], columns=["slice", "counts"])
 
-    parts = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    parts = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(lean_group(add), "slice int, counts binary")
     out = np.zeros((SLICES, COUNTERS // SLICES), np.uint16)
     for row in parts.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], "<u2")
@@ -279,7 +279,7 @@ def searched(sets: DataFrame, num: int, den: int) -> DataFrame:
         )
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return sets.groupBy("place").applyInPandas(work, "a long, b long")
+    return sets.groupBy("place").applyInPandas(lean_group(work), "a long, b long")
 
 
 def by_size(ids: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield batch[["doc", *names]].assign(shingles=packed)
 
     joined = docs.select(F.col("doc_id").alias("doc"), "text").join(by_size(wanted), "doc")
-    return joined.mapInPandas(work, f"doc long, {kinds}, shingles binary")
+    return joined.mapInPandas(lean(work), f"doc long, {kinds}, shingles binary")
 
 
 def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK_DOCS) -> DataFrame:
