@@ -20,6 +20,8 @@ CHUNK_BYTES = 1 << 18  # bytes of texts that are hashed at once
 BLOCK_DOCS = 1024  # documents that one task searches together
 FEW_ROWS = 500_000  # ids that are sent to every task at most; more of them meet the texts in a shuffle
 HUBS = 16  # best linked documents of a large group that are compared with all of it
+SKETCH_BLOCK = 4096  # documents whose sketches a task compares with as many others
+SKETCH_BITS = 1 << 16  # bits of a sketch at most
 SKIP = 0.05  # weight of the merge in choosing how many long lists are only probed
 
 U = np.uint64
@@ -193,14 +195,86 @@ def candidate_links(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 def candidate_groups(docs: DataFrame, speakers: DataFrame, counters: np.ndarray, words: int, num: int, den: int, block: int) -> DataFrame:
     """doc, component, blocks: groups that hold every link, and in how many blocks each has to be searched."""
-    found = components(candidate_links(short_lists(docs, speakers, counters, words, num, den), num, den))
+    return sized_groups(components(candidate_links(short_lists(docs, speakers, counters, words, num, den), num, den)), block)
+
+
+def sized_groups(found: DataFrame, block: int) -> DataFrame:
+    """The groups of ``components`` as doc, component, blocks, written."""
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     grouped = stored(found.join(sizes, "component").select(
         F.col("node").alias("doc"), "component", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "candidates")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(found.sparkSession)
     return grouped
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each of some bits: a power of two of them, one for each shingle at least.
+
+    A shingle that one of two sets lacks turns one bit, so the sets differ in no fewer shingles than their sketches in bits.
+    """
+    size = min(SKETCH_BITS, max(64, 1 << (len(own) - 1).bit_length()))
+    hits = np.bincount((mix(own ^ U(0x2545F4914F6CDD1D)) % U(size)).astype(np.int64), minlength=size)
+    return np.packbits((hits & 1).astype(np.uint8)).tobytes()
+
+
+def near_links(ids: np.ndarray, size: np.ndarray, sketches: list[bytes], role: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that hold every pair whose sketches leave it open that num/den of their union is common.
+
+    Rows of role 0 meet all others, those of 1 and 2 each other only. A longer sketch is folded to the shorter one's bits.
+    Documents that are linked already are not compared again.
+    """
+    order = np.lexsort((ids, size))
+    ids, size, role, sketches = ids[order], size[order], role[order], [sketches[i] for i in order]
+    width = np.array([len(s) for s in sketches])  # grows with the size, or stays
+    label, links = np.arange(len(ids)), []
+    upto = np.searchsorted(size, size * den // num, side="right")
+    for own in np.unique(width).tolist():
+        begin, end = np.searchsorted(width, [own, own + 1]).tolist()
+        last = int(upto[end - 1])
+        table = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, own // 8), axis=0) for s in sketches[begin:last]])
+        for i in range(begin, end):
+            later = slice(i + 1, int(upto[i]))
+            j = i + 1 + np.flatnonzero((label[later] != label[i]) & ((role[later] != role[i]) | (role[i] == 0)))
+            if not len(j):
+                continue
+            differ = np.bitwise_count(table[j - begin] ^ table[i - begin]).sum(axis=1, dtype=np.int64)
+            both = size[i] + size[j]
+            for other in j[differ <= both - 2 * -(-both * num // (num + den))].tolist():
+                if label[other] != label[i]:
+                    links.append((int(ids[i]), int(ids[other])))
+                    label[label == label[other]] = label[i]
+    return links
+
+
+def near_groups(docs: DataFrame, crowd: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
+    """doc, component, blocks as from ``candidate_groups`` for documents of large groups, by pairs of sketches.
+
+    A sketch takes a bit or two where a set takes 64, and pairs that only share some rare shingles do not pass. The sketches
+    of a group are dealt into blocks, and each two blocks meet in one task.
+    """
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for batch in batches:
+            found = [(len(own), sketch(own)) for own in shingler.sets(batch["text"].tolist())]
+            yield batch[["doc", "component", "width"]].assign(n=[n for n, _ in found], sketch=[s for _, s in found])
+
+    def work(own: pd.DataFrame) -> pd.DataFrame:
+        links = near_links(own["doc"].to_numpy(np.int64), own["n"].to_numpy(np.int64), own["sketch"].tolist(), own["role"].to_numpy(np.int64), num, den)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    counted = crowd.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SKETCH_BLOCK).cast("long").alias("width"))
+    wanted = stored(crowd.select("doc", "component").join(counted, "component"), "sketched")
+    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(by_size(wanted), "doc").mapInPandas(
+        lean(sketched), "doc long, component long, width long, n long, sketch binary")
+    home = F.pmod(F.xxhash64("doc", F.lit(5)), F.col("width"))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("width") - 1), lambda k: F.struct(
+        F.xxhash64("component", F.least(home, k), F.greatest(home, k)).alias("place"),
+        F.when(home == k, 0).when(home < k, 1).otherwise(2).alias("role")))
+    dealt = rows.withColumn("meets", F.explode(meets)).select("meets.place", "meets.role", "doc", "n", "sketch")
+    pairs = dealt.groupBy("place").applyInPandas(lean_group(work), "a long, b long")
+    return sized_groups(components(pairs), block)
+
+
 def similar_links(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, num: int, den: int,
                   queries: np.ndarray | None = None) -> list[tuple[int, int]]:
     """T-occurrence search with DivideSkip over the inverted lists of some sets.
@@ -310,7 +384,8 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     1. Digests of all sets and frequency counters, in one pass.
     2. Short inverted lists (``short_lists``); chains through them give candidate groups that hold every link. Documents
-       of groups beyond ``block`` are counted and listed anew among themselves as long as that shrinks the groups.
+       of groups beyond ``block`` are counted and listed anew among themselves as long as that shrinks the groups. Of what
+       stays in such groups, only pairs whose sketches (``sketch``) leave it open that they are similar hold a group together.
     3. Inside groups, T-occurrence search on whole sets. Groups of up to ``block`` documents are
        searched whole, several in a task. Larger ones are dealt into blocks twice, by two hashes; then the best linked
        documents, and last those outside the largest class found so far, are searched against every block, being dealt into
@@ -337,6 +412,10 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         again = candidate_groups(crowd_docs, crowd, counters, words, num, den, block)
         grouped = stored(grouped.where("blocks = 1").unionByName(again), "candidates")
         free_shuffles(spark)
+    if size:
+        near = near_groups(crowd_docs, grouped.where("blocks > 1"), words, num, den, block)
+        grouped = stored(grouped.where("blocks = 1").unionByName(near), "candidates")
+        free_shuffles(spark)
     total = grouped.count()
     tasks = max(1, -(-total // block))
     # Small groups share a place by hash; blocks of large groups have their own. Negative and

@@ -233,6 +233,45 @@ def test_no_place_receives_all_open_documents(table, monkeypatch):
     assert max(places) <= 30
 
 
+def test_texts_that_only_chain_are_not_moved_to_all_blocks(table, monkeypatch):
+    """The same ring: sketches part it before whole sets are dealt, whatever the number of its blocks."""
+    draw, moved, search = random.Random(8), [], jaccard.searched
+
+    def counted(sets, num, den):
+        moved.append(sets.count())
+        return search(sets, num, den)
+
+    monkeypatch.setattr(jaccard, "searched", counted)
+    parts = [" ".join(f"w{draw.randint(0, 10**6)}" for _ in range(40)) for _ in range(60)]
+    texts = [" ".join(parts[(i + k) % 60] for k in range(3)) for i in range(60)]
+    texts += [t + " more" for t in texts[::20]]
+    check_classes(id_text(table(texts)), list(enumerate(texts)), 3, 80, 100, block=6)
+    assert sum(moved) <= 2 * len(texts)
+
+
+def test_sketches_lose_no_pair():
+    """Sets of all sizes, in blocks of both kinds: sketches differ in no more bits than sets, and links hold all similar pairs."""
+    draw, sets = np.random.default_rng(3), []
+    for n in (1, 2, 9, 60, 64, 70, 500, 4000, 70_000):
+        own = draw.integers(0, 1 << 62, n).astype(np.uint64)
+        for kept in (1, 0.97, 0.9, 0.82, 0.5):
+            sets.append(np.unique(np.r_[own[:max(1, int(kept * n))], draw.integers(0, 1 << 62, n // 20).astype(np.uint64)]))
+    ids, size, sketches = np.arange(len(sets)), np.array([len(s) for s in sets]), [jaccard.sketch(s) for s in sets]
+    for role in (ids * 0, 1 + ids % 2):
+        above = dict(zip(ids.tolist(), ids.tolist()))
+        for a, b in jaccard.near_links(ids, size, sketches, role, 80, 100):
+            above = {x: above[a] if top == above[b] else top for x, top in above.items()}
+        for a in ids.tolist():
+            for b in ids[:a].tolist():
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if len(sketches[a]) == len(sketches[b]):
+                    turned = np.frombuffer(sketches[a], np.uint8) ^ np.frombuffer(sketches[b], np.uint8)
+                    assert np.bitwise_count(turned).sum() <= size[a] + size[b] - 2 * common
+                if 100 * common >= 80 * (size[a] + size[b] - common) and (role[a] == 0 or role[a] != role[b]):
+                    assert above[a] == above[b]
+        assert len(set(above.values())) >= 9
+
+
 def test_classes_on_the_smallest_documents(spark):
     docs = id_text(documents(spark, SMALL))
     check_classes(docs, [(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100)
