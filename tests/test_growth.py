@@ -19,3 +19,8 @@ def test_quads_are_moved_once_as_their_numbers(spark, name):
     tree = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     by_key = [line for line in tree.splitlines() if "Exchange hashpartitioning(" in line]
     assert len(by_key) == 2 and all("hashpartitioning(image_id" in line for line in by_key)
+
+
+@pytest.mark.parametrize("unwanted", ["explode(", "collect_list("])
+def test_readings_are_made_behind_the_join(spark, unwanted):
+    assert unwanted not in QUERIES["read_and_solve"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()

@@ -202,3 +202,14 @@ def test_two_witnesses_equal_the_count(puzzle_rows, seed):
             assert n == 0 or all(c in ("0", a) for c, a in zip(text, answer)) and "0" not in answer
     tight = {r["puzzle_id"]: r for r in S.unique_solution(puzzle_rows([HARD, SAMPLE]), steps=1, max_rounds=1).collect()}
     assert tight[0]["is_unique"] is None and not tight[0]["complete"]
+
+
+def test_few_verdicts_are_sent_and_many_are_joined(puzzle_rows, monkeypatch):
+    rows = puzzle_rows([SAMPLE, SOLVED, SAMPLE, SAMPLE[:12] + "0" * 69, "55" + SAMPLE[2:]])
+    found, plans = [], []
+    for few in (50_000, 3):
+        monkeypatch.setattr(S, "FEW_GRIDS", few)
+        gate = S.solve_gate(rows)
+        plans.append("broadcast" in gate._jdf.queryExecution().optimizedPlan().toString())
+        found.append(sorted(map(tuple, gate.collect())))
+    assert plans == [True, False] and found[0] == found[1] and len(found[0]) == 5
