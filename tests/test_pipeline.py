@@ -113,3 +113,27 @@ def test_from_image_to_solution(spark):
     assert {r.image_id: r.solution for r in run.kept.collect()} == {1: SOLVED, 4: SOLVED}
     confs = run.kept.where("image_id = 1").first().confs
     assert confs == [0.9 if c != "0" else 1.0 for c in SAMPLE]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_a_vector_is_read_once_however_many_cells_show_it(spark, monkeypatch, few):
+    """Readings sent to the images, or joined to their cells: equal results; NULL is an empty cell, 77 has no vector, 9 has two."""
+    R.register_recognizer("first", lambda: lambda x: (x[:, 0].astype(int), x[:, 1]))
+    rows, recognize = [], R.recognize
+
+    def counted(df, *more, **named):
+        rows.append(df.count())
+        return recognize(df, *more, **named)
+
+    monkeypatch.setattr(R, "recognize", counted)
+    monkeypatch.setattr(PL, "FEW_VECTORS", few, raising=False)
+    known = [(d, [float(d), d / 10]) for d in range(1, 10)] + [(9, [9.0, 0.95]), (10, None), (None, [1.0, 1.0])]
+    vectors = spark.createDataFrame(known, "glyph bigint, vec array<double>")
+    cells = {i: [int(c) or None for c in SAMPLE] for i in range(6)}
+    cells[4][0], cells[5] = 77, [None] * 80 + [10]
+    images = spark.createDataFrame(list(cells.items()), "image_id bigint, glyphs array<bigint>").repartition(3)
+    out = {r.image_id: r for r in PL.recognise(vectors, "glyph", "vec", "first").work(images).collect()}
+    assert rows and max(rows) <= len(known)
+    assert [out[i].refused for i in range(6)] == [None] * 4 + ["A cell has no image"] * 2
+    assert out[2].digits == [int(c) for c in SAMPLE] and out[2].confs == [int(c) / 10 if c != "0" else 1.0 for c in SAMPLE]
+    assert out[4].digits == [0, *out[2].digits[1:]] and out[5].digits == [0] * 81 and out[5].confs == [1.0] * 81
